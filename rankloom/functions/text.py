@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # --- fixed values ---------------------------------------------------------
 STOPWORDS = tuple(
@@ -62,7 +63,7 @@ def split_whitespace(text: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decompose(texts: pd.Series) -> pd.Series:
     nfkd = unicodedata.normalize
     return pd.Series([None if t is None else nfkd("NFKD", t).lower() for t in texts], dtype=object)

@@ -96,7 +96,7 @@ def _grid_hits(vectors: DataFrame, questions: DataFrame, k: int,
     every_v = F.explode(F.sequence(F.lit(0), F.lit(v_tiles - 1)))
     left = questions.select(
         F.pmod(F.xxhash64("qid"), F.lit(q_tiles)).cast("int").alias("qt"),
-        every_v.alias("vt"), "qid", "vec")
+        every_v.alias("vt"), "qid", F.col("vec").alias("question_vec"))
     right = vectors.select(
         every_q.alias("qt"),
         F.pmod(F.xxhash64("chunk_id"), F.lit(v_tiles)).cast("int").alias("vt"),
@@ -105,7 +105,7 @@ def _grid_hits(vectors: DataFrame, questions: DataFrame, k: int,
     def cell(q: pa.Table, v: pa.Table) -> pa.Table:
         if not q.num_rows or not v.num_rows:
             return _HITS_ARROW.empty_table()
-        best = _BestHits(q["qid"].to_pylist(), _matrix(q["vec"]), k)
+        best = _BestHits(q["qid"].to_pylist(), _matrix(q["question_vec"]), k)
         best.add(v["chunk_id"].to_pylist(), v["doc_id"].to_pylist(), _matrix(v["vec"]))
         return pa.Table.from_batches([best.batch()])
 

@@ -100,6 +100,15 @@ def read_bucketed(spark: SparkSession, path: str, schema: str, bucket: str, n_bu
     return spark.table(table)
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Shuffle rows only when the input has fewer files than the cluster has cores.
+
+    A large table already comes in many splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+
+
 def default_buckets(spark: SparkSession) -> int:
     """As many buckets as shuffles have partitions, which is what the cluster was sized for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
