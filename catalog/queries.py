@@ -449,7 +449,7 @@ def _reading_rows(fx: Fixtures) -> DataFrame:
 def first_documents(fx: Fixtures) -> DataFrame:
     """Distinct texts, each at its first position."""
     rows = _reading_rows(fx).withColumn("content_id", tx.content_id(F.col("context")))
-    return dataset.first_occurrences(rows, "content_id", "src_pos", ["title"])
+    return dataset.first_occurrences(rows, "content_id", "src_pos").select("content_id", "src_pos", "title")
 
 
 @registered

@@ -25,25 +25,25 @@ class Chunker(Protocol):
 
 def _windows(items: Column, size: int, step: int) -> Column:
     """Array of (start, length, joined text) for windows starting every *step* items."""
-    last = F.greatest(F.size(items) - 1, F.lit(0))
-    return F.transform(
-        F.sequence(F.lit(0), last, F.lit(step)),
-        lambda start: F.struct(
-            start.alias("start"),
-            F.least(F.lit(size), F.size(items) - start).alias("length"),
-            F.array_join(F.slice(items, start + 1, size), " ").alias("text"),
-        ),
-    )
+    def cut(bound: Column) -> Column:
+        n = F.size(bound)
+        windows = F.transform(
+            F.sequence(F.lit(0), n - 1, F.lit(step)),
+            lambda start: F.struct(
+                start.alias("start"),
+                F.least(F.lit(size), n - start).alias("length"),
+                F.array_join(F.slice(bound, start + 1, size), " ").alias("text"),
+            ),
+        )
+        return F.when(n > 0, windows)
+
+    return tx.bind(items, cut)  # splitting is the expensive part, so it happens once per row
 
 
 def _cut(docs: DataFrame, items: Column, size: int, step: int, label: str) -> DataFrame:
     """chunk_id, doc_id, text, index, start, length for every window of every document."""
-    parts = (
-        docs.filter(~tx.is_blank(F.col("text")))
-        .select(F.col("doc_id").cast("string").alias("doc_id"), items.alias("items"))
-        .filter(F.size("items") > 0)
-    )
-    exploded = parts.select("doc_id", F.inline(_windows(F.col("items"), size, step)))
+    exploded = docs.filter(~tx.is_blank(F.col("text"))).select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.inline(_windows(items, size, step)))
     index = F.expr(f"start div {step}").cast("int")
     return exploded.select(
         F.concat_ws("::", "doc_id", F.lit(label), index.cast("string")).alias("chunk_id"),

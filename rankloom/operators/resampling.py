@@ -17,9 +17,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.runtime import broadcast_if_small, materialize
+
 # --- fixed values ---------------------------------------------------------
 BOOTSTRAP_RESAMPLES = 2000
 CONFIDENCE = 0.95
@@ -28,30 +30,24 @@ SEED = 42
 # --- end of fixed values --------------------------------------------------
 
 BLOCK_ROWS = 50_000
+_ALL = "_all"
 _MATRIX_CELLS = 4_000_000  # numbers drawn at a time inside a task
 
 
-def _blocked(values: DataFrame, by: Sequence[str], order: str, block_rows: int) -> DataFrame:
-    """Adds the group's size (n), its block count, the block, and the block sizes.
+def _blocks(data: DataFrame, by: Sequence[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(data with its block, one layout row per block).
 
-    Blocks are assigned by a hash of the order key, so no global sort is needed.
+    Blocks come from a hash of the order key, so no global sort is needed.  A layout row
+    holds the group's size n and the sizes of all its blocks.
     """
-    sizes = values.groupBy(*by).agg(F.count("*").alias("n"))
-    joined = _attach(values, sizes, by).withColumn(
-        "blocks", F.ceil(F.col("n") / block_rows).cast("int"))
-    joined = joined.withColumn("block", F.pmod(F.xxhash64(order), F.col("blocks")).cast("int"))
-    counts = (
-        joined.groupBy(*by, "block").agg(F.count("*").alias("size"))
-        .groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("block", "size"))).alias("layout"))
-    )
-    return _attach(joined, counts, by)
-
-
-def _attach(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join per-group facts: one row per group (a setup and a metric), so broadcast."""
-    if by:
-        return left.join(F.broadcast(right), list(by))
-    return left.join(F.broadcast(right), F.lit(True))
+    sizes = data.groupBy(*by).agg(F.count("*").alias("n"))  # one row per group
+    blocks = F.ceil(F.col("n") / block_rows)
+    blocked = data.join(broadcast_if_small(sizes), list(by)).withColumn(
+        "block", F.pmod(F.xxhash64("ord"), blocks).cast("int")).drop("n")
+    counts = blocked.groupBy(*by, "block").agg(F.count("*").alias("size"))
+    layouts = counts.groupBy(*by).agg(
+        F.sum("size").alias("n"), F.array_sort(F.collect_list(F.struct("block", "size"))).alias("layout"))
+    return blocked, materialize(counts.drop("size").join(layouts, list(by)), "layout")
 
 
 def _batches(n_resamples: int, width: int):
@@ -84,24 +80,36 @@ def _flip_sums(deltas: np.ndarray, block: int, single: bool, n_permutations: int
         for _, rows in _batches(n_permutations, width)])
 
 
-def _draw(blocked: DataFrame, by: Sequence[str], order: str, draws: int, sums) -> DataFrame:
-    """by, draw, n, total: partial sums per block, added up per draw."""
-    keys = [*by, "block"]
+def _draw(data: DataFrame, by: Sequence[str], block_rows: int, draws: int, sums) -> DataFrame:
+    """by, n, draw, total: partial sums per block, added up per draw."""
+    blocked, layouts = _blocks(data, by, block_rows)
+    names = list(by)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        layout = {int(part["block"]): int(part["size"]) for part in first["layout"]}
-        values = pdf.sort_values(order, kind="stable")["value"].to_numpy(dtype="float64")
-        totals = sums(values, int(first["block"]), layout, int(first["n"]))
-        facts = {key: first[key] for key in (*by, "n")}
-        return pd.DataFrame({**facts, "draw": np.arange(draws), "partial": totals})
+    def run(values: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+        fact = facts.iloc[0]
+        layout = {int(part["block"]): int(part["size"]) for part in fact["layout"]}
+        ordered = values.sort_values("ord", kind="stable")["value"].to_numpy(dtype="float64")
+        totals = sums(ordered, int(fact["block"]), layout, int(fact["n"]))
+        return pd.DataFrame({**{name: fact[name] for name in names}, "n": int(fact["n"]),
+                             "draw": np.arange(draws), "partial": totals})
 
-    schema = ", ".join([*(f"`{c}` {blocked.schema[c].dataType.simpleString()}" for c in by),
+    schema = ", ".join([*(f"`{c}` {data.schema[c].dataType.simpleString()}" for c in by),
                         "n long", "draw int", "partial double"])
-    partials = blocked.groupBy(*keys).applyInPandas(run, schema)
+    partials = (blocked.groupBy(*by, "block").cogroup(layouts.groupBy(*by, "block"))
+                .applyInPandas(run, schema))
     return partials.groupBy(*by, "n", "draw").agg(F.sum("partial").alias("total"))
 
 
+def _values(df: DataFrame, by: Sequence[str], order: str, value: Column) -> tuple[DataFrame, list[str]]:
+    """(by, ord, value) rows, written once because blocks read them several times.
+
+    Without groups everything belongs to one constant group.
+    """
+    keys = [F.col(c) for c in by] or [F.lit(0).alias(_ALL)]
+    data = materialize(df.select(*keys, F.col(order).alias("ord"), value.cast("double").alias("value")), "values")
+    return data, list(by) or [_ALL]
+
+
 def bootstrap_ci(values: DataFrame, by: Sequence[str] = (), value: str = "value", order: str = "qid",
                  n_resamples: int = BOOTSTRAP_RESAMPLES, confidence: float = CONFIDENCE,
                  seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -109,20 +117,20 @@ def bootstrap_ci(values: DataFrame, by: Sequence[str] = (), value: str = "value"
 
     *order* is a column that orders the values of a group and tells them apart.
     """
-    data = values.select(*by, F.col(order).alias("ord"), F.col(value).cast("double").alias("value"))
-    draws = _draw(
-        _blocked(data, by, "ord", block_rows), by, "ord", n_resamples,
-        lambda v, block, layout, n: _bootstrap_sums(v, block, layout, n, n_resamples, seed))
+    data, groups = _values(values, by, order, F.col(value))
+    draws = _draw(data, groups, block_rows, n_resamples,
+                  lambda v, block, layout, n: _bootstrap_sums(v, block, layout, n, n_resamples, seed))
     tail = (1.0 - confidence) / 2.0
     mean = F.col("total") / F.col("n")
-    bounds = draws.groupBy(*by).agg(
+    bounds = draws.groupBy(*groups).agg(
         F.percentile(mean, F.lit(tail)).alias("ci_lo"),
         F.percentile(mean, F.lit(1.0 - tail)).alias("ci_hi"))
-    means = data.groupBy(*by).agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"))
-    join = {"on": list(by)} if by else {"on": F.lit(True)}
-    zero = F.lit(0.0)
-    return means.join(bounds, how="left", **join).select(
-        *by, "mean", F.coalesce("ci_lo", zero).alias("ci_lo"), F.coalesce("ci_hi", zero).alias("ci_hi"))
+    means = data.groupBy(*groups).agg(F.avg("value").alias("mean"))
+    joined = means.join(bounds, groups).select(*by, "mean", "ci_lo", "ci_hi")
+    if by:
+        return joined
+    zero = F.lit(0.0)  # no values at all: one row of zeros
+    return joined.agg(*[F.coalesce(F.max(c), zero).alias(c) for c in ("mean", "ci_lo", "ci_hi")])
 
 
 def paired_permutation(pairs: DataFrame, by: Sequence[str] = (), a: str = "a", b: str = "b",
@@ -132,19 +140,18 @@ def paired_permutation(pairs: DataFrame, by: Sequence[str] = (), a: str = "a", b
 
     The p-value is never below 1 / n_permutations.
     """
-    data = pairs.select(*by, F.col(order).alias("ord"),
-                        (F.col(a).cast("double") - F.col(b).cast("double")).alias("value"))
-    draws = _draw(
-        _blocked(data, by, "ord", block_rows), by, "ord", n_permutations,
-        lambda v, block, layout, n: _flip_sums(v, block, len(layout) == 1, n_permutations, seed))
-    observed = data.groupBy(*by).agg(F.avg("value").alias("delta"))
+    data, groups = _values(pairs, by, order, F.col(a).cast("double") - F.col(b).cast("double"))
+    draws = _draw(data, groups, block_rows, n_permutations,
+                  lambda v, block, layout, n: _flip_sums(v, block, len(layout) == 1, n_permutations, seed))
+    observed = data.groupBy(*groups).agg(F.avg("value").alias("delta"))  # one row per group
     # sums in another order differ in the last bits, which must not undo a tie
     slack = 1e-12
     extreme = (F.abs(F.col("total") / F.col("n")) >= F.abs(F.col("delta")) - slack).cast("double")
     return (
-        _attach(draws, observed, by)
-        .groupBy(*by).agg(F.first("n").alias("n"), F.first("delta").alias("delta"),
-                          F.greatest(F.avg(extreme), F.lit(1.0 / n_permutations)).alias("p_value"))
+        draws.join(observed, groups)
+        .groupBy(*groups).agg(F.first("n").alias("n"), F.first("delta").alias("delta"),
+                              F.greatest(F.avg(extreme), F.lit(1.0 / n_permutations)).alias("p_value"))
+        .select(*by, "n", "delta", "p_value")
     )
 
 

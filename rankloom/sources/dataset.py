@@ -20,27 +20,30 @@ DEFAULT_DOCS = 300
 DEFAULT_QUESTIONS = 400
 
 
-def first_occurrences(rows: DataFrame, key: str, position: str, columns: list[str]) -> DataFrame:
-    """One row per key, from its first position.
+def first_positions(rows: DataFrame, key: str, position: str) -> DataFrame:
+    """key, position of its first row.
 
-    An aggregate, not a window: copies are reduced before the shuffle, so a key that
-    holds a third of the rows still sends one row per task.
+    An aggregate of two small columns, not a window over rows: copies are reduced before
+    the shuffle, so a key that holds a third of the rows still sends one row per task.
     """
-    first = F.min_by(F.struct(*columns), position).alias("first")
-    return (rows.groupBy(key).agg(first, F.min(position).alias(position))
-            .select(key, position, "first.*"))
+    return rows.groupBy(key).agg(F.min(position).alias(position))
+
+
+def first_occurrences(rows: DataFrame, key: str, position: str) -> DataFrame:
+    """The first row of every key; positions are unique, so this join has no hot keys."""
+    return rows.join(first_positions(rows, key, position), [key, position], "left_semi")
 
 
 def build_from_rows(rows: DataFrame, n_docs: int = DEFAULT_DOCS, n_questions: int = DEFAULT_QUESTIONS,
                     source: str = "reading-comprehension") -> tuple[DataFrame, DataFrame]:
     """(documents, questions): the first distinct contexts, then the first questions on them."""
     keyed = rows.withColumn("doc_id", content_id(F.col("context")))
-    kept = first_occurrences(keyed, "doc_id", "src_pos", ["title", "context"]).orderBy("src_pos").limit(n_docs)
-    documents = kept.select(
+    # n_docs rows of an id and a position, so both joins below may broadcast it
+    kept = first_positions(keyed, "doc_id", "src_pos").orderBy("src_pos").limit(n_docs)
+    documents = keyed.join(kept, ["doc_id", "src_pos"], "left_semi").select(
         "doc_id", "title", F.col("context").alias("text"), F.lit(source).alias("source"),
         F.create_map(F.lit("source_title"), F.col("title")).alias("metadata"), "src_pos")
-    # the kept ids number at most n_docs, so this semi join may broadcast
-    asked = keyed.join(kept.select("doc_id"), "doc_id", "left_semi").orderBy("src_pos").limit(n_questions)
+    asked = keyed.join(kept, "doc_id", "left_semi").orderBy("src_pos").limit(n_questions)
     questions = asked.select(
         F.col("id").alias("qid"), "question",
         F.coalesce(F.get("answers", F.lit(0)), F.lit("")).alias("answer"),
