@@ -8,8 +8,10 @@ word or sentence array is never copied per window and nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +104,29 @@ class SentenceWindowChunker:
         )
 
 
+class FunctionChunker:
+    """A chunker from a Python function ``split(text) -> list of texts``, Arrow-batched."""
+
+    def __init__(self, name: str, split: Callable[[str], list[str]]) -> None:
+        self.name = name
+        self.split = split
+
+    def chunk(self, docs: DataFrame) -> DataFrame:
+        split = self.split
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [(doc_id, text, i) for doc_id, whole in zip(batch["doc_id"], batch["text"])
+                        if whole.strip() for i, text in enumerate(split(whole))]
+                yield pd.DataFrame(rows, columns=["doc_id", "text", "index"])
+
+        parts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
+            cut, "doc_id string, text string, index int")
+        chunk_id = F.concat_ws("::", "doc_id", F.lit(self.name), F.col("index").cast("string"))
+        return parts.select(chunk_id.alias("chunk_id"), "doc_id", "text", "index",
+                            F.lit(self.name).alias("chunker"))
+
+
 def chunk_corpus(docs: DataFrame, chunker: Chunker) -> DataFrame:
     """Chunk a whole corpus; an empty corpus is an error."""
     if not has_rows(docs):

@@ -1,4 +1,4 @@
-"""Run registered queries next to their SQL: python tests/check_oracles.py FOLDER [name ...]"""
+"""Run registered queries next to their SQL: python tests/oracle_check.py FOLDER [name ...]"""
 
 import os
 import sys
