@@ -22,7 +22,6 @@ from rankloom.runtime import materialize, spread_small_input
 
 QUESTION_WORDS = 12
 KEY_WORDS = 8
-TERM_BUCKETS = 8
 
 FIXED = FixedSizeChunker(200, 40)
 SENTENCES = SentenceWindowChunker(3, 2)
@@ -82,7 +81,7 @@ class Fixtures:
 
     @cached_property
     def shared(self) -> SharedIndexes:
-        return SharedIndexes(self.documents, TERM_BUCKETS)
+        return SharedIndexes(self.documents)
 
     def chunks(self, chunker=FIXED) -> DataFrame:
         return self.shared.chunks(chunker)

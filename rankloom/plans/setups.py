@@ -65,7 +65,6 @@ class SharedIndexes:
     """Chunks and indexes of one corpus, each built once however many setups use them."""
 
     corpus: DataFrame
-    term_buckets: int | None = None  # index layout for all setups; results do not depend on it
     _chunks: dict = field(default_factory=dict)
     _indexes: dict = field(default_factory=dict)
 
@@ -83,8 +82,7 @@ class SharedIndexes:
             return retriever
         chunks = self.chunks(chunker)
         if isinstance(retriever, BM25Retriever):
-            retriever.term_buckets = self.term_buckets or retriever.term_buckets
-            key = (id(chunks), "bm25")
+            key = (id(chunks), "bm25")  # tables do not depend on k1 and b
         elif isinstance(retriever, DenseRetriever):
             key = (id(chunks), "dense", retriever.encoder)
         else:
