@@ -514,6 +514,9 @@ def oracle_sql() -> dict[str, str]:
             JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) c ON c.label = a.label GROUP BY qid"""),
         "run_summary": with_ctes((bm25_metrics,), _summary("metric", "value", bm25_metrics)),
         "latency_summary": _summary("event_type", "value", "events"),
+        "value_percentiles": """
+            SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p0,
+                   round(quantile_cont(value, 0.95), 6) AS p1 FROM events GROUP BY event_type""",
         "compared_runs": with_ctes((bm25_metrics, rrf_metrics), f"""
             SELECT metric, round(avg(a.value - b.value), 6) AS delta, count(*) AS n
             FROM {bm25_metrics} a JOIN {rrf_metrics} b USING (qid, metric) GROUP BY metric"""),

@@ -373,7 +373,7 @@ def label_relevance_metrics(fx: Fixtures) -> DataFrame:
 
 @registered
 def run_summary(fx: Fixtures) -> DataFrame:
-    return mt.summarize(mt.long_metrics(_per_query(fx)), "value", ["metric"])
+    return mt.summarize(mt.long_metrics(materialize(_per_query(fx), "per-query")), "value", ["metric"])
 
 
 @registered
@@ -381,6 +381,12 @@ def latency_summary(fx: Fixtures) -> DataFrame:
     return mt.summarize(fx.table("events"), "value", ["event_type"])
 
 
+@registered
+def value_percentiles(fx: Fixtures) -> DataFrame:
+    """The plan for groups too large for one percentile buffer."""
+    return mt.exact_percentiles(fx.table("events"), "value", (0.5, 0.95), ["event_type"])
+
+
 @registered
 def compared_runs(fx: Fixtures) -> DataFrame:
     """Mean difference per metric, BM25 minus hybrid, over shared questions."""

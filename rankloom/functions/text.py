@@ -63,7 +63,6 @@ def split_whitespace(text: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
-@F.pandas_udf(StringType())
 def _decompose(texts: pd.Series) -> pd.Series:
     nfkd = unicodedata.normalize
     return pd.Series([None if t is None else nfkd("NFKD", t).lower() for t in texts], dtype=object)
@@ -71,7 +70,8 @@ def _decompose(texts: pd.Series) -> pd.Series:
 
 def normalize(text: Column) -> Column:
     """NFKD, then lower case.  ASCII texts are sent to Python as nulls, so cost nothing there."""
-    return F.coalesce(_decompose(F.when(text.rlike(_NON_ASCII), text)), F.lower(text))
+    decompose = F.pandas_udf(_decompose, StringType())  # made per call: it belongs to one session
+    return F.coalesce(decompose(F.when(text.rlike(_NON_ASCII), text)), F.lower(text))
 
 
 def word_tokens(text: Column) -> Column:

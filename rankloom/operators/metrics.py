@@ -7,13 +7,17 @@ evaluated question gets a row: no results or no relevant documents score 0.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import dcg_discount
+from rankloom.runtime import at_most, materialize
 
 DEFAULT_KS = (1, 3, 5, 10)
+PERCENTILE_ROWS = 1_000_000
 CUT_METRICS = ("hit_rate", "recall", "precision", "ndcg")
 
 
@@ -93,13 +97,59 @@ def long_metrics(per_query: DataFrame) -> DataFrame:
     return per_query.unpivot("qid", [f"`{n}`" for n in names], "metric", "value")
 
 
-def summarize(values: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """mean, std (population), p50 and p95 with linear interpolation; zeros when empty."""
+def exact_percentiles(values: DataFrame, column: str, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """by, n and percentiles p0, p1, … with linear interpolation, for groups of any size.
+
+    Distinct values are counted, range-partitioned and numbered by running counts, so no
+    task holds a group: only the rows that carry a wanted position leave their partition.
+    """
+    counts = (values.select(*by, F.col(column).cast("double").alias("value")).filter("value IS NOT NULL")
+              .groupBy(*by, "value").agg(F.count("*").alias("c")))
+    spread = materialize(
+        counts.repartitionByRange(*by, "value").withColumn("part", F.spark_partition_id()), "histogram")
+    group = Window.partitionBy(*by)
+    before = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (  # at most one row per group and range partition
+        spread.groupBy(*by, "part").agg(F.sum("c").alias("rows"))
+        .select(*by, "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"),
+                F.sum("rows").over(group).alias("n")))
+    running = Window.partitionBy(*by, "part").orderBy("value")
+    placed = (
+        spread.join(offsets, [*by, "part"])
+        .withColumn("after", F.col("offset") + F.sum("c").over(running))
+        .withColumn("first", F.col("after") - F.col("c")))
+
+    def at(position: Column) -> Column:
+        return (F.col("first") <= position) & (position < F.col("after"))
+
+    positions = [(F.col("n") - 1) * F.lit(p) for p in probs]
+    ends = [end(position) for position in positions for end in (F.floor, F.ceil)]
+    wanted = placed.filter(reduce(or_, [at(end) for end in ends]))
+    picked = wanted.groupBy(*by).agg(
+        F.max("n").alias("n"), *[F.max(F.when(at(end), F.col("value"))).alias(f"e{i}") for i, end in enumerate(ends)])
+    return picked.select(*by, "n", *[
+        (F.col(f"e{2 * i}") + (F.col(f"e{2 * i + 1}") - F.col(f"e{2 * i}"))
+         * (position - F.floor(position))).alias(f"p{i}")
+        for i, position in enumerate(positions)])
+
+
+def summarize(values: DataFrame, column: str, by: Sequence[str] = (),
+              buffer_rows: int = PERCENTILE_ROWS) -> DataFrame:
+    """mean, std (population), p50 and p95 with linear interpolation; zeros when empty.
+
+    The built-in percentile keeps a group's values in one buffer, so it serves only tables
+    of at most *buffer_rows* rows; larger ones take the distributed way.
+    """
     value = F.col(column).cast("double")
-    zero = F.lit(0.0)
-    return values.groupBy(*by).agg(
-        F.coalesce(F.avg(value), zero).alias("mean"),
-        F.coalesce(F.stddev_pop(value), zero).alias("std"),
-        F.coalesce(F.percentile(value, F.lit(0.5)), zero).alias("p50"),
-        F.coalesce(F.percentile(value, F.lit(0.95)), zero).alias("p95"),
-    )
+    moments = [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")]
+    names = ("mean", "std", "p50", "p95")
+    if at_most(values.select(column), buffer_rows):
+        rows = values.groupBy(*by).agg(
+            *moments, F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"))
+        return rows.select(*by, *[F.coalesce(name, F.lit(0.0)).alias(name) for name in names])
+    keyed = values if by else values.withColumn("_all", F.lit(0))
+    keys = list(by) or ["_all"]
+    percentiles = exact_percentiles(keyed, column, (0.5, 0.95), keys).select(
+        *keys, F.col("p0").alias("p50"), F.col("p1").alias("p95"))
+    rows = keyed.groupBy(*keys).agg(*moments).join(percentiles, keys, "left")
+    return rows.select(*by, *[F.coalesce(name, F.lit(0.0)).alias(name) for name in names])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import ranking_score
+from rankloom.runtime import broadcast_if_small
 from rankloom.schemas import CHUNK_COLUMNS, RUN_COLUMNS, require_columns
 
 QUERY_COLUMNS = ("qid", "question")
@@ -67,6 +68,9 @@ def top_k(scored: DataFrame, k: int, retriever: str) -> DataFrame:
 
 
 def attach_text(run: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Add the chunk text to a run.  Pass a materialised run: its file size then decides
-    between broadcasting it and shuffling, and the ranking is not computed again."""
-    return run.join(chunks.select("chunk_id", "text"), "chunk_id").select(*run.columns, "text")
+    """Add the chunk text to a run, broadcasting the run unless it is too long for that.
+
+    Pass a materialised run, so that counting it does not rank again.
+    """
+    return (chunks.select("chunk_id", "text").join(broadcast_if_small(run), "chunk_id")
+            .select(*run.columns, "text"))

@@ -109,19 +109,14 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
 
 
-def default_buckets(spark: SparkSession) -> int:
-    """As many buckets as shuffles have partitions, which is what the cluster was sized for."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when *df* has at most *max_rows* rows; stops counting beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def at_most(df: DataFrame, rows: int) -> bool:
+    """True when *df* has no more than *rows* rows; stops counting beyond that."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; otherwise leave the join to AQE."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+    return F.broadcast(df) if at_most(df, max_rows) else df
 
 
 def has_rows(df: DataFrame) -> bool:

@@ -55,6 +55,18 @@ def test_summarize(spark):
     assert tuple(mt.summarize(spark.createDataFrame([], "v double"), "v").first()) == (0.0, 0.0, 0.0, 0.0)
 
 
+def test_percentiles_without_a_group_buffer(spark):
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(size=501), "b": np.round(rng.random(40), 1), "c": np.array([3.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: tuple(r)[1:] for r in mt.summarize(df, "v", ["g"], buffer_rows=10).collect()}
+    for g, vs in groups.items():
+        assert got[g] == pytest.approx((vs.mean(), vs.std(), np.percentile(vs, 50), np.percentile(vs, 95)))
+    whole = np.concatenate(list(groups.values()))
+    assert mt.summarize(df, "v", buffer_rows=10).first()["p95"] == pytest.approx(np.percentile(whole, 95))
+
+
 def values_of(spark, values):
     return spark.createDataFrame([(f"q{i:05d}", float(v)) for i, v in enumerate(values)], "qid string, value double")
 
