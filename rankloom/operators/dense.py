@@ -25,7 +25,7 @@ from rankloom.operators.retriever import Retriever, top_k
 from rankloom.runtime import materialize
 
 QUESTION_TILE = 4096  # questions in one matrix
-VECTOR_TILE = 65_536  # vectors in one grid cell
+VECTOR_TILE = 32_768  # vectors in one grid cell
 BLOCK = 4096  # vectors per matrix product
 
 _HITS = "qid string, chunk_id string, doc_id string, score double"
