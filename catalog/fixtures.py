@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as tx
@@ -66,11 +66,14 @@ class Fixtures:
             "qid",
             F.when(F.size(words) < KEY_WORDS + 2, F.raise_error(F.lit("a passage has under ten words")))
             .otherwise(F.xxhash64(F.array_join(F.slice(words, 2, KEY_WORDS), " "))).alias("key"))
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("words") - KEY_WORDS + 1, F.lit(1))),
-            lambda at: F.xxhash64(F.array_join(F.slice("words", at, KEY_WORDS), " ")))
-        in_docs = (self.documents.select("doc_id", tx.split_whitespace(F.col("text")).alias("words"))
-                   .select("doc_id", F.explode(F.array_distinct(grams)).alias("key")))
+
+        def grams(words: Column) -> Column:
+            return F.array_distinct(F.transform(
+                F.sequence(F.lit(1), F.greatest(F.size(words) - KEY_WORDS + 1, F.lit(1))),
+                lambda at: F.xxhash64(F.array_join(F.slice(words, at, KEY_WORDS), " "))))
+
+        in_docs = self.documents.select(
+            "doc_id", F.explode(tx.bind(tx.split_whitespace(F.col("text")), grams)).alias("key"))
         # Catalyst broadcasts the questions while their table is small, and shuffles them if not.
         candidates = materialize(in_docs.join(keyed, "key").select("qid", "doc_id").distinct(), "pairs")
         return materialize(
