@@ -43,7 +43,8 @@ def evaluate_run(run: DataFrame, questions: DataFrame, qrels: DataFrame,
 
     *submitted* lists the searched questions as (qid, latency_ms), which also covers those
     that found nothing; it defaults to the whole question set.  Questions outside the
-    question set are skipped with a warning.
+    question set are skipped with a warning.  The bootstrap draws over the questions in
+    file order where *questions* has a src_pos, else by qid.
     """
     submitted = submitted if submitted is not None else questions.select(
         "qid", F.lit(0.0).alias("latency_ms"))
@@ -52,7 +53,10 @@ def evaluate_run(run: DataFrame, questions: DataFrame, qrels: DataFrame,
         warnings.warn(f"{row['qid']!r} is not in the question set; it is skipped.", stacklevel=2)
     known = submitted.join(questions.select("qid").distinct(), "qid", "left_semi")
     per_query = materialize(mt.per_query_metrics(run, known, qrels, ks), "per-query")
-    summary = materialize(rs.bootstrap_ci(mt.long_metrics(per_query), by=["metric"]), "summary")
+    values, order = mt.long_metrics(per_query), "qid"
+    if "src_pos" in questions.columns:
+        values, order = values.join(questions.select("qid", "src_pos"), "qid"), "src_pos"
+    summary = materialize(rs.bootstrap_ci(values, by=["metric"], order=order), "summary")
     return RunEvaluation(per_query, summary, latency_summary(known), per_query.count())
 
 

@@ -61,8 +61,10 @@ def load_corpus(spark: SparkSession, path: str | Path | None = None) -> DataFram
 def load_questions(spark: SparkSession, path: str | Path | None = None) -> DataFrame:
     """Questions with their answers, the ids of their relevant documents and their file position."""
     rows = _read(spark, resolve_path(path, QUESTIONS_FILE), schemas.QUESTIONS, "qid")
-    position = F.struct("_metadata.file_path", "_metadata.file_block_start",
-                        F.monotonically_increasing_id().alias("row"))
+    # sorts as text: file, then where its block starts, then the row within
+    position = F.concat_ws(
+        "/", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
+        F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
     return rows.select(
         "qid", "question", "answer",
         F.coalesce("relevant_doc_ids", F.array().cast("array<string>")).alias("relevant_doc_ids"),

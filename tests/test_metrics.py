@@ -136,3 +136,15 @@ def test_evaluate_and_compare(spark):
         warnings.simplefilter("always")
         lone = compare_runs(good.per_query.filter(F.col("qid") == "q1"), bad.per_query, "mrr")
     assert lone == {"delta": 1.0, "p_value": 1.0, "n": 1} and caught
+
+
+def test_bootstrap_follows_file_order(spark):
+    found = [1, 0, 1, 1, 0, 0, 1]
+    rows = [(f"q{9 - i}", i) for i in range(len(found))]  # ids sort against the file order
+    questions = spark.createDataFrame(rows, "qid string, src_pos int")
+    run = run_of(spark, **{qid: "A" if found[i] else "X" for qid, i in rows})
+    ev = evaluate_run(run, questions, qrels_of(spark, **{qid: "A" for qid, _ in rows}), ks=(1,))
+    values = np.array(found, dtype=float)
+    draws = values[np.random.default_rng(42).integers(0, 7, size=(2000, 7))].mean(axis=1)
+    got = ev.summary_dict()["mrr"]
+    assert (got["ci_lo"], got["ci_hi"]) == pytest.approx((np.percentile(draws, 2.5), np.percentile(draws, 97.5)))
