@@ -11,7 +11,8 @@ Only distinct fingerprints enter the tables, so copies cost nothing.  Buckets st
 through tasks in sorted order and leave a spanning forest of links, never all pairs.  A
 bucket of more than ``BUCKET_ROWS`` fingerprints is not held in memory: its rows go on to
 15 finer tables over the bits that its mask left out, under the same guarantee, so
-nothing is lost; four levels use up all bits.
+nothing is lost.  The third level leaves seven bits open, so a bucket there holds at most 128
+fingerprints and no level follows.
 
 Null and empty texts have the fingerprint zero, which links like any other.  Null ids are
 never the smallest; a component of null ids only has a null id.  Repeated rows each get a

@@ -55,9 +55,10 @@ def hilbert_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
         bit, low = 1 << level, (1 << level) - 1
         for i in range(len(x)):
             flip = (x[i] & bit) != 0
-            swap = (x[0] ^ x[i]) & low
-            x[0], x[i] = (np.where(flip, x[0] ^ low, x[0] ^ swap),
-                          x[i] if i == 0 else np.where(flip, x[i], x[i] ^ swap))
+            swap = np.where(flip, 0, (x[0] ^ x[i]) & low)
+            x[0] = x[0] ^ np.where(flip, low, swap)
+            if i:
+                x[i] = x[i] ^ swap
     for i in range(1, len(x)):
         x[i] = x[i] ^ x[i - 1]
     carry = np.zeros_like(x[0])
