@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from llm.common import held_out, small_batches
 from rankloom.runtime import broadcast_if_small, materialize
 
-SAMPLE_TEXTS = 1_500
+SAMPLE_TEXTS = 500
 MODEL_WORDS = 60_000
 MODEL_GRAMS = 60_000
 LONGEST = 5
@@ -67,7 +67,8 @@ def fit(sample: DataFrame, n_words: int = MODEL_WORDS, n_grams: int = MODEL_GRAM
     starts = F.sequence(F.lit(1), F.char_length(marked))
     pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.transform(
         F.filter(starts, lambda s: s + k - 1 <= F.char_length(marked)), lambda s: F.substring(marked, s, k))))
-    grams = counts.select("lang", "n", F.explode(pieces).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    grams = materialize(counts.select("lang", "n", F.explode(pieces).alias("item")).groupBy("lang", "item").agg(
+        F.sum("n").alias("n")), "gram-counts")
 
     def top(rows: DataFrame, limit: int) -> tuple[list, dict]:
         best = rows.groupBy("item").agg(F.sum("n").alias("all")).where("all > 1").orderBy(F.desc("all"), "item").limit(limit)
