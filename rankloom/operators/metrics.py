@@ -8,16 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import dcg_discount
-from rankloom.runtime import at_most, materialize
+from rankloom.runtime import materialize
 
 DEFAULT_KS = (1, 3, 5, 10)
-PERCENTILE_ROWS = 1_000_000
 CUT_METRICS = ("hit_rate", "recall", "precision", "ndcg")
 
 
@@ -114,8 +113,10 @@ def exact_percentiles(values: DataFrame, column: str, probs: Sequence[float], by
         .select(*by, "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"),
                 F.sum("rows").over(group).alias("n")))
     running = Window.partitionBy(*by, "part").orderBy("value")
+    place = [F.col(f"o_{c}").eqNullSafe(F.col(c)) for c in (*by, "part")]  # a null group is a group
     placed = (
-        spread.join(offsets, [*by, "part"])
+        spread.join(offsets.select(*[F.col(c).alias(f"o_{c}") for c in (*by, "part")], "offset", "n"),
+                    reduce(and_, place))
         .withColumn("after", F.col("offset") + F.sum("c").over(running))
         .withColumn("first", F.col("after") - F.col("c")))
 
@@ -133,23 +134,22 @@ def exact_percentiles(values: DataFrame, column: str, probs: Sequence[float], by
         for i, position in enumerate(positions)])
 
 
-def summarize(values: DataFrame, column: str, by: Sequence[str] = (),
-              buffer_rows: int = PERCENTILE_ROWS) -> DataFrame:
-    """mean, std (population), p50 and p95 with linear interpolation; zeros when empty.
+def summarize(values: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """mean, std (population), p50 and p95 with linear interpolation; zeros for groups without a value.
 
-    The built-in percentile keeps a group's values in one buffer, so it serves only tables
-    of at most *buffer_rows* rows; larger ones take the distributed way.
+    One way for every size: percentiles come from range-partitioned counts, never from a group in one buffer.
     """
     value = F.col(column).cast("double")
-    moments = [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")]
-    names = ("mean", "std", "p50", "p95")
-    if at_most(values.select(column), buffer_rows):
-        rows = values.groupBy(*by).agg(
-            *moments, F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"))
-        return rows.select(*by, *[F.coalesce(name, F.lit(0.0)).alias(name) for name in names])
     keyed = values if by else values.withColumn("_all", F.lit(0))
     keys = list(by) or ["_all"]
+    moments = keyed.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    if not by:  # a table without rows still has a summary
+        one = values.sparkSession.range(1).select(F.lit(0).alias("_all"))
+        moments = one.join(moments, "_all", "left")
     percentiles = exact_percentiles(keyed, column, (0.5, 0.95), keys).select(
-        *keys, F.col("p0").alias("p50"), F.col("p1").alias("p95"))
-    rows = keyed.groupBy(*keys).agg(*moments).join(percentiles, keys, "left")
-    return rows.select(*by, *[F.coalesce(name, F.lit(0.0)).alias(name) for name in names])
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col("p0").alias("p50"), F.col("p1").alias("p95"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    rows = moments.join(percentiles, same, "left")
+    # Only a group without any value has no percentiles, and its mean is null as well.
+    return rows.select(*by, *[F.when(F.col("mean").isNull(), F.lit(0.0)).otherwise(F.col(name)).alias(name)
+                              for name in ("mean", "std", "p50", "p95")])

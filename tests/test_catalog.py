@@ -27,5 +27,5 @@ def test_entry(spark):
     assert spark_entry.entry(spark).count() > 0
 
 
-def test_only_resampling_has_no_sql():
-    assert set(spark_entry.queries()) - set(spark_entry.oracle_sql()) == {"bootstrap_intervals", "permutation_test"}
+
+

@@ -60,11 +60,11 @@ def test_percentiles_without_a_group_buffer(spark):
     groups = {"a": rng.normal(size=501), "b": np.round(rng.random(40), 1), "c": np.array([3.0])}
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
-    got = {r["g"]: tuple(r)[1:] for r in mt.summarize(df, "v", ["g"], buffer_rows=10).collect()}
+    got = {r["g"]: tuple(r)[1:] for r in mt.summarize(df, "v", ["g"]).collect()}
     for g, vs in groups.items():
         assert got[g] == pytest.approx((vs.mean(), vs.std(), np.percentile(vs, 50), np.percentile(vs, 95)))
     whole = np.concatenate(list(groups.values()))
-    assert mt.summarize(df, "v", buffer_rows=10).first()["p95"] == pytest.approx(np.percentile(whole, 95))
+    assert mt.summarize(df, "v").first()["p95"] == pytest.approx(np.percentile(whole, 95))
 
 
 def values_of(spark, values):
@@ -148,3 +148,10 @@ def test_bootstrap_follows_file_order(spark):
     draws = values[np.random.default_rng(42).integers(0, 7, size=(2000, 7))].mean(axis=1)
     got = ev.summary_dict()["mrr"]
     assert (got["ci_lo"], got["ci_hi"]) == pytest.approx((np.percentile(draws, 2.5), np.percentile(draws, 97.5)))
+
+
+def test_summary_of_a_null_group(spark):
+    df = spark.createDataFrame([(None, 5.0), (None, 7.0), ("a", 1.0), ("b", None)], "g string, v double")
+    got = {r["g"]: tuple(r)[1:] for r in mt.summarize(df, "v", ["g"]).collect()}
+    assert got[None] == (6.0, 1.0, 6.0, pytest.approx(6.9)) and got["b"] == (0.0, 0.0, 0.0, 0.0)
+    assert mt.summarize(df.limit(0), "v").first()["p50"] == 0.0
