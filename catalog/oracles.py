@@ -347,7 +347,7 @@ cte("reading_rows", ("docs",), "SELECT doc_id::BIGINT AS src_pos, substr(sha1(te
     "source AS title, string_split(text, ' ') AS w FROM docs")
 cte("kept_docs", ("reading_rows",), """
     SELECT content_id, arg_min(title, src_pos) AS title, arg_min(text, src_pos) AS text, min(src_pos) AS src_pos
-    FROM reading_rows GROUP BY content_id ORDER BY min(src_pos) LIMIT 300""")
+    FROM reading_rows GROUP BY content_id""")
 
 RUN = "qid, rank, chunk_id, doc_id, round(score, 6) AS score, retriever"
 
@@ -531,7 +531,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT content_id AS doc_id, title, 'reading-comprehension' AS source, length(text) AS n_chars FROM kept_docs"""),
         "dataset_questions": with_ctes(("reading_rows", "kept_docs"), """
             SELECT 'q' || src_pos AS qid, array_to_string(w[1:6], ' ') AS question, w[1] AS answer, content_id AS doc_id
-            FROM reading_rows WHERE content_id IN (SELECT content_id FROM kept_docs) ORDER BY src_pos LIMIT 400"""),
+            FROM reading_rows"""),
         "dataset_size": "SELECT count(*) AS n_docs, round(avg(length(text)), 6) AS mean_chars FROM documents",
         "questions_linked_by_title": """
             SELECT item_id::VARCHAR AS qid, d.doc_id FROM benchmark LEFT JOIN (

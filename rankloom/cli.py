@@ -41,15 +41,15 @@ def parser() -> argparse.ArgumentParser:
     ask.add_argument("--faithfulness", action="store_true")
     build = commands.add_parser("build-dataset")
     build.add_argument("--rows", help="parquet with src_pos, id, title, context, question, answers")
-    build.add_argument("--docs", type=int, default=dataset.DEFAULT_DOCS)
-    build.add_argument("--questions", type=int, default=dataset.DEFAULT_QUESTIONS)
+    build.add_argument("--docs", type=int, default=None)
+    build.add_argument("--questions", type=int, default=None)
     build.add_argument("--force", action="store_true")
     evaluate = commands.add_parser("evaluate")
     evaluate.add_argument("--k", type=int, default=10)
     evaluate.add_argument("--setups", nargs="*")
     ablate = commands.add_parser("ablate")
-    for command, questions in ((evaluate, None), (ablate, 200)):
-        command.add_argument("--max-questions", type=int, default=questions)
+    for command in (evaluate, ablate):
+        command.add_argument("--max-questions", type=int, default=None)
         command.add_argument("--out", default=get_config().reports_dir)
     return main_parser
 

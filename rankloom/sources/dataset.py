@@ -16,9 +16,6 @@ from rankloom.sources.jsonl import CORPUS_FILE, QUESTIONS_FILE, write_jsonl
 
 log = logging.getLogger(__name__)
 
-DEFAULT_DOCS = 300
-DEFAULT_QUESTIONS = 400
-
 
 def first_positions(rows: DataFrame, key: str, position: str) -> DataFrame:
     """key, position of its first row.
@@ -34,16 +31,20 @@ def first_occurrences(rows: DataFrame, key: str, position: str) -> DataFrame:
     return rows.join(first_positions(rows, key, position), [key, position], "left_semi")
 
 
-def build_from_rows(rows: DataFrame, n_docs: int = DEFAULT_DOCS, n_questions: int = DEFAULT_QUESTIONS,
+def build_from_rows(rows: DataFrame, n_docs: int | None = None, n_questions: int | None = None,
                     source: str = "reading-comprehension") -> tuple[DataFrame, DataFrame]:
-    """(documents, questions): the first distinct contexts, then the first questions on them."""
+    """(documents, questions): all distinct contexts and the questions on them, or the first of each."""
     keyed = rows.withColumn("doc_id", content_id(F.col("context")))
-    # n_docs rows of an id and a position, so both joins below may broadcast it
-    kept = first_positions(keyed, "doc_id", "src_pos").orderBy("src_pos").limit(n_docs)
-    documents = keyed.join(kept, ["doc_id", "src_pos"], "left_semi").select(
+    kept = first_positions(keyed, "doc_id", "src_pos")
+    if n_docs is not None:
+        kept = kept.orderBy("src_pos").limit(n_docs)
+    # positions are unique: the text side is not hashed again for this join
+    documents = rows.join(kept, "src_pos", "left_semi").withColumn("doc_id", content_id(F.col("context"))).select(
         "doc_id", "title", F.col("context").alias("text"), F.lit(source).alias("source"),
         F.create_map(F.lit("source_title"), F.col("title")).alias("metadata"), "src_pos")
-    asked = keyed.join(kept, "doc_id", "left_semi").orderBy("src_pos").limit(n_questions)
+    asked = keyed if n_docs is None else keyed.join(kept, "doc_id", "left_semi")
+    if n_questions is not None:
+        asked = asked.orderBy("src_pos").limit(n_questions)
     questions = asked.select(
         F.col("id").alias("qid"), "question",
         F.coalesce(F.get("answers", F.lit(0)), F.lit("")).alias("answer"),
@@ -110,22 +111,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def build_dataset(spark: SparkSession, out_dir: str | Path, rows: DataFrame | None = None,
-                  n_docs: int = DEFAULT_DOCS, n_questions: int = DEFAULT_QUESTIONS,
+                  n_docs: int | None = None, n_questions: int | None = None,
                   force: bool = False) -> dict[str, float] | None:
-    """Write corpus and questions; keeps existing files unless forced; falls back to the sample."""
+    """Write corpus and questions; keeps existing files unless forced; the sample serves only where no rows are given."""
     corpus_path, questions_path = f"{out_dir}/{CORPUS_FILE}", f"{out_dir}/{QUESTIONS_FILE}"
     if not force and _exists(spark, corpus_path) and _exists(spark, questions_path):
         log.info("Dataset exists in %s; pass force to rebuild.", out_dir)
         return None
-    try:
-        if rows is None:
-            raise ValueError("no source rows given")
-        documents, questions = build_from_rows(rows, n_docs, n_questions)
-        write_jsonl(documents.orderBy("src_pos").drop("src_pos"), corpus_path)
-        write_jsonl(questions.orderBy("src_pos").drop("src_pos"), questions_path)
-    except Exception as error:  # noqa: BLE001 - any source failure falls back
-        log.warning("Building from source rows failed (%s); using the built-in sample.", error)
+    if rows is None:
+        log.warning("No source rows given; using the built-in sample.")
         documents, questions = build_sample(spark)
         write_jsonl(documents, corpus_path)
         write_jsonl(questions, questions_path)
+    else:
+        documents, questions = build_from_rows(rows, n_docs, n_questions)
+        write_jsonl(documents.orderBy("src_pos").drop("src_pos"), corpus_path)
+        write_jsonl(questions.orderBy("src_pos").drop("src_pos"), questions_path)
     return dataset_summary(documents, questions)

@@ -25,7 +25,3 @@ def test_query_matches_sql(spark, connection, name):
 
 def test_entry(spark):
     assert spark_entry.entry(spark).count() > 0
-
-
-
-
