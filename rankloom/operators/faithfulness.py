@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,21 +62,34 @@ def per_sentence(scorer: PairScorer) -> SentenceScorer:
 
 
 def model_nli(load: Callable[[], Callable[[list[tuple[str, str]]], list[list[float]]]]) -> SentenceScorer:
-    """Python model scoring all sentences of an answer; a failing answer gets null logits."""
+    """Python model scoring sentences; loaded once a task, and called with all pairs of a batch.
+
+    If a batch fails, its answers are scored one by one, and only those that fail get null logits.
+    """
 
     @F.pandas_udf("array<array<double>>")
-    def score(premise: pd.Series, sentences: pd.Series) -> pd.Series:
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = load()
 
-        def one(p: str, parts) -> list[list[float]] | None:
+        def logits(pairs: list[tuple[str, str]]) -> list[list[float]]:
+            return [[float(x) for x in row] for row in model(pairs)] if pairs else []
+
+        def one(pairs: list[tuple[str, str]]) -> list[list[float]] | None:
             try:
-                pairs = [(p, s) for s in parts]
-                return [[float(x) for x in row] for row in model(pairs)] if pairs else []
+                return logits(pairs)
             except Exception as error:  # noqa: BLE001 - any model failure means score 0
                 log.warning("Entailment scoring failed (%s); the answer scores 0.", error)
                 return None
 
-        return pd.Series([one(p, s) for p, s in zip(premise, sentences)])
+        for premises_, sentences in batches:
+            answers = [[(p, s) for s in parts] for p, parts in zip(premises_, sentences, strict=True)]
+            try:
+                rows = iter(logits([pair for pairs in answers for pair in pairs]))
+                found = [[next(rows) for _ in pairs] for pairs in answers]
+            except Exception as error:  # noqa: BLE001 - find the answers that fail
+                log.warning("Entailment scoring of a batch failed (%s); scoring its answers one by one.", error)
+                found = [one(pairs) for pairs in answers]
+            yield pd.Series(found)
 
     return score
 

@@ -73,6 +73,28 @@ def test_failing_model_scores_zero(spark):
     assert got.first()["faithfulness"] == 0.0
 
 
+def test_model_loads_once_a_task_and_one_failure_stays_alone(spark, tmp_path):
+    def load():
+        with (tmp_path / "loads").open("a") as f:
+            f.write("x")
+
+        def model(pairs):
+            if any("bad" in s for _, s in pairs):
+                raise OSError("cannot score")
+            return [[0.0, 0.0, 9.0] for _ in pairs]
+        return model
+
+    rows = spark.createDataFrame([("p", ["bad one."]), ("p", ["fine.", "good."]), ("p", [])] * 3, "p string, s array<string>").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = [r[0] for r in rows.select(fa.model_nli(load)("p", "s")).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == [None, [[0.0, 0.0, 9.0]] * 2, []] * 3
+    assert (tmp_path / "loads").read_text() == "x"
+
+
 def test_overlap_entailment(spark):
     scorer = fa.FaithfulnessScorer()
     evidence = evidence_of(spark, "Red fox jumps over.")
