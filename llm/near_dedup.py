@@ -8,10 +8,14 @@ more.  Candidates come from two sides:
   64-bit fingerprints differ in ten bits on average, and covering ten bits would take 2,047 tables.
 * Twenty bands of five minima over the same shingles, which miss a pair at 0.8 about three times in ten thousand.
 
-Buckets of either kind link their members to their first and last member only, never
+Buckets of either kind first link their members to their first and last member only, never
 to each other.  Every candidate is verified on bottom-k sketches: exact for texts of up to
 ``SKETCH`` distinct shingles together, an estimate (standard error 0.025 at 0.8) beyond.
-Verified links are joined to groups, and the row with the smallest id of each group stays.
+Verified links are joined to groups.  Buckets of four or more members that still hold
+several groups are then compared across these groups, so that no pair that shares a bucket stays
+unseen: a bucket is cut into cells of at most about ``CELL_ROWS`` rows a side, the rows of its
+largest group meeting only those of the others, and every cell leaves a forest of links.
+The row with the smallest id of each final group stays.
 
 Exact copies share one node by their digest, texts without words included; null counts as
 the empty text.  Null ids are kept only where a group has no other.  Repeated rows are copies.
@@ -23,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,6 +44,10 @@ BANDS = 20
 ROWS = 5
 SKETCH = 256
 BLOCK = 8_192
+#: Rows of a bucket on either side of a comparison in one task.
+CELL_ROWS = 2_048
+#: Fills short sketches; no 32-bit value equals it.
+PAD = 1 << 40
 _draw = np.random.default_rng(20)
 FACTORS = _draw.integers(0, 2 ** 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -75,12 +84,16 @@ def sketches(texts: DataFrame) -> DataFrame:
         mark, f"digest string, id {kind}, point long, low array<int>, bands array<long>")
 
 
-def star_candidates(rows: DataFrame) -> DataFrame:
-    """(a, b) from (bucket columns..., digest): every member with the first and last of its bucket."""
-    key = [c for c in rows.columns if c != "digest"]
-    ends = rows.groupBy(*key).agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first < last")
-    joined = rows.join(ends, key)
-    return joined.select(F.col("digest").alias("a"), F.explode(F.array("first", "last")).alias("b")).where(
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """(band, hash, digest, first, last, n) of the buckets with more than one member, from (band, hash, digest)."""
+    ends = members.groupBy("band", "hash").agg(
+        F.min("digest").alias("first"), F.max("digest").alias("last"), F.count("*").alias("n")).where("first < last")
+    return members.join(ends, ["band", "hash"])
+
+
+def star_candidates(shared: DataFrame) -> DataFrame:
+    """(a, b): every member with the first and last of its bucket."""
+    return shared.select(F.col("digest").alias("a"), F.explode(F.array("first", "last")).alias("b")).where(
         "a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -94,6 +107,74 @@ def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return both.where(shared >= F.lit(similarity) * F.size(least)).select("a", "b")
 
 
+def alike(one: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows of *others* (sketches filled up with PAD) are similar enough to *one*; the rule of :func:`verified`."""
+    at = np.searchsorted(one, others)
+    hit = one[np.minimum(at, len(one) - 1)] == others
+    rank = np.arange(others.shape[1]) + at - (np.cumsum(hit, axis=1) - hit)  # in the union of both
+    least = np.minimum(SKETCH, len(one) + (others < PAD).sum(axis=1) - hit.sum(axis=1))
+    return (hit & (rank < SKETCH)).sum(axis=1) >= similarity * least
+
+
+def cell_links(cell: pd.DataFrame, similarity: float) -> list[tuple[str, str]]:
+    """Links between the groups of a cell (digest, group, low), each group searched from all of its members."""
+    digests, sizes = cell["digest"].to_numpy(), cell["low"].map(len).to_numpy()
+    group = pd.factorize(cell["group"])[0]
+    rows = np.full((len(cell), sizes.max()), PAD, dtype=np.int64)
+    for i, low in enumerate(cell["low"]):
+        rows[i, :sizes[i]] = low
+    left = np.argsort(-np.bincount(group)[group], kind="stable")  # large groups first leave little to compare with
+    links = []
+    while len(left):
+        mine = group[left] == group[left[0]]
+        queue, left = left[mine].tolist(), left[~mine]
+        while queue and len(left):
+            x = queue.pop()
+            near = left[alike(rows[x, :sizes[x]], rows[left], similarity)]
+            if len(near):
+                links += [(digests[x], digests[y]) for y in near]
+                joined = np.isin(group[left], group[near])
+                queue += left[joined].tolist()
+                left = left[~joined]
+    return links
+
+
+def crowd_links(shared: DataFrame, groups: DataFrame, nodes: DataFrame, similarity: float,
+                cell_rows: int = CELL_ROWS) -> DataFrame | None:
+    """Links (a, b) between *groups* (node, root) inside the buckets that stars leave open; None if there are none.
+
+    Buckets of two or three members are left out: their stars hold all pairs.
+    """
+    crowds = materialize(shared.where("n > 3").select("band", "hash", "digest").join(
+        groups.withColumnRenamed("node", "digest"), "digest", "left").select(
+        "band", "hash", "digest", F.coalesce("root", "digest").alias("group")), "crowds")
+    sizes = crowds.groupBy("band", "hash", "group").agg(F.count("*").alias("rows"))
+    top = F.max(F.struct("rows", "group"))
+    split = sizes.groupBy("band", "hash").agg(
+        F.sum("rows").alias("rows"), F.count("*").alias("groups"), top.alias("top")).where("groups > 1")
+    whole = F.col("rows") <= cell_rows
+    minor = F.when(whole, 1).otherwise(F.ceil((F.col("rows") - F.col("top.rows")) / cell_rows)).cast("int")
+    major = F.when(whole, 0).otherwise(F.ceil(F.col("top.rows") / cell_rows)).cast("int")
+    split = materialize(split.select("band", "hash", minor.alias("minor"), major.alias("major"),
+                                     F.col("top.group").alias("top")), "open-buckets")
+    if split.isEmpty():
+        return None
+    # Blocks of smaller groups come before those of the largest; a cell (i, j) has i <= j and i among the former.
+    dealt = crowds.join(split, ["band", "hash"])
+    of_top = (F.col("major") > 0) & (F.col("group") == F.col("top"))
+    drawn = F.xxhash64("digest")
+    block = F.when(of_top, F.col("minor") + F.pmod(drawn, "major")).otherwise(F.pmod(drawn, "minor")).cast("int")
+    met = F.sequence(F.lit(0), F.when(of_top, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1)
+    placed = dealt.withColumn("block", block).withColumn("other", F.explode(met)).select(
+        "band", "hash", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "group")
+
+    def link(cell: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(cell_links(cell, similarity), columns=["a", "b"], dtype=object)
+
+    return placed.join(nodes.select("digest", "low"), "digest").groupBy("band", "hash", "i", "j").applyInPandas(
+        link, "a string, b string")
+
+
 def near_groups(texts: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """(digest, id) of every distinct text and (node, root) of the texts with near copies, from (digest, id, text)."""
     marked = materialize(sketches(texts), "sketches")
@@ -101,13 +182,17 @@ def near_groups(texts: DataFrame, similarity: float = SIMILARITY, radius: int =
         F.min("id").alias("id"), F.first("point").alias("point"), F.first("low").alias("low"),
         F.first("bands").alias("bands")), "texts")
     worded = nodes.where(F.size("low") > 0)
-    banded = worded.select("digest", F.posexplode("bands").alias("band", "hash"))
+    banded = worded.select(F.posexplode("bands").alias("band", "hash"), "digest")
     links = links_within(worded.select("point").distinct(), radius)
     rooted = components(links).withColumnRenamed("node", "point")
     ball = worded.select("digest", "point").join(rooted, "point", "left").select(
-        F.coalesce("root", "point").alias("ball"), "digest")
-    pairs = materialize(star_candidates(banded).unionAll(star_candidates(ball)).distinct(), "near-candidates")
-    return nodes.select("digest", "id"), components(verified(pairs, worded, similarity))
+        F.lit(-1).alias("band"), F.coalesce("root", "point").alias("hash"), "digest")
+    shared = materialize(shared_buckets(banded.unionAll(ball)), "shared-buckets")
+    groups = components(verified(star_candidates(shared), worded, similarity))
+    more = crowd_links(shared, groups, worded, similarity)
+    if more is not None:
+        groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+    return nodes.select("digest", "id"), groups
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:

@@ -331,6 +331,45 @@ def test_near_copies_leave_one(spark, odd, empty):
     assert near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows", [2048, 3])
+def test_crowded_buckets_lose_no_link(spark, cell_rows):
+    """Sketches that are alike without being like the ends of their bucket; the smaller bound cuts buckets into cells."""
+    draw = np.random.default_rng(3)
+    base = [np.unique(draw.integers(-2 ** 31, 2 ** 31 - 1, 300)) for _ in range(4)]
+    lows = {}
+    for k in range(48):
+        fresh = draw.integers(-2 ** 31, 2 ** 31 - 1, draw.integers(0, 60))
+        whole = np.unique(np.r_[draw.permutation(base[k % 4 if k < 24 else 0])[len(fresh):], fresh])
+        lows[f"{(k * 29) % 48:02d}"] = whole[:near_dedup.SKETCH].tolist()
+    lows["short"], lows["shorter"] = [1, 2, 3, 4, 5], [1, 2, 3, 4]
+    buckets = {0: sorted(lows), 1: sorted(lows)[::3], 2: ["00", "01", "short", "shorter"], 3: ["05", "06", "07"]}
+    members = spark.createDataFrame([(0, h, d) for h, ds in buckets.items() for d in ds], "band int, hash long, digest string")
+    nodes = spark.createDataFrame(list(lows.items()), "digest string, low array<int>")
+
+    def near(a, b):
+        least = sorted(set(lows[a]) | set(lows[b]))[:near_dedup.SKETCH]
+        return len(set(least) & set(lows[a]) & set(lows[b])) >= 0.8 * len(least)
+
+    from llm.components import components
+    shared = near_dedup.shared_buckets(members)
+    groups = components(near_dedup.verified(near_dedup.star_candidates(shared), nodes, 0.8))
+    more = near_dedup.crowd_links(shared, groups, nodes, 0.8, cell_rows)
+    found = [tuple(r) for r in more.collect()]
+    assert found and all(near(a, b) for a, b in found)
+    stars = [tuple(r) for r in groups.collect()]
+    got = dict(map(tuple, components(spark.createDataFrame(stars + found, "a string, b string")).collect()))
+    expected = {d: d for d in lows}
+    pairs = [(a, b) for ds in buckets.values() for a in ds for b in ds if a < b and near(a, b)]
+    while any(expected[a] != expected[b] for a, b in pairs):
+        for a, b in pairs:
+            expected[a] = expected[b] = min(expected[a], expected[b])
+    assert {d: got.get(d, d) for d in lows} == expected
+    sketches = np.full((2, 5), near_dedup.PAD)
+    sketches[0], sketches[1, :4] = lows["short"], lows["shorter"]
+    assert near_dedup.alike(np.array(lows["shorter"]), sketches, 0.8).tolist() == [True, True]
+    assert near_dedup.alike(np.array(lows["shorter"]), sketches, 0.81).tolist() == [False, True]
+
+
 # -- mixing
 
 
