@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 from rankloom.functions.text import ABBREVIATIONS, STOPWORDS
+from rankloom.operators.resampling import POISSON_STEPS
 
 SPACE = (r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
@@ -362,6 +363,34 @@ def _summary(group: str, value: str, source: str) -> str:
             f"FROM {source} GROUP BY {group}")
 
 
+def _hash_words(label: str, blocks: int, source: str) -> str:
+    """metric, value, block, place and 32-bit word of every digest of the rows (metric, qid, value)."""
+    return (f"SELECT metric, value, block, place, ('0x' || substr(md5('42|{label}|' || block || '|' || qid), 8 * place + 1, 8))::BIGINT "
+            f"AS word FROM {source}, range({blocks}) b(block), range(4) p(place)")
+
+
+def _bootstrap_oracle(values: str) -> str:
+    weight = " + ".join(f"(word >= {step})::INT" for step in POISSON_STEPS)
+    return with_ctes((values,), f"""
+        SELECT metric, round(any_value(mean), 6) AS mean, round(quantile_cont(coalesce(drawn, mean), 0.025), 6) AS ci_lo,
+               round(quantile_cont(coalesce(drawn, mean), 0.975), 6) AS ci_hi
+        FROM (SELECT metric, sum(weight * value) / nullif(sum(weight), 0) AS drawn
+              FROM (SELECT metric, value, block, place, {weight} AS weight FROM ({_hash_words('bootstrap', 500, values)}))
+              GROUP BY metric, block, place)
+        JOIN (SELECT metric, avg(value) AS mean FROM {values} GROUP BY metric) USING (metric) GROUP BY metric""")
+
+
+def _permutation_oracle(a: str, b: str) -> str:
+    pairs = f"(SELECT metric, qid, a.value - b.value AS value FROM {a} a JOIN {b} b USING (qid, metric))"
+    return with_ctes((a, b), f"""
+        SELECT metric, any_value(n) AS n, round(any_value(delta), 6) AS delta,
+               round(greatest(avg((abs(drawn) >= abs(delta) - 1e-12)::INT), 1e-4), 6) AS p_value
+        FROM (SELECT metric, avg((2 * ((word >> bit) & 1) - 1) * value) AS drawn
+              FROM ({_hash_words('permutation', 79, pairs)}), range(32) t(bit)
+              WHERE (block * 4 + place) * 32 + bit < 10000 GROUP BY metric, block, place, bit)
+        JOIN (SELECT metric, avg(value) AS delta, count(*) AS n FROM {pairs} GROUP BY metric) USING (metric) GROUP BY metric""")
+
+
 def _metric_oracle(*columns: str) -> str:
     wide = metrics_of(BM25)
     return with_ctes((wide,), f"SELECT qid, {', '.join(f'round({c}, 6) AS {c}' for c in columns)} FROM {wide}")
@@ -433,7 +462,7 @@ def _stem(t: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    bm25_metrics, rrf_metrics = long_metrics(BM25), long_metrics(RRF)
+    bm25_metrics, rrf_metrics, dense_metrics = long_metrics(BM25), long_metrics(RRF), long_metrics(DENSE)
     rerank = rerank_run(rrf_run("fixed", 30), "fixed")
     logits = pair_logits(RRF, "fixed")
     sentence_run = bm25_run("sentwin", 10)
@@ -513,6 +542,8 @@ def oracle_sql() -> dict[str, str]:
             JOIN embeddings b ON b.vec_id::VARCHAR = r.chunk_id
             JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) c ON c.label = a.label GROUP BY qid"""),
         "run_summary": with_ctes((bm25_metrics,), _summary("metric", "value", bm25_metrics)),
+        "bootstrap_intervals": _bootstrap_oracle(bm25_metrics),
+        "permutation_test": _permutation_oracle(bm25_metrics, dense_metrics),
         "latency_summary": _summary("event_type", "value", "events"),
         "value_percentiles": """
             SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p0,

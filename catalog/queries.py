@@ -398,14 +398,16 @@ def compared_runs(fx: Fixtures) -> DataFrame:
 
 @registered
 def bootstrap_intervals(fx: Fixtures) -> DataFrame:
-    return rs.bootstrap_ci(mt.long_metrics(_per_query(fx)), ["metric"])
+    return rs.bootstrap_ci(mt.long_metrics(_per_query(fx)), ["metric"]).select(
+        "metric", *(F.round(c, 6).alias(c) for c in ("mean", "ci_lo", "ci_hi")))
 
 
 @registered
 def permutation_test(fx: Fixtures) -> DataFrame:
     a = mt.long_metrics(_per_query(fx)).withColumnRenamed("value", "a")
     b = mt.long_metrics(_per_query(fx, fx.dense())).withColumnRenamed("value", "b")
-    return rs.paired_permutation(a.join(b, ["qid", "metric"]), ["metric"])
+    return rs.paired_permutation(a.join(b, ["qid", "metric"]), ["metric"]).select(
+        "metric", "n", *(F.round(c, 6).alias(c) for c in ("delta", "p_value")))
 
 
 def _setup_means(fx: Fixtures, setups) -> DataFrame:

@@ -1,26 +1,26 @@
 """Bootstrap confidence intervals and paired permutation tests.
 
-Values are numbered within their group and cut into blocks of bounded size; each
-block is one Arrow-batched task that returns a partial sum per resample, and Spark
-adds the partial sums up.
-
-* A group that fits one block replays the seeded NumPy stream over its values in
-  order, so results equal a single-machine run bit for bit.
-* A larger group splits each resample over its blocks by a multinomial draw that
-  every task repeats from the seed, then draws within the block.  That is the same
-  resampling distribution, without any task seeing the whole group.
+Every draw comes from a counter hash: the md5 of the seed, a draw block and the value's key
+gives four 32-bit words.  So a value's part in a draw depends on nothing else, sums add up
+map-side, and one rule holds for groups of any size and any partitioning.
+
+* Bootstrap: each word gives a value its weight in one resample, by inverting the Poisson
+  distribution with mean 1; a resample's mean is the weighted mean.  A resample in which all
+  weights are zero (one in e^n of n values) counts as the plain mean.
+* Permutation test: each bit gives a difference its sign in one permutation.
+
+Draw 0 holds the values as they are.  Missing values are left out; a null group is a group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.runtime import broadcast_if_small, materialize
+from rankloom.runtime import materialize, spread_small_input
 
 # --- fixed values ---------------------------------------------------------
 BOOTSTRAP_RESAMPLES = 2000
@@ -29,104 +29,53 @@ PERMUTATIONS = 10_000
 SEED = 42
 # --- end of fixed values --------------------------------------------------
 
-BLOCK_ROWS = 50_000
+WORDS = 4  # in a digest
+WORD_BITS = 32
+#: A word has weight k or more from the k-th of these on.
+POISSON_STEPS = [
+    math.floor(2 ** WORD_BITS * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(12)]
 _ALL = "_all"
-_MATRIX_CELLS = 4_000_000  # numbers drawn at a time inside a task
 
 
-def _blocks(data: DataFrame, by: Sequence[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(data with its block, one layout row per block).
-
-    Blocks come from a hash of the order key, so no global sort is needed.  A layout row
-    holds the group's size n and the sizes of all its blocks.
-    """
-    sizes = data.groupBy(*by).agg(F.count("*").alias("n"))  # one row per group
-    blocks = F.ceil(F.col("n") / block_rows)
-    blocked = data.join(broadcast_if_small(sizes), list(by)).withColumn(
-        "block", F.pmod(F.xxhash64("ord"), blocks).cast("int")).drop("n")
-    counts = blocked.groupBy(*by, "block").agg(F.count("*").alias("size"))
-    layouts = counts.groupBy(*by).agg(
-        F.sum("size").alias("n"), F.array_sort(F.collect_list(F.struct("block", "size"))).alias("layout"))
-    return blocked, materialize(counts.drop("size").join(layouts, list(by)), "layout")
-
-
-def _batches(n_resamples: int, width: int):
-    step = max(1, _MATRIX_CELLS // max(1, width))
-    return [(start, min(step, n_resamples - start)) for start in range(0, n_resamples, step)]
-
-
-def _bootstrap_sums(values: np.ndarray, block: int, layout: dict[int, int], n: int,
-                    n_resamples: int, seed: int) -> np.ndarray:
-    """Per resample, the sum of this block's share of the n draws."""
-    if len(layout) == 1:
-        rng = np.random.default_rng(seed)
-        return np.concatenate([
-            values[rng.integers(0, n, size=(rows, n))].mean(axis=1) * n
-            for _, rows in _batches(n_resamples, n)])
-    blocks = sorted(layout)
-    shares = np.array([layout[b] for b in blocks]) / n
-    split = np.random.default_rng([seed, 0])  # the same split in every task
-    draws = split.multinomial(n, shares, size=n_resamples)[:, blocks.index(block)]
-    rng = np.random.default_rng([seed, 1, block])
-    return np.array([values[rng.integers(0, len(values), size=m)].sum() for m in draws])
-
-
-def _flip_sums(deltas: np.ndarray, block: int, single: bool, n_permutations: int, seed: int) -> np.ndarray:
-    """Per permutation, the sum of this block's differences under random signs."""
-    rng = np.random.default_rng(seed if single else [seed, 2, block])
-    width = len(deltas)
-    return np.concatenate([
-        ((2 * rng.integers(0, 2, size=(rows, width), dtype=np.int8) - 1) * deltas).mean(axis=1) * width
-        for _, rows in _batches(n_permutations, width)])
-
-
-def _draw(data: DataFrame, by: Sequence[str], block_rows: int, draws: int, sums) -> DataFrame:
-    """by, n, draw, total: partial sums per block, added up per draw."""
-    blocked, layouts = _blocks(data, by, block_rows)
-    names = list(by)
-
-    def run(values: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
-        fact = facts.iloc[0]
-        layout = {int(part["block"]): int(part["size"]) for part in fact["layout"]}
-        ordered = values.sort_values("ord", kind="stable")["value"].to_numpy(dtype="float64")
-        totals = sums(ordered, int(fact["block"]), layout, int(fact["n"]))
-        return pd.DataFrame({**{name: fact[name] for name in names}, "n": int(fact["n"]),
-                             "draw": np.arange(draws), "partial": totals})
-
-    schema = ", ".join([*(f"`{c}` {data.schema[c].dataType.simpleString()}" for c in by),
-                        "n long", "draw int", "partial double"])
-    partials = (blocked.groupBy(*by, "block").cogroup(layouts.groupBy(*by, "block"))
-                .applyInPandas(run, schema))
-    return partials.groupBy(*by, "n", "draw").agg(F.sum("partial").alias("total"))
+def _word_rows(data: DataFrame, label: str, blocks: int, seed: int) -> DataFrame:
+    """*data* (.., key, value) with block, place (0 to 3) and word: *blocks* digests a value."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(label), F.col("block").cast("string"), "key").cast("binary"))
+    words = F.array(*(F.conv(F.substring("digest", 8 * k + 1, 8), 16, 10).cast("long") for k in range(WORDS)))
+    return (data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            .withColumn("digest", digest).select("*", F.posexplode(words).alias("place", "word")).drop("digest"))
 
 
 def _values(df: DataFrame, by: Sequence[str], order: str, value: Column) -> tuple[DataFrame, list[str]]:
-    """(by, ord, value) rows, written once because blocks read them several times.
+    """(by, key, value) rows, written once because draws and the identity read them.
 
     Without groups everything belongs to one constant group.
     """
     keys = [F.col(c) for c in by] or [F.lit(0).alias(_ALL)]
-    data = materialize(df.select(*keys, F.col(order).alias("ord"), value.cast("double").alias("value")), "values")
-    return data, list(by) or [_ALL]
+    data = df.select(*keys, F.col(order).cast("string").alias("key"), value.cast("double").alias("value"))
+    return spread_small_input(materialize(data.where("value IS NOT NULL"), "values")), list(by) or [_ALL]
 
 
 def bootstrap_ci(values: DataFrame, by: Sequence[str] = (), value: str = "value", order: str = "qid",
                  n_resamples: int = BOOTSTRAP_RESAMPLES, confidence: float = CONFIDENCE,
-                 seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 seed: int = SEED) -> DataFrame:
     """by, mean, ci_lo, ci_hi: percentile bootstrap of the mean in each group.
 
-    *order* is a column that orders the values of a group and tells them apart.
+    *order* is a column that tells the values of a group apart.
     """
     data, groups = _values(values, by, order, F.col(value))
-    draws = _draw(data, groups, block_rows, n_resamples,
-                  lambda v, block, layout, n: _bootstrap_sums(v, block, layout, n, n_resamples, seed))
+    words = _word_rows(data, "bootstrap", math.ceil(n_resamples / WORDS), seed)
+    weight = sum(((F.col("word") >= step).cast("int") for step in POISSON_STEPS), F.lit(0))
+    drawn = words.select(*groups, (F.col("block") * WORDS + F.col("place") + 1).alias("draw"), weight.alias("weight"), "value")
+    drawn = drawn.where(F.col("draw") <= n_resamples).unionByName(
+        data.select(*groups, F.lit(0).alias("draw"), F.lit(1).alias("weight"), "value"))
+    means = drawn.groupBy(*groups, "draw").agg(
+        F.try_divide(F.sum(F.col("weight") * F.col("value")), F.sum("weight")).alias("drawn"))
+    plain = F.max(F.when(F.col("draw") == 0, F.col("drawn"))).over(Window.partitionBy(*groups))  # as many rows as draws
     tail = (1.0 - confidence) / 2.0
-    mean = F.col("total") / F.col("n")
-    bounds = draws.groupBy(*groups).agg(
-        F.percentile(mean, F.lit(tail)).alias("ci_lo"),
-        F.percentile(mean, F.lit(1.0 - tail)).alias("ci_hi"))
-    means = data.groupBy(*groups).agg(F.avg("value").alias("mean"))
-    joined = means.join(bounds, groups).select(*by, "mean", "ci_lo", "ci_hi")
+    sampled = F.when(F.col("draw") > 0, F.coalesce("drawn", "mean"))
+    joined = means.withColumn("mean", plain).groupBy(*groups).agg(
+        F.max("mean").alias("mean"), F.percentile(sampled, F.lit(tail)).alias("ci_lo"),
+        F.percentile(sampled, F.lit(1.0 - tail)).alias("ci_hi")).select(*by, "mean", "ci_lo", "ci_hi")
     if by:
         return joined
     zero = F.lit(0.0)  # no values at all: one row of zeros
@@ -134,25 +83,26 @@ def bootstrap_ci(values: DataFrame, by: Sequence[str] = (), value: str = "value"
 
 
 def paired_permutation(pairs: DataFrame, by: Sequence[str] = (), a: str = "a", b: str = "b",
-                       order: str = "qid", n_permutations: int = PERMUTATIONS, seed: int = SEED,
-                       block_rows: int = BLOCK_ROWS) -> DataFrame:
+                       order: str = "qid", n_permutations: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
     """by, n, delta, p_value: two-sided sign-flip test of mean(a - b) per group.
 
-    The p-value is never below 1 / n_permutations.
+    The p-value is never below 1 / n_permutations.  *order* tells the pairs of a group apart.
     """
     data, groups = _values(pairs, by, order, F.col(a).cast("double") - F.col(b).cast("double"))
-    draws = _draw(data, groups, block_rows, n_permutations,
-                  lambda v, block, layout, n: _flip_sums(v, block, len(layout) == 1, n_permutations, seed))
-    observed = data.groupBy(*groups).agg(F.avg("value").alias("delta"))  # one row per group
+    words = _word_rows(data, "permutation", math.ceil(n_permutations / (WORDS * WORD_BITS)), seed)
+    bits = words.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(WORD_BITS - 1))))
+    sign = F.expr("2 * ((word >> bit) & 1) - 1")
+    number = (F.col("block") * WORDS + F.col("place")) * WORD_BITS + F.col("bit") + 1
+    drawn = bits.select(*groups, number.alias("draw"), (sign * F.col("value")).alias("value"))
+    drawn = drawn.where(F.col("draw") <= n_permutations).unionByName(data.select(*groups, F.lit(0).alias("draw"), "value"))
+    means = drawn.groupBy(*groups, "draw").agg(F.avg("value").alias("drawn"), F.count("*").alias("n"))
+    observed = F.max(F.when(F.col("draw") == 0, F.col("drawn"))).over(Window.partitionBy(*groups))  # as many rows as draws
     # sums in another order differ in the last bits, which must not undo a tie
     slack = 1e-12
-    extreme = (F.abs(F.col("total") / F.col("n")) >= F.abs(F.col("delta")) - slack).cast("double")
-    return (
-        draws.join(observed, groups)
-        .groupBy(*groups).agg(F.first("n").alias("n"), F.first("delta").alias("delta"),
-                              F.greatest(F.avg(extreme), F.lit(1.0 / n_permutations)).alias("p_value"))
-        .select(*by, "n", "delta", "p_value")
-    )
+    extreme = F.when(F.col("draw") > 0, (F.abs("drawn") >= F.abs("delta") - slack).cast("double"))
+    return means.withColumn("delta", observed).groupBy(*groups).agg(
+        F.max("n").alias("n"), F.max("delta").alias("delta"),
+        F.greatest(F.avg(extreme), F.lit(1.0 / n_permutations)).alias("p_value")).select(*by, "n", "delta", "p_value")
 
 
 def require_pairs(a: DataFrame, b: DataFrame) -> None:

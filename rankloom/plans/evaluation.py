@@ -43,8 +43,8 @@ def evaluate_run(run: DataFrame, questions: DataFrame, qrels: DataFrame,
 
     *submitted* lists the searched questions as (qid, latency_ms), which also covers those
     that found nothing; it defaults to the whole question set.  Questions outside the
-    question set are skipped with a warning.  The bootstrap draws over the questions in
-    file order where *questions* has a src_pos, else by qid.
+    question set are skipped with a warning.  The bootstrap draws by the questions' place in
+    the file where *questions* has a src_pos, else by qid.
     """
     submitted = submitted if submitted is not None else questions.select(
         "qid", F.lit(0.0).alias("latency_ms"))

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import warnings
 
@@ -71,11 +72,34 @@ def values_of(spark, values):
     return spark.createDataFrame([(f"q{i:05d}", float(v)) for i, v in enumerate(values)], "qid string, value double")
 
 
-def test_bootstrap_equals_numpy(spark):
+def words_of(label, block, key):
+    digest = hashlib.md5(f"42|{label}|{block}|{key}".encode()).hexdigest()
+    return [int(digest[8 * k:8 * k + 8], 16) for k in range(4)]
+
+
+def poisson_of(word):
+    """The Poisson(1) number at a uniform word, by summing probabilities."""
+    k, cumulative = 0, math.exp(-1)
+    while word >= math.floor(2 ** 32 * cumulative):
+        k += 1
+        cumulative += math.exp(-1) / math.factorial(k)
+    return k
+
+
+def expected_interval(keyed, n=2000):
+    values = np.array([v for _, v in keyed])
+    weights = np.array([[poisson_of(w) for block in range(n // 4) for w in words_of("bootstrap", block, key)] for key, _ in keyed])
+    means = np.array([np.average(values, weights=w) if w.any() else values.mean() for w in weights.T])
+    return values.mean(), np.percentile(means, 2.5), np.percentile(means, 97.5)
+
+
+def test_bootstrap_equals_hash_draws(spark):
     values = np.random.default_rng(3).random(37)
+    expected = expected_interval([(f"q{i:05d}", v) for i, v in enumerate(values)])
+    assert tuple(rs.bootstrap_ci(values_of(spark, values)).first()) == pytest.approx(expected, abs=1e-12)
+    # close to what resampling with replacement gives
     draws = values[np.random.default_rng(42).integers(0, 37, size=(2000, 37))].mean(axis=1)
-    row = rs.bootstrap_ci(values_of(spark, values)).first()
-    assert tuple(row) == pytest.approx((values.mean(), np.percentile(draws, 2.5), np.percentile(draws, 97.5)), abs=1e-12)
+    assert expected[1:] == pytest.approx((np.percentile(draws, 2.5), np.percentile(draws, 97.5)), abs=0.02)
 
 
 def test_bootstrap_edges(spark):
@@ -83,30 +107,35 @@ def test_bootstrap_edges(spark):
     assert tuple(rs.bootstrap_ci(values_of(spark, [])).first()) == (0.0, 0.0, 0.0)
 
 
-def test_bootstrap_over_many_blocks_has_the_same_distribution(spark):
-    values = np.random.default_rng(5).random(600)
-    whole = rs.bootstrap_ci(values_of(spark, values)).first()
-    split = rs.bootstrap_ci(values_of(spark, values), block_rows=50).first()
-    again = rs.bootstrap_ci(values_of(spark, values), block_rows=50).first()
-    assert tuple(split) == pytest.approx(tuple(again))
-    assert split["mean"] == pytest.approx(whole["mean"])
-    assert (split["ci_lo"], split["ci_hi"]) == pytest.approx((whole["ci_lo"], whole["ci_hi"]), abs=0.004)
-    # hash blocks differ in size, and together each resample still has n draws
-    layout = {0: 30, 1: 50, 2: 20}
-    drawn = sum(rs._bootstrap_sums(np.ones(size), b, layout, 100, 40, 42) for b, size in layout.items())
-    assert (drawn == 100).all()
+def test_draws_do_not_depend_on_size_or_partitioning(spark):
+    """One rule at every size: a value that is already there keeps its draws when others come or tasks change."""
+    frame = values_of(spark, np.random.default_rng(5).random(600))
+    whole = rs.bootstrap_ci(frame).first()
+    assert tuple(rs.bootstrap_ci(frame.repartition(7)).first()) == pytest.approx(tuple(whole), abs=1e-12)
+    one, two = (rs._word_rows(f.select(F.col("qid").alias("key"), "value"), "bootstrap", 2, 42).where("key = 'q00003'")
+                .select("block", "place", "word").collect() for f in (frame, frame.limit(5)))
+    assert sorted(one) == sorted(two) and len(one) == 8
+
+
+def test_null_groups_and_missing_values(spark):
+    rows = [(None, "a", 1.0), (None, "b", 3.0), ("g", "a", 2.0), ("g", "b", None)]
+    got = {r["g"]: tuple(r)[1:] for r in rs.bootstrap_ci(
+        spark.createDataFrame(rows, "g string, qid string, value double"), ["g"]).collect()}
+    assert got["g"] == (2.0, 2.0, 2.0) and got[None] == pytest.approx(expected_interval([("a", 1.0), ("b", 3.0)]))
 
 
-def test_permutation_equals_numpy(spark):
+def test_permutation_equals_hash_signs(spark):
     rng = np.random.default_rng(8)
     a, b = rng.random(25), rng.random(25) * 0.9
-    signs = 2 * np.random.default_rng(42).integers(0, 2, size=(10_000, 25), dtype=np.int8) - 1
-    expected = max(np.mean(np.abs((signs * (a - b)).mean(axis=1)) >= abs((a - b).mean())), 1e-4)
+    bits = np.array([[w >> bit & 1 for block in range(79) for w in words_of("permutation", block, f"q{i:05d}") for bit in range(32)]
+                     for i in range(25)])[:, :10_000]
+    flipped = ((2 * bits - 1) * (a - b)[:, None]).mean(axis=0)
+    expected = max(np.mean(np.abs(flipped) >= abs((a - b).mean()) - 1e-12), 1e-4)
     pairs = values_of(spark, a).withColumnRenamed("value", "a").join(values_of(spark, b).withColumnRenamed("value", "b"), "qid")
     row = rs.paired_permutation(pairs).first()
     assert row["p_value"] == pytest.approx(expected, abs=1e-12) and row["n"] == 25
-    blocks = rs.paired_permutation(pairs, block_rows=6).first()
-    assert blocks["p_value"] == pytest.approx(expected, abs=0.03)
+    signs = 2 * np.random.default_rng(42).integers(0, 2, size=(10_000, 25), dtype=np.int8) - 1
+    assert row["p_value"] == pytest.approx(np.mean(np.abs((signs * (a - b)).mean(axis=1)) >= abs((a - b).mean())), abs=0.03)
 
 
 def test_permutation_floor_and_identity(spark):
@@ -138,16 +167,14 @@ def test_evaluate_and_compare(spark):
     assert lone == {"delta": 1.0, "p_value": 1.0, "n": 1} and caught
 
 
-def test_bootstrap_follows_file_order(spark):
+def test_bootstrap_draws_by_file_position(spark):
     found = [1, 0, 1, 1, 0, 0, 1]
     rows = [(f"q{9 - i}", i) for i in range(len(found))]  # ids sort against the file order
     questions = spark.createDataFrame(rows, "qid string, src_pos int")
     run = run_of(spark, **{qid: "A" if found[i] else "X" for qid, i in rows})
     ev = evaluate_run(run, questions, qrels_of(spark, **{qid: "A" for qid, _ in rows}), ks=(1,))
-    values = np.array(found, dtype=float)
-    draws = values[np.random.default_rng(42).integers(0, 7, size=(2000, 7))].mean(axis=1)
     got = ev.summary_dict()["mrr"]
-    assert (got["ci_lo"], got["ci_hi"]) == pytest.approx((np.percentile(draws, 2.5), np.percentile(draws, 97.5)))
+    assert (got["mean"], got["ci_lo"], got["ci_hi"]) == pytest.approx(expected_interval([(i, float(v)) for i, v in enumerate(found)]))
 
 
 def test_summary_of_a_null_group(spark):
