@@ -136,15 +136,15 @@ def train_chain(sentences: list[tuple[list[list[int]], list[int]]], n_features:
             rows += [r] * len(fs)
             columns += [t] * len(fs)
             features += fs
-    rows, columns, features = np.array(rows), np.array(columns), np.array(features)
+    rows, columns, features = np.array(rows, dtype=int), np.array(columns, dtype=int), np.array(features, dtype=int)
+    cells = rows * width + columns
     real = np.arange(width)[None, :] < lengths[:, None]
     both = real[:, 1:]
     weights, chain = np.zeros(n_features + 1), np.zeros(5)  # the last feature is the bias
     moments = [np.zeros(n_features + 6), np.zeros(n_features + 6)]
     pairs = {(a, b): ((truth[:, :-1] == a) & (truth[:, 1:] == b) & both).sum() for a in (0, 1) for b in (0, 1)}
     for step in range(1, STEPS + 1):
-        scores = np.zeros_like(truth)
-        np.add.at(scores, (rows, columns), weights[features])
+        scores = np.bincount(cells, weights[features], truth.size).reshape(truth.shape)
         scores = (scores + weights[-1]) * real
         marginal, ahead, back = forward_backward(scores, lengths, chain)
         # Pair marginals from forward odds at t, the transition, and emission and backward odds at t + 1.
@@ -154,8 +154,7 @@ def train_chain(sentences: list[tuple[list[list[int]], list[int]]], n_features:
         mass = [np.exp(v - top) * both for v in logs]
         total = np.where(both, sum(mass), 1)
         error = (truth - marginal) * real
-        gradient = np.zeros(n_features + 6)
-        np.add.at(gradient, features, error[rows, columns])
+        gradient = np.bincount(features, error.ravel()[cells], n_features + 6)
         gradient[n_features] = error.sum()
         gradient[n_features + 1] = error[:, 0].sum()
         for k, (a, b) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
