@@ -12,8 +12,8 @@ Line rules (the first that applies names the failure):
 
 Lines without a word are dropped without counting.  A document is rejected when its base
 measures fail, or when the failed lines hold more than ``max_lost`` of its word
-characters; an unpunctuated line counts as removed but only weighs ``UNPUNCTUATED_WEIGHT``,
-since headings and cut texts are not junk.
+characters.  Every failed line counts in full, whatever its rule, so ``lost_share`` is the share
+of the text that is missing from ``clean_text``.
 
 A null or empty text has no words, fails the base rule and is not kept.  Repeated rows are
 each judged; an empty table gives an empty result; other columns are ignored.
@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from llm.common import bind, space_words
 
 SYMBOLS = r"[#*$%&|<>]"
-CLOSING = [".", "!", "?", "…", ":", ";", '"', "'", "”", "’", "»", ")", "]"]
+CLOSING = [".", "!", "?", "…", ":", ";", '"', "'", "”", "’", "»", ")", "]",
+           # Full stops, question marks and closing quotes of other scripts.
+           "。", "．", "｡", "！", "？", "：", "；", "」", "』", "）", "】", "》", "〉", "“", "‘", "«", "›", "‹", "।", "॥", "۔", "؟", "؛", "։",
+           "።", "፧", "။", "។", "᠃", "܀"]
 NOTICES = (
     "released under the", "licensed under", "all rights reserved", "copyright ©", "copyright (c)", "privacy policy",
     "terms of use", "terms of service", "cookie policy", "cookie settings", "uses cookies", "enable javascript",
@@ -35,7 +38,8 @@ NOTICES = (
 NOTICE_WORDS = 20
 MAX_LOST = 0.3
 MIN_WORDS = 50
-UNPUNCTUATED_WEIGHT = 0.25
+#: What a character of an unpunctuated line counts towards the loss: as much as any other; the SQL reads it here.
+UNPUNCTUATED_WEIGHT = 1.0
 
 
 def repeated_window_words(words: Column, mask: Column, size: int = 3) -> Column:
@@ -133,7 +137,7 @@ def clean_documents(docs: DataFrame, max_lost: float = MAX_LOST, min_words: int
         .alias("n_dup_lines"),
         repeated_window_words(F.col("words"), F.col("mask")).cast("long").alias("n_repeat_words"))
     lost = F.aggregate("judged", F.lit(0.0), lambda total, x: total + F.when(x["failure"].isNull(), 0.0)
-                       .when(x["failure"] == "unpunctuated", UNPUNCTUATED_WEIGHT).otherwise(1.0) * x["chars"])
+                       .otherwise(1.0) * x["chars"])
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     share = F.when(F.col("word_chars") > 0, lost / F.col("word_chars")).otherwise(0.0)
     passed = F.filter("judged", lambda x: x["failure"].isNull())

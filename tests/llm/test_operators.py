@@ -488,6 +488,19 @@ def test_line_rules(spark):
     assert not got[1]["kept"] and not got[1]["base_failed"]
 
 
+def test_unpunctuated_lines_count_in_full(spark):
+    lines = [" ".join(f"word{i}x{j}" for j in range(6)) for i in range(10)]
+    rows = [(0, "\n".join(lines), "en", "a"), (1, "\n".join(lines[:4] + [x + "." for x in lines[4:]]), "en", "a"),
+            (2, "\n".join(lines[:2] + [x + "." for x in lines[2:]]), "en", "a"),
+            (3, "\n".join(x + m for x, m in zip(lines, "。！？।۔؟։።။」", strict=True)), None, "a")]
+    got = {r["doc_id"]: r for r in line_rules.clean_documents(docs_of(spark, rows)).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert (got[0]["lost_share"], got[0]["clean_text"], got[0]["kept"]) == (1.0, "", False)
+    assert got[1]["n_failed_lines"] == 4 and got[1]["lost_share"] > 0.39 and not got[1]["kept"]
+    assert got[2]["n_failed_lines"] == 2 and got[2]["kept"]
+    assert got[3]["n_failed_lines"] == 0 and got[3]["kept"]
+
+
 # -- the registered queries
 
 
