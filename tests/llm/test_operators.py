@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -370,6 +371,29 @@ def test_crowded_buckets_lose_no_link(spark, cell_rows):
     assert near_dedup.alike(np.array(lows["shorter"]), sketches, 0.81).tolist() == [False, True]
 
 
+def tails(seed, n, changed):
+    """*n* texts of 1,804 words with own last *changed* words: any two share 1,800 - changed of 1,800 + changed shingles."""
+    base = [f"b{seed}x{i}" for i in range(1804 - changed)]
+    return [" ".join(base + [f"t{seed}x{k}x{i}" for i in range(changed)]) for k in range(n)]
+
+
+def test_long_texts_are_judged_by_all_their_shingles(spark):
+    """Similarities of 0.804 and 0.796 are nearer to the bound than a sketch can tell; families of six fill crowded buckets."""
+    texts = [t for s in range(12) for t in tails(s, 2, 195)] + [t for s in range(12, 24) for t in tails(s, 2, 205)]
+    texts += tails(30, 6, 195) + tails(31, 6, 205)
+    kept = near_dedup.drop_near_duplicates(docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(0, 24, 2), *range(24, 49), *range(54, 60)]
+
+
+@pytest.mark.parametrize("changed", [195, 205])
+def test_cells_decide_by_whole_sets(changed):
+    sets = [near_dedup.shingle_hashes(t.encode()).view(np.int64) for s in range(9) for t in tails(s, 2, changed)]
+    sketched = [near_dedup.sketch(t.encode())[0] for s in range(9) for t in tails(s, 2, changed)]
+    names = [f"{i:02d}" for i in range(18)]
+    links = near_dedup.cell_links(pd.DataFrame({"digest": names, "group": names, "low": sketched, "all": sets}), 0.8)
+    assert {tuple(sorted(x)) for x in links} == (set(zip(names[::2], names[1::2], strict=True)) if changed == 195 else set())
+
+
 # -- mixing
 
 
