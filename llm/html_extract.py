@@ -4,7 +4,8 @@ Markup is read once, left to right.  Block elements break the page into *lines*;
 elements and ``br`` do not.  A line's length counts its text outside links; text inside
 boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, comments,
 told by element, role or class) has length 0 and is never kept, as are scripts, styles
-and markup.  Where the page marks its article (``article`` or ``main``), lines outside it
+and markup.  An end tag left out is implied by the elements that end it in HTML (``p``, ``li``, ``dt``,
+``dd``, ``option``, table rows and cells, ``head``).  Where the page marks its article (``article`` or ``main``), lines outside it
 have length 0 too.
 
 The lengths of every window of ``WINDOW`` lines are summed.  A sum that rises from zero is
@@ -36,15 +37,30 @@ SHARE = 0.5
 SILENT = ("script", "style", "template", "noscript", "svg", "math", "iframe", "object", "textarea", "title", "xmp")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<silent>" + "|".join(SILENT) + r")\b[^>]*(?:/>|>(?:.*?</(?P=silent)\s*>|.*\Z))"
-    r"|</?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<silent>" + "|".join(SILENT) + r")(?=[\s/>])[^>]*(?:/>|>(?:.*?</(?P=silent)\s*>|.*\Z))"
+    r"|</?(?P<name>[a-zA-Z][^\s/>\"']*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[/!?a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.S | re.I)
-ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?=[\s/>]|\Z))", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section "
     "select summary table tbody td tfoot th thead tr ul".split())
+#: By opening element: the open elements whose end it implies, and those beyond which it does not look.
+IMPLIED: dict[str, list[tuple[frozenset[str], frozenset[str]]]] = {name: [] for name in BLOCK | {"body"}}
+for _openers, _ended, _stops in (
+        (BLOCK - {"html", "head"} | {"body"}, ("head",), ()),
+        (("li",), ("li",), BLOCK - {"li", "address", "div", "p"}),
+        (("dt", "dd"), ("dt", "dd"), BLOCK - {"dt", "dd", "address", "div", "p"}),
+        (("option",), ("option",), ("select", "optgroup", "datalist")),
+        (("optgroup",), ("option", "optgroup"), ("select",)),
+        (("td", "th"), ("td", "th"), ("tr", "table")),
+        (("tr",), ("tr", "td", "th"), ("tbody", "thead", "tfoot", "table")),
+        (("tbody", "thead", "tfoot"), ("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)),
+        (BLOCK - {"html", "head", "legend", "option", "optgroup", "select", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"},
+         ("p",), ("button", "table", "caption", "td", "th", "select"))):
+    for _name in _openers:
+        IMPLIED[_name].append((frozenset(_ended), frozenset(_stops)))
 ZONE = frozenset(("article", "main"))
 BOILERPLATE = frozenset("nav footer aside form dialog menu select button head".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
@@ -97,6 +113,25 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
             pieces.clear()
         linked = 0
 
+    def cut(depth: int) -> None:
+        nonlocal skipped, zone, links
+        for open_name, outermost in stack[depth:]:
+            skipped -= outermost
+            zone -= open_name in ZONE
+            links -= open_name == "a"
+        del stack[depth:]
+
+    def end_implied(name: str) -> None:
+        for ended, stops in IMPLIED.get(name, ()):
+            found = None
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] in ended:
+                    found = depth
+                elif stack[depth][0] in stops:
+                    break
+            if found is not None:
+                cut(found)
+
     for token in TOKEN.finditer(html):
         kind = token.lastgroup
         if kind == "text":
@@ -120,13 +155,11 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
-                    for open_name, outermost in stack[depth:]:
-                        skipped -= outermost
-                        zone -= open_name in ZONE
-                        links -= open_name == "a"
-                    del stack[depth:]
+                    cut(depth)
                     break
-        elif name not in VOID and not token["rest"].endswith("/"):
+            continue
+        end_implied(name)
+        if name not in VOID and not token["rest"].endswith("/"):
             outermost = not skipped and is_boilerplate(name, token["rest"], zone > 0)
             if outermost:
                 end_line()

@@ -67,6 +67,20 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(("inner", "text"), [
+    ('<p>a <a title="Hidden Markov model" href=x>link</a> b</p>', "a link b"), ('<p>a</p><p data-id="share">b</p>', "a\n\nb"),
+    ("<p>a</p><p hidden>b</p><p title='x' id=share>c</p><p a=1 CLASS = \"ad\">d</p>", "a"),
+    ("<p>a<svg-icon></svg-icon><math-field></math-field> b</p><title-bar>c</title-bar><p>d", "a b\n\nc\n\nd"),
+    ("<p>a</p><svg><text>s</text></svg><style>t</style><nav_x>b</nav_x>", "a\n\nb"),
+    ("<p class=ad>ad<p>a<p class=share>s<div>b</div>", "a\n\nb"),
+    ("<ul><li class=share>s<ul><li>t</ul><li>a<ul><li>b<li class=ad>c</ul><li>d</ul>", "a\n\nb\n\nd"),
+    ("<dl><dt class=ad>s<dd>a<dt>b</dl>", "a\n\nb"),
+    ("<table><tr><td class=ad>s<td>a<tr class=share><td>t<tr><td>b<table><tr><td>c</table>d</table>", "a\n\nb\n\nc\n\nd")])
+def test_names_and_implied_ends(inner, text):
+    assert html_extract.main_text(f"<html><body><article>{inner}</article></body></html>") == text
+    assert html_extract.main_text(f"<head><title>t</title><body><article>{inner}") == text
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é x</p>", 0), (1, "u", "<p>é x</p>", 0), (2, None, None, 1)],
                                   "page_id long, url string, html string, text int")
