@@ -8,10 +8,14 @@ and markup.  An end tag left out is implied by the elements that end it in HTML
 ``dd``, ``option``, table rows and cells, ``head``).  Where the page marks its article (``article`` or ``main``), lines outside it
 have length 0 too.
 
-The lengths of every window of ``WINDOW`` lines are summed.  A sum that rises from zero is
-a *surge*, one that falls back to zero a *dive*; between them lies a block of text.  Of a
-marked article all blocks are kept, else the longest and those at least ``SHARE`` as
-long.  Inside a block every line counts, also short ones and links.
+A marked article is taken whole: the page itself says where its text lies, and a density cut could
+only lose short paragraphs, lists and headings of it.  The line-block distribution decides all other
+pages.  The lengths of every window of ``WINDOW`` lines are summed; the page's threshold is ``DENSE`` times
+the sum around an average character, that is the mean of the sums weighted by themselves.  A block
+is a run of windows whose sums are not zero, cut to what lies between its first *surge* above the
+threshold and its last *dive* below; a run that never surges is dropped.  So menus and notices of short lines
+without a class are left out unless they lie within a window of dense text, and a real section stays
+however small it is beside the longest.  Inside a block every line counts, also short ones and links.
 
 Character references are decoded, white space inside a line becomes one space, lines are
 trimmed and joined in page order by two line feeds.  A null, empty or textless page gives
@@ -25,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame
 from llm.common import small_batches
 
 WINDOW = 3
-SHARE = 0.5
+DENSE = 0.25
 
 SILENT = ("script", "style", "template", "noscript", "svg", "math", "iframe", "object", "textarea", "title", "xmp")
 TOKEN = re.compile(
@@ -173,30 +178,31 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return lines, marked
 
 
-def text_blocks(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """(surge, dive): first and last line with text of every run of windows whose sums are not zero."""
+def text_blocks(lengths: list[int], window: int = WINDOW, dense: float = DENSE) -> list[tuple[int, int]]:
+    """(surge, dive): first and last line with text of every block of windows that holds dense text."""
+    below = list(accumulate(lengths, initial=0))
+    last = max(len(lengths) - window, 0)
+    sums = [below[min(i + window, len(lengths))] - below[i] for i in range(last + 1)]
+    threshold = dense * sum(x * x for x in sums) / max(sum(sums), 1)
     blocks: list[tuple[int, int]] = []
-    for i, length in enumerate(lengths):
-        if length:
-            if blocks and i - blocks[-1][1] <= window:  # some window spans both, so the sum never fell to zero
-                blocks[-1] = (blocks[-1][0], i)
-            else:
-                blocks.append((i, i))
-    return blocks
+    fresh = True
+    for i, total in enumerate(sums):
+        if not total:
+            fresh = True  # the sum fell to zero, so what follows is another block
+        elif total > threshold:
+            start = i if fresh else blocks.pop()[0]
+            blocks.append((start, min(i + window, len(lengths)) - 1))
+            fresh = False
+    spans = ([k for k in range(s, e + 1) if lengths[k]] for s, e in blocks)
+    return [(x[0], x[-1]) for x in spans]
 
 
 def main_text(html: str | None) -> str:
     lines, marked = page_lines(html or "")
     if marked and any(text for text, _, zone in lines if zone):
-        lines = [(text, length if zone else 0, zone) for text, length, zone in lines if zone or not text]
-        lines = [(text, length or len(text), zone) for text, length, zone in lines]  # links in an article are its text
-        kept = text_blocks([length for _, length, _ in lines])
-    else:
-        lengths = [length for _, length, _ in lines]
-        blocks = text_blocks(lengths)
-        weight = [sum(lengths[s:e + 1]) for s, e in blocks]
-        kept = [b for b, w in zip(blocks, weight, strict=True) if w >= SHARE * max(weight)]
-    return "\n\n".join(text for s, e in kept for text, _, _ in lines[s:e + 1] if text)
+        return "\n\n".join(text for text, _, zone in lines if zone and text)
+    return "\n\n".join(text for s, e in text_blocks([length for _, length, _ in lines])
+                       for text, _, _ in lines[s:e + 1] if text)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -81,6 +81,21 @@ def test_names_and_implied_ends(inner, text):
     assert html_extract.main_text(f"<head><title>t</title><body><article>{inner}") == text
 
 
+def test_window_sums_cut_unmarked_pages():
+    """Unlinked menus and notices of short lines are cut but for a window's reach; a small section after links stays."""
+    def page(*groups):
+        return "".join(f"<div>{x}</div>" for group in groups for x in group)
+
+    menu, notes = [f"item {i}" for i in range(10)], [f"note {i}" for i in range(10)]
+    text = [f"p{i} " + "long words of a paragraph " * 12 for i in range(8)]
+    small, links = ["s " + "a shorter section of the text " * 8], [f"<a href=x>link {i}</a>" for i in range(5)]
+    got = html_extract.main_text(page(menu, text, links, small, notes)).split("\n\n")
+    assert got == [x.strip() for x in menu[-2:] + text + small + notes[:2]]
+    inner = html_extract.main_text(page(text, ["one", "two", "three", "four", "five"], text)).split("\n\n")
+    assert len(inner) == 21
+    assert html_extract.text_blocks([0, 9, 0, 0, 0, 9]) == [(1, 1), (5, 5)] and html_extract.text_blocks([]) == []
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é x</p>", 0), (1, "u", "<p>é x</p>", 0), (2, None, None, 1)],
                                   "page_id long, url string, html string, text int")
