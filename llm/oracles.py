@@ -157,6 +157,27 @@ SELECT conversation, call_id, turn, result_turn, tool, CASE WHEN tool IS NOT NUL
 FROM checked"""
 
 
+def fim_sql() -> str:
+    from llm import fim_scatter as fs
+
+    draws = ", ".join(f"('0x' || h[{8 * k + 1}:{8 * k + 8}])::BIGINT AS h{k + 1}" for k in range(4))
+    return rf"""
+WITH lines AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l,
+                      sha256('{fs.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+draws AS (SELECT doc_id, text, l, len(l) AS n, {draws} FROM lines),
+cuts AS (SELECT *, least(h1 %% (n + 1), h2 %% (n + 1)) AS a, greatest(h1 %% (n + 1), h2 %% (n + 1)) AS b FROM draws),
+pieces AS (
+  SELECT doc_id, n, text, coalesce(array_to_string(l[1:a], ''), '') AS p, coalesce(array_to_string(l[a + 1:b], ''), '') AS m,
+         coalesce(array_to_string(l[b + 1:], ''), '') AS s,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 %% 100 >= {fs.RATE}
+           THEN 'plain' WHEN h4 %% 100 < {fs.SPM_SHARE} THEN 'spm' ELSE 'psm' END AS form FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM pieces""".replace("%%", "%")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_tool_call_linking": TOOL_CALLS,
@@ -164,4 +185,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_poisson_mixing": mixing_sql(),
         "op9_benchmark_decontamination": DECONTAMINATION,
         "op10_quality_rules": quality_sql(),
+        "op13_fill_in_middle": fim_sql(),
     }
