@@ -178,6 +178,66 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
 FROM pieces""".replace("%%", "%")
 
 
+#: Left to right over the turns instead of bottom-up over spans; CRC-32 bit by bit, as SQL has none.
+REPAIR = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+drawn AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda ch: ord(ch)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))) % 20 AS rule
+  FROM keyed),
+spoilt AS (
+  SELECT conv_id, turn, CASE WHEN rule = 4 THEN 'user' ELSE role END AS role,
+         CASE rule WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE rule WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn),
+convs AS (SELECT conv_id, row_number() OVER () AS conv FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (SELECT conv, turn, role, text, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i
+           FROM spoilt JOIN convs ON spoilt.conv_id IS NOT DISTINCT FROM convs.conv_id),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS later,
+                left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS previous FROM placed),
+turns AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN later THEN 'duplicate'
+                    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault FROM seen),
+closure(p, q, cost, edits) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (1, 2, 5, 'I'),
+  (3, 2, 5, 'I'), (2, 3, 5, 'I'), (0, 3, 10, 'II'), (1, 3, 10, 'II')),
+edits(p, q, edit, initial, cost) AS (VALUES (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0), (3, 2, 'K', 'u', 0),
+  (2, 3, 'K', 'a', 0), (0, 2, 'R', NULL, 1), (1, 2, 'R', NULL, 1), (3, 2, 'R', NULL, 1), (2, 3, 'R', NULL, 1),
+  (0, 0, 'D', NULL, 2), (1, 1, 'D', NULL, 2), (2, 2, 'D', NULL, 2), (3, 3, 'D', NULL, 2)),
+best AS (
+  SELECT conv, 0::BIGINT AS i, q AS place, {'cost': cost, 'audit': edits} AS least FROM convs, closure WHERE p = 0
+  UNION ALL
+  SELECT conv, i, place, min(least) FROM (
+    SELECT best.conv, t.i, c.q AS place, {
+      'cost': least.cost + e.cost + c.cost + CASE WHEN fault = 'truncated' AND edit <> 'D' THEN 5 ELSE 0 END,
+      'audit': least.audit || edit || c.edits} AS least
+    FROM best JOIN turns t ON t.conv = best.conv AND t.i = best.i + 1
+    JOIN edits e ON e.p = place AND (e.initial IS NULL OR e.initial = t.initial)
+      AND (edit = 'D' OR fault IS NULL OR fault = 'truncated')
+    JOIN closure c ON c.p = e.q) GROUP BY ALL),
+sizes AS (SELECT conv, count(i) AS n FROM convs LEFT JOIN turns USING (conv) GROUP BY conv),
+parsed AS (SELECT best.conv, min(least) AS least FROM best JOIN sizes ON best.conv = sizes.conv AND best.i = n
+           WHERE place IN (0, 3) GROUP BY best.conv),
+letters AS (SELECT conv, unnest(string_split(least.audit, '')) AS edit, unnest(range(1, length(least.audit) + 1)) AS j FROM parsed
+            WHERE least.audit <> ''),
+aligned AS (SELECT conv, j, edit, sum((edit <> 'I')::INT) OVER w AS i, sum((edit <> 'D')::INT) OVER w AS k
+            FROM letters WINDOW w AS (PARTITION BY conv ORDER BY j)),
+rows_ AS (SELECT a.conv, j, k, edit, role, text, max((k = 1 AND edit = 'K' AND initial = 's')::INT) OVER (PARTITION BY a.conv) AS led
+          FROM aligned a LEFT JOIN turns t ON t.conv = a.conv AND t.i = a.i AND edit <> 'I' WHERE edit <> 'D'),
+repaired AS (SELECT conv, sha256(string_agg(
+    CASE WHEN edit = 'K' THEN role WHEN (k - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''),
+    chr(10) ORDER BY j)) AS digest FROM rows_ GROUP BY conv),
+counts AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                  count(*) FILTER (fault = 'truncated') AS truncated,
+                  count(*) FILTER (previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+           FROM turns GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, least.cost::BIGINT AS cost, least.audit AS audit,
+       coalesce(digest, sha256('')) AS repaired_sha256
+FROM convs JOIN parsed USING (conv) LEFT JOIN counts USING (conv) LEFT JOIN repaired USING (conv)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_tool_call_linking": TOOL_CALLS,
@@ -185,5 +245,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_poisson_mixing": mixing_sql(),
         "op9_benchmark_decontamination": DECONTAMINATION,
         "op10_quality_rules": quality_sql(),
+        "op12_conversation_repair": REPAIR,
         "op13_fill_in_middle": fim_sql(),
     }
