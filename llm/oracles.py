@@ -157,6 +157,20 @@ SELECT conversation, call_id, turn, result_turn, tool, CASE WHEN tool IS NOT NUL
 FROM checked"""
 
 
+NEAR_COPIES = rf"""
+WITH RECURSIVE texts AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), {ASCII}),
+                           '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT n, gram FROM (SELECT n, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]) END) AS gram FROM texts)),
+sizes AS (SELECT n, count(*) AS size FROM grams GROUP BY n),
+shared AS (SELECT a.n AS x, b.n AS y, count(*) AS common FROM grams a JOIN grams b USING (gram) WHERE a.n <> b.n GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.n = x JOIN sizes b ON b.n = y WHERE 100 * common >= 85 * (a.size + b.size - common)),
+reach AS (SELECT n, n AS m FROM texts UNION SELECT reach.n, y FROM reach JOIN links ON x = m),
+smallest AS (SELECT reach.n, min(doc_id) AS component_id FROM reach JOIN texts ON texts.n = m GROUP BY 1)
+SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM texts JOIN smallest USING (n) LEFT JOIN sizes USING (n)"""
+
+
 def fim_sql() -> str:
     from llm import fim_scatter as fs
 
@@ -245,6 +259,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_poisson_mixing": mixing_sql(),
         "op9_benchmark_decontamination": DECONTAMINATION,
         "op10_quality_rules": quality_sql(),
+        "op11_bbit_minhash": NEAR_COPIES,
         "op12_conversation_repair": REPAIR,
         "op13_fill_in_middle": fim_sql(),
     }

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import (
-    covering_simhash, cyk_repair, fim_scatter, hilbert_shards, html_extract, line_rules, poisson_mix, prefix_decontam, tool_calls, toxic_crf, url_rules,
-    word_first_langid)
+    bbit_minhash, covering_simhash, cyk_repair, fim_scatter, hilbert_shards, html_extract, line_rules, poisson_mix, prefix_decontam,
+    tool_calls, toxic_crf, url_rules, word_first_langid)
 
 HOST_RULES = (
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -74,6 +74,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.clean_documents(table(spark, folder, "documents")).drop("clean_text", "lost_share")
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return bbit_minhash.minhash_components(table(spark, folder, "documents"))
+
+
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return cyk_repair.repair_conversations(cyk_repair.damaged(table(spark, folder, "conversations")))
 
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8,
         "op9_benchmark_decontamination": op9,
         "op10_quality_rules": op10,
+        "op11_bbit_minhash": op11,
         "op12_conversation_repair": op12,
         "op13_fill_in_middle": op13,
     }
