@@ -2,6 +2,7 @@
 
 import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -81,6 +82,41 @@ def test_names_and_implied_ends(inner, text):
     assert html_extract.main_text(f"<head><title>t</title><body><article>{inner}") == text
 
 
+BODY = "<article><h1>Head</h1><p>Some words of text.</p></article>"
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f'<div class="layout sidebar-right"><main>{BODY}</main></div>', "Head\n\nSome words of text."),
+    (f'<div class="page share">{BODY}</div>', "Head\n\nSome words of text."),
+    (f"<form action=x><p>Site</p><main>{BODY}</main></form>", "Head\n\nSome words of text."),
+    (f"<body><nav><a href=x>Home</a><main>{BODY}</main>", "Head\n\nSome words of text."),
+    (f"<div id=popup><div class=overlay>{BODY}</div></div>", "Head\n\nSome words of text."),
+    ("<article id='comment-study-2019'><p>A study.</p></article>", "A study."),
+    ("<article><section id='related-work'><h2 id='cookie-recipe'>Dough</h2><p class='alert'>Hot!</p></section></article>", "Dough\n\nHot!"),
+    # Cards in a sidebar and readers' articles stay out where the article lies elsewhere.
+    (f"<aside><article>card</article></aside>{BODY}<div class=comments><article class=comment>reader</article></div>",
+     "Head\n\nSome words of text."),
+    (f"{BODY}<div class='share-buttons'><article>share it</article></div>", "Head\n\nSome words of text."),
+    ("<article><p>a</p><div class='ad-slot'>ad</div><div class=notice>n</div><p class=ad>ad</p><p>b</p></article>", "a\n\nb"),
+    # Without a marked article: a page-wide form or layout class, and a paragraph that is one link.
+    ("<form><p>" + "some words of text " * 9 + "</p></form>", " ".join(["some words of text"] * 9)),
+    ("<div class=sidebar-left><p>" + "some words of text " * 9 + "</p></div><div class=menu>x</div>", " ".join(["some words of text"] * 9)),
+    ("<p><a href=x>" + "every word is linked " * 4 + "</a></p>", " ".join(["every word is linked"] * 4)),
+    ("<nav><a href=x>Home</a> <a href=y>News</a></nav>", ""),
+])
+def test_no_page_is_emptied(html, text):
+    assert html_extract.main_text(html) == text
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 20_000 + "x", "<b>" * 8_000 + "<p>y" * 8_000, "<p><table><tr><td>" + "<i>" * 8_000 + "<div>z</div>" * 8_000,
+    "<ul><li>" * 10_000 + "x", "<div class=ad>" * 10_000 + "x" + "</span>" * 10_000])
+def test_deep_nesting_takes_linear_time(html):
+    start = time.perf_counter()
+    html_extract.main_text(html)
+    assert time.perf_counter() - start < 1.5
+
+
 def test_window_sums_cut_unmarked_pages():
     """Unlinked menus and notices of short lines are cut but for a window's reach; a small section after links stays."""
     def page(*groups):
