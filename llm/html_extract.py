@@ -20,8 +20,8 @@ without a class are left out unless they lie within a window of dense text, and
 however small it is beside the longest.  Inside a block every line counts, also short ones and links.
 
 *Marks as weights.*  Where a page marks its article, lines outside it have length 0 and every line inside is longer by a bonus
-that alone lifts a window above the threshold.  Without the bonus the same windows reproduce 2,034 of the 2,500 articles of sf0.1 and
-lose 489 of their 26,247 lines, all of them short.
+that alone lifts a window above the threshold.  Without the bonus the same windows reproduce 2,065 of the 2,500 articles of sf0.1 and
+lose 1,244 of their 26,247 lines, of 50 characters on the mean.
 
 Character references are decoded, white space inside a line becomes one space, lines are
 trimmed and joined in page order by two line feeds.  A null, empty or textless page gives

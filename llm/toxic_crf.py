@@ -1,11 +1,11 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Documents are labelled, tokens are not, so token labels come first.  A feature of a token
-is its word or a prefix of 4 to 6 letters.  In a bounded sample of training documents a
-feature is *marked* when toxic documents use it in at least ``MIN_CONTEXTS`` different
-contexts (word before, word after) and clean ones hardly at all; contexts rather than
-occurrences, so that copies of one text mark nothing.  A token with a marked feature is
-labelled toxic if its document is.
+is its word or a prefix of 4 to 6 letters.  In a bounded sample of training documents its different
+contexts (word before, word after) are counted in toxic and in clean texts; contexts rather than
+occurrences, so that copies of one text mark nothing.  A feature is *marked* when its smoothed log-odds, relative to all
+contexts of either kind, lie above ``MIN_ODDS`` by ``ERRORS`` standard errors: no absolute bar, so a word is
+judged alike in samples of every size.  A token with a marked feature is labelled toxic if its document is.
 
 The chain has two states and is trained by gradient ascent on sentences of that sample.
 Sequences are sentences, or runs of ``LONGEST`` words of longer ones.  Forward-backward gives every token's marginal;
@@ -36,8 +36,8 @@ from rankloom.runtime import materialize
 
 SAMPLE_TOXIC = 1_500
 SAMPLE_CLEAN = 3_000
-MIN_CONTEXTS = 10
-CLEAN_SHARE = 0.05
+MIN_ODDS = 1.0
+ERRORS = 2
 MODEL_FEATURES = 20_000
 SENTENCES = 12_000
 PREFIXES = (4, 5, 6)
@@ -73,19 +73,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, n_toxic: int, n_clean: i
 
 
 def feature_counts(sample: DataFrame, limit: int) -> list:
-    """feature, toxic and clean contexts of the features that toxic texts use in most contexts."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
+    """feature and marked of the marked features and those that toxic texts use in most contexts."""
+    words = F.transform(F.regexp_extract_all(F.col("text"), F.lit(r"(\p{L}+)"), 1), F.lower)
     tokens = sample.select("toxic", words.alias("w")).select("toxic", "w", F.posexplode("w").alias("i", "word"))
     context = F.xxhash64(F.get("w", F.col("i") - 1), F.get("w", F.col("i") + 1))
     each = tokens.select("toxic", context.alias("c"), F.explode(token_features(F.col("word"))).alias("feature")).distinct()
-    counts = each.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
-    return counts.where("toxic >= 3").orderBy(F.desc("toxic"), "feature").limit(limit).collect()
+    counts = materialize(each.groupBy("feature").agg(
+        F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")), "feature-contexts")
+    all_toxic, all_clean = counts.where(F.col("feature").startswith("w:")).agg(
+        F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
+    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    bound = F.log(t / c) + float(np.log((all_clean + 0.5) / (all_toxic + 0.5))) - ERRORS * F.sqrt(1 / t + 1 / c)
+    return counts.where("toxic > 0").select("feature", "toxic", (bound >= MIN_ODDS).alias("marked")).orderBy(
+        F.desc("marked"), F.desc("toxic"), "feature").limit(limit).collect()
 
 
 def sentences_of(text: str) -> list[list[str]]:
     out = []
-    for part in SENTENCE.split(text.lower()):
-        words = WORD.findall(part)
+    for part in SENTENCE.split(text):
+        words = [word.lower() for word in WORD.findall(part)]
         out.extend(words[s:s + LONGEST] for s in range(0, len(words), LONGEST))
     return out
 
@@ -217,7 +223,6 @@ def spans_of(text: str, marginals: np.ndarray) -> list[tuple[int, int]]:
     """Code point offsets of runs of neighbouring toxic words."""
     spans: list[tuple[int, int]] = []
     last = -2
-    # Lower-casing may change lengths; then words are found in the text itself, whose words correspond.
     for i, m in enumerate(WORD.finditer(text)):
         if i < len(marginals) and marginals[i] > 0.5:
             if i == last + 1:
@@ -235,22 +240,18 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     if len(sizes) < 2:
         return None
     counts = feature_counts(sample, MODEL_FEATURES)
-    ratio = sizes[1] / sizes[0]
-    marked = {r["feature"] for r in counts
-              if r["toxic"] >= MIN_CONTEXTS and r["clean"] * ratio <= CLEAN_SHARE * r["toxic"]}
+    marked = {r["feature"] for r in counts if r["marked"]}
     index = {r["feature"]: i for i, r in enumerate(counts)}
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sentences with their labels; all that hold a marked word, and every tenth other one."""
+        """All sentences with their labels."""
         for batch in batches:
             words, ys = [], []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, sentence in enumerate(sentences_of(text or "")):
-                    y = [int(toxic and any(f in marked for f in features_of(w))) for w in sentence]
-                    if any(y) or k % 10 == 0:
-                        words.append(sentence)
-                        ys.append(y)
+                for sentence in sentences_of(text or ""):
+                    words.append(sentence)
+                    ys.append([int(toxic and any(f in marked for f in features_of(w))) for w in sentence])
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(ys, pa.list_(pa.int32()))],
                                              ["words", "y"])
 

@@ -38,8 +38,8 @@ MODEL_GRAMS = 60_000
 LONGEST = 5
 SMOOTHING = 0.5
 TEMPERATURE = 4.0
-#: Below, a text's language counts as unknown; four languages without any evidence have 0.25 each.
-MIN_SCORE = 0.3
+#: A text's language counts as known when its share is so many times that of the next language; without evidence all are alike.
+MIN_RATIO = 1.1
 MEMO = 100_000
 LETTERS = r"\p{L}+"
 WORD = re.compile(r"[^\W\d_]+")
@@ -110,10 +110,18 @@ def backoff(word: str, model: dict) -> np.ndarray:
     return np.zeros(len(model["languages"]), dtype=np.float32)
 
 
-def predict(text: str | None, model: dict, memo: dict[str, np.ndarray]) -> tuple[str, float]:
-    counts = Counter(WORD.findall((text or "").lower()))
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, lower-cased.  Number signs such as a half or a circled one are no letters."""
+    found = WORD.findall((text or "").lower())
+    return [part for word in found
+            for part in ([word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split())]
+
+
+def shares(text: str | None, model: dict, memo: dict[str, np.ndarray]) -> np.ndarray | None:
+    """The languages' shares of a text; None without a letter or a language."""
+    counts = Counter(words_of(text))
     if not counts or not model["languages"]:
-        return UNDECIDED, 0.0
+        return None
     known, n_known, total = [], [], np.zeros(len(model["languages"]))
     index = model["words"]
     for word, n in counts.items():
@@ -131,8 +139,22 @@ def predict(text: str | None, model: dict, memo: dict[str, np.ndarray]) -> tuple
     if known:
         total += np.array(n_known) @ model["word_scores"][known]
     share = np.exp((total - total.max()) / TEMPERATURE)
+    return share / share.sum()
+
+
+def predict(text: str | None, model: dict, memo: dict[str, np.ndarray]) -> tuple[str, float]:
+    share = shares(text, model, memo)
+    if share is None:
+        return UNDECIDED, 0.0
     best = int(share.argmax())
-    return model["languages"][best], float(share[best] / share.sum())
+    return model["languages"][best], float(share[best])
+
+
+def is_identified(share: np.ndarray | None, min_ratio: float = MIN_RATIO) -> bool:
+    """Whether one language stands out against the next; of a single language, whether there is any letter."""
+    if share is None:
+        return False
+    return len(share) < 2 or bool(np.max(share) >= min_ratio * np.partition(share, -2)[-2])
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
@@ -153,8 +175,8 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(mark, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: dict, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of *docs* with a language, found with at least *min_score*; all columns stay."""
+def keep_identified(docs: DataFrame, model: dict, min_ratio: float = MIN_RATIO) -> DataFrame:
+    """The rows of *docs* with a language that stands out against the next; all columns stay."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -163,8 +185,8 @@ def keep_identified(docs: DataFrame, model: dict, min_score: float = MIN_SCORE)
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, np.ndarray] = {}
         for batch in batches:
-            found = [predict(x.as_py(), shared.value, memo) for x in batch.column(at)]
-            yield batch.filter(pa.array([lang != UNDECIDED and score >= min_score for lang, score in found], pa.bool_()))
+            found = [shares(x.as_py(), shared.value, memo) for x in batch.column(at)]
+            yield batch.filter(pa.array([is_identified(share, min_ratio) for share in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -304,6 +304,35 @@ def test_toxic_spans_and_scores(spark, empty):
     assert toxic_crf.score_toxicity(empty, table).count() == 0
 
 
+def test_spans_of_words_that_change_length_in_lower_case():
+    """Words are found once, in the text itself, so marginals and offsets belong to the same words."""
+    text = "İİİ zebra. you idiot ok fine then"
+    words = [w for s in toxic_crf.sentences_of(text) for w in s]
+    assert len(words) == len(toxic_crf.WORD.findall(text)) == 7
+    marginals = np.array([float(w == "idiot") for w in words])
+    assert [text[s:e] for s, e in toxic_crf.spans_of(text, marginals)] == ["idiot"]
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_toxicity_of_the_tables(spark, folder):
+    """Held-out documents of the tables, and spans that are words of their texts; small tables mark toxic words too."""
+    where = f"/root/testdata/{folder}"
+    if not os.path.isdir(where):
+        pytest.skip("test tables not present")
+    docs = {r["doc_id"]: r["text"] for r in queries.table(spark, where, "documents").collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in queries.table(spark, where, "labels").collect()}
+    found = [r for r in queries.op5(spark, where).collect() if r["doc_id"] in toxic]
+    for held in (True, False):
+        rows = [r for r in found if r["held_out"] == held]
+        right = sum(r["predicted"] == toxic[r["doc_id"]] for r in rows)
+        caught = [r["predicted"] for r in rows if toxic[r["doc_id"]]]
+        assert right >= 0.93 * len(rows) and sum(caught) >= 0.8 * len(caught)
+    for r in found:
+        text, known = docs[r["doc_id"]] or "", {(m.start(), m.end()) for m in toxic_crf.WORD.finditer(docs[r["doc_id"]] or "")}
+        for s, e in (map(int, x.split("-")) for x in r["spans"].split(",") if x):
+            assert s in {a for a, _ in known} and e in {b for _, b in known} and not re.search("[.!?\n]", text[s:e])
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
     draw = np.random.default_rng(3)
@@ -500,6 +529,48 @@ def test_languages(spark, odd, empty):
     assert kept.columns == odd.columns and kept.where("text IS NULL OR text = ''").count() == 0
 
 
+def test_letters_and_evidence(spark):
+    """Number signs are no letters; a text without evidence goes however many languages there are, a clear one stays."""
+    wl = word_first_langid
+    rows = [(i, f"{a}one{a} {a}two{a} {a}six{a} {a}no{'abcdefghijkl'[i // 11]}", a, "s") for i, a in enumerate("pqrstuvwxyz" * 12)]
+    for n in (2, 3, 11):
+        model = wl.train(docs_of(spark, [r for r in rows if r[2] in "pqrstuvwxyz"[:n]]))
+        assert len(model["languages"]) == n
+        assert wl.predict("½ ² ①② 123", model, {}) == ("und", 0.0) and wl.shares(" ", model, {}) is None
+        assert not wl.is_identified(wl.shares("日本", model, {})) and wl.is_identified(wl.shares("ptwop", model, {}))
+        assert wl.predict("½ptwop²", model, {})[0] == "p"
+    docs = docs_of(spark, [(1, "½ ² ①② 123", None, None), (2, "日本", None, None), (3, "qsixq", None, None), (4, None, None, None)])
+    assert [r["doc_id"] for r in wl.keep_identified(docs, model).collect()] == [3]
+
+
+def test_scores_against_plain_backoff(spark):
+    """The shares of a text from counts of its words, known words first, then the longest known n-grams."""
+    wl = word_first_langid
+    rows = [(i, " ".join(words(30, i, 60)).translate(str.maketrans("0123456789", "abcdefghij")) + {0: " kora", 1: " limo"}[i % 2],
+             ["aa", "bb"][i % 2], "s") for i in range(80)]
+    model = wl.train(docs_of(spark, rows))
+
+    def plain(text):
+        total = np.zeros(2)
+        for word in re.findall("[a-z]+", text.lower()):
+            if word in model["words"]:
+                total += model["word_scores"][model["words"][word]]
+                continue
+            marked = f"<{word}>"
+            for k in range(min(5, len(marked)), 0, -1):
+                known = [model["gram_scores"][model["grams"][g]] for g in (marked[s:s + k] for s in range(len(marked) - k + 1))
+                         if g in model["grams"]]
+                if known:
+                    total += np.mean(known, axis=0)
+                    break
+        share = np.exp((total - total.max()) / 4)
+        return share / share.sum()
+
+    asked = [rows[0][1], "korax unseenkora wab", "limo limo limox", "wabcd zzzz kor lim"]
+    found = {r["doc_id"]: r["score"] for r in wl.identify(docs_of(spark, [(i, t, None, None) for i, t in enumerate(asked)]), model).collect()}
+    assert all(np.isclose(found[i], plain(t).max(), atol=1e-5) for i, t in enumerate(asked))
+
+
 # -- decontamination
 
 
