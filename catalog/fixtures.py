@@ -1,6 +1,6 @@
 """The test tables in the roles the operators expect.
 
-documents = corpus, benchmark = questions (first words of each passage), relevance =
+documents = corpus, benchmark = questions (each whole passage), relevance =
 documents that contain the passage, embeddings = ready vectors.  Chunks and indexes are
 built once per session and folder, as they would be in a deployment.
 """
@@ -18,9 +18,8 @@ from rankloom.operators.chunking import FixedSizeChunker, SentenceWindowChunker
 from rankloom.operators.dense import DenseRetriever
 from rankloom.operators.retriever import Retriever
 from rankloom.plans.setups import SharedIndexes
-from rankloom.runtime import materialize, spread_small_input
+from rankloom.runtime import broadcast_if_small, materialize, spread_small_input
 
-QUESTION_WORDS = 12
 KEY_WORDS = 8
 
 FIXED = FixedSizeChunker(200, 40)
@@ -44,10 +43,9 @@ class Fixtures:
     @cached_property
     def questions(self) -> DataFrame:
         """qid, question, passage."""
-        words = F.slice(F.split("text", " "), 1, QUESTION_WORDS)
         return materialize(self.table("benchmark").select(
             F.col("item_id").cast("string").alias("qid"),
-            F.array_join(words, " ").alias("question"),
+            F.col("text").alias("question"),
             F.col("text").alias("passage")), "questions")
 
     @property
@@ -58,24 +56,32 @@ class Fixtures:
     def qrels(self) -> DataFrame:
         """qid, doc_id where the document contains the whole passage.
 
-        Both sides meet on a hash of eight consecutive words from inside the passage; only
-        those candidates are compared as text.
+        Both sides meet on a hash of eight consecutive words from inside the passage, whose first and last word
+        may be parts of longer ones in a document.  A passage too short for that meets the documents by its one longest
+        inner word, or all documents if it has none.  Only those candidates are compared as text.
         """
-        words = tx.split_whitespace(F.col("passage"))
-        keyed = self.questions.select(
-            "qid",
-            F.when(F.size(words) < KEY_WORDS + 2, F.raise_error(F.lit("a passage has under ten words")))
-            .otherwise(F.xxhash64(F.array_join(F.slice(words, 2, KEY_WORDS), " "))).alias("key"))
+        asked = self.questions.select("qid", "passage", F.slice(
+            tx.split_whitespace(F.col("passage")), 2, F.greatest(F.size(tx.split_whitespace(F.col("passage"))) - 2, F.lit(0))).alias("inner"))
+        long_ = asked.where(F.size("inner") >= KEY_WORDS).select(
+            "qid", F.xxhash64(F.array_join(F.slice("inner", 1, KEY_WORDS), " ")).alias("key"))
+        longest = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w), w.alias("word"))))["word"]
+        short = asked.where(F.size("inner") < KEY_WORDS).select("qid", F.xxhash64(longest).alias("key"), F.size("inner").alias("n"))
 
         def grams(words: Column) -> Column:
             return F.array_distinct(F.transform(
                 F.sequence(F.lit(1), F.greatest(F.size(words) - KEY_WORDS + 1, F.lit(1))),
                 lambda at: F.xxhash64(F.array_join(F.slice(words, at, KEY_WORDS), " "))))
 
-        in_docs = self.documents.select(
-            "doc_id", F.explode(tx.bind(tx.split_whitespace(F.col("text")), grams)).alias("key"))
+        words = tx.split_whitespace(F.col("text"))
         # Catalyst broadcasts the questions while their table is small, and shuffles them if not.
-        candidates = materialize(in_docs.join(keyed, "key").select("qid", "doc_id").distinct(), "pairs")
+        found = self.documents.select("doc_id", F.explode(tx.bind(words, grams)).alias("key")).join(long_, "key").select("qid", "doc_id")
+        if not short.isEmpty():
+            by_word = self.documents.select("doc_id", F.explode(F.transform(F.array_distinct(words), F.xxhash64)).alias("key"))
+            found = found.unionByName(by_word.join(short.where("n > 0").drop("n"), "key").select("qid", "doc_id"))
+            # Passages without an inner word are a stated set, compared with every document.
+            bare = broadcast_if_small(short.where("n = 0").join(asked.select("qid", "passage"), "qid"), 10_000)
+            found = found.unionByName(self.documents.join(bare, F.contains("text", "passage")).select("qid", "doc_id"))
+        candidates = materialize(found.distinct(), "pairs")
         return materialize(
             self.documents.select("doc_id", "text")
             .join(candidates, "doc_id").join(self.questions.select("qid", "passage"), "qid")

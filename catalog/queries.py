@@ -146,7 +146,7 @@ def vocabulary(fx: Fixtures) -> DataFrame:
 
 @registered
 def question_terms(fx: Fixtures) -> DataFrame:
-    return bm25.query_terms(fx.queries, 8).select("qid", "term", "qtf")
+    return bm25.query_terms(fx.queries).select("qid", "term", "qtf")
 
 
 # --- retrieval ------------------------------------------------------------
@@ -172,6 +172,12 @@ def bm25_shuffled_terms(fx: Fixtures) -> DataFrame:
     return fx.search(bm25.BM25Retriever.over(fx.bm25().tables, broadcast_rows=0))
 
 
+@registered
+def bm25_pruned_search(fx: Fixtures) -> DataFrame:
+    """Two steps: blocks whose bound cannot reach the best ten are never scored."""
+    return fx.search(bm25.BM25Retriever.over(fx.bm25().tables, prune=True))
+
+
 @registered
 def bm25_conversations(fx: Fixtures) -> DataFrame:
     turns = fx.table("conversations").filter(F.col("role") == "user").select(

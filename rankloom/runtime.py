@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 # Rows a side may have before we stop broadcasting it.
 BROADCAST_ROWS = 1_000_000
+# Keys that a scan takes as a list.
+PUSHED_KEYS = 8_192
+ROW_GROUP_BYTES = 4 << 20
 
 _local_scratch: dict[str, str] = {}
 
@@ -73,33 +76,52 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def write_bucketed(df: DataFrame, path: str, bucket: str, n_buckets: int, sort: list[str],
-                   partition: str | None = None) -> DataFrame:
+                   row_group_bytes: int = ROW_GROUP_BYTES) -> DataFrame:
     """Write *df* hash-bucketed by a column and return it as a table.
 
     Joins and aggregations on that column later need no shuffle of this side.  A *df*
-    already hashed by the column into as many partitions is written as it lies.
+    already hashed by the column into as many partitions is written as it lies, one file a bucket.
+    Rows are sorted within a bucket, in small row groups, so that a filter on the sorted column
+    skips most of the file by its statistics.
     """
     spark = df.sparkSession
     table = f"rankloom_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").option("path", path).bucketBy(n_buckets, bucket).sortBy(*sort)
-    (writer.partitionBy(partition) if partition else writer).saveAsTable(table)
+    (df.write.format("parquet").option("path", path).option("parquet.block.size", str(row_group_bytes))
+     .bucketBy(n_buckets, bucket).sortBy(*sort).saveAsTable(table))
     return spark.table(table)
 
 
-def read_bucketed(spark: SparkSession, path: str, schema: str, bucket: str, n_buckets: int,
-                  sort: list[str], partition: str | None = None) -> DataFrame:
+def read_bucketed(spark: SparkSession, path: str, schema: str, bucket: str, n_buckets: int, sort: list[str]) -> DataFrame:
     """Open a table written by :func:`write_bucketed`, maybe in an earlier session."""
     table = f"rankloom_{uuid.uuid4().hex}"
-    parts = f"PARTITIONED BY ({partition}) " if partition else ""
     spark.sql(
-        f"CREATE TABLE {table} ({schema}) USING parquet {parts}"
-        f"CLUSTERED BY ({bucket}) SORTED BY ({', '.join(sort)}) INTO {n_buckets} BUCKETS "
-        f"LOCATION '{path}'")
-    if partition:
-        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+        f"CREATE TABLE {table} ({schema}) USING parquet "
+        f"CLUSTERED BY ({bucket}) SORTED BY ({', '.join(sort)}) INTO {n_buckets} BUCKETS LOCATION '{path}'")
     return spark.table(table)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer takes *df* to hold; the size of its files for a plain scan."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def rows_with(table: DataFrame, column: str, keys: DataFrame, limit: int = PUSHED_KEYS) -> DataFrame | None:
+    """The rows of *table* whose string *column* is among the *keys* (one column), by a pushed-down list.
+
+    The list reaches the scan: it names the buckets to open and the row groups to read.  None when there are
+    more than *limit* keys; then a join is the better plan.  Pass written keys, as they are read here.
+    """
+    found = [r[0] for r in keys.distinct().limit(limit + 1).collect()]  # bounded by the limit
+    if len(found) > limit:
+        return None
+    spark, threshold = table.sparkSession, "spark.sql.parquet.pushdown.inFilterThreshold"
+    if int(spark.conf.get(threshold)) < limit:
+        spark.conf.set(threshold, str(limit))
+    # One expression as text: a list of literals would be one call into the JVM each.
+    quoted = ", ".join("'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in found if k is not None)
+    return table.where(f"{column} IN ({quoted})") if quoted else table.where("false")
+
+
 def spread_small_input(df: DataFrame) -> DataFrame:
     """Shuffle rows only when the input has fewer files than the cluster has cores.
 

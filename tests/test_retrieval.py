@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import STOPWORDS
-from rankloom.operators.bm25 import BM25Retriever, build_bm25_tables, load_bm25_tables
+from rankloom.operators.bm25 import (
+    BM25Retriever, bm25_scores, build_bm25_tables, load_bm25_tables, pruned_scores, weighted_terms)
 from rankloom.operators.dense import DenseRetriever
 from rankloom.operators.encoders import hashing_encoder, model_encoder, model_scorer
 from rankloom.operators.expansion import ExpandingRetriever, Rm3QueryExpander
@@ -15,7 +16,7 @@ from rankloom.operators.fusion import HybridRetriever, fuse_rrf, fuse_weighted
 from rankloom.operators.rerank import PairReranker
 from rankloom.operators.retriever import attach_text
 from rankloom.plans.setups import default_retriever
-from rankloom.runtime import new_table_path
+from rankloom.runtime import new_table_path, rows_with, write_bucketed
 
 RUN = "qid string, rank int, chunk_id string, doc_id string, score double, retriever string"
 CHUNK = "chunk_id string, doc_id string, text string, index int"
@@ -78,7 +79,7 @@ def test_bm25_repeated_query_words_count_again(spark, chunks, bm25):
 def test_bm25_shuffled_terms_split_hot_terms(spark):
     # "common" is in every chunk: far beyond the hot share, so it is split
     rows = [(f"c{i:03d}", f"d{i}", f"common word{i % 7} " + "pad " * (i % 3), 0) for i in range(300)]
-    tables = build_bm25_tables(spark.createDataFrame(rows, CHUNK), term_buckets=4)
+    tables = build_bm25_tables(spark.createDataFrame(rows, CHUNK))
     queries = ask(spark, "common word3", "word5 common common", "pad")
     wide = BM25Retriever.over(tables, broadcast_rows=0).search(queries, 20)
     small = BM25Retriever.over(tables).search(queries, 20)
@@ -108,6 +109,48 @@ def test_bm25_scores_without_shuffling_postings(spark, questions, bm25):
     assert "WindowGroupLimit" in plan
 
 
+def test_bm25_reads_only_its_terms(spark, questions):
+    """One file a bucket; the question's terms reach the scan, and row groups without them are not read."""
+    words = [f"t{i:05d}" for i in range(20_000)]
+    rows = [(f"c{i:04d}", "d", " ".join(words[i * 20:i * 20 + 40]), 0) for i in range(999)]
+    tables = build_bm25_tables(spark.createDataFrame(rows, CHUNK).repartition(3), chunk_buckets=2)
+    small_groups = write_bucketed(tables.postings, new_table_path(spark, "small"), "chunk_id", 2, ["term"], 16_384)
+    assert len(tables.postings.inputFiles()) == len(small_groups.inputFiles()) == 2
+    asked = spark.createDataFrame([(words[0],), (words[9_999],)], "term string")
+    found = rows_with(small_groups, "term", asked)
+    assert {r["term"] for r in found.collect()} == {words[0], words[9_999]}
+    plan = found._jdf.queryExecution().executedPlan()
+    assert "In(term, [" in plan.toString()
+    scan = plan.collectLeaves().head()
+    assert int(scan.metrics().get("numOutputRows").get().value()) < tables.n_postings / 4
+    assert rows_with(small_groups, "term", tables.vocab.select("term"), 100) is None
+    assert rows_with(small_groups, "term", asked.limit(0)).count() == 0
+    quoted = spark.createDataFrame([("it's \\ odd",)], "term string")
+    assert rows_with(quoted, "term", quoted).count() == 1
+
+
+def test_bm25_pruned_search_equals_exhaustive(spark):
+    """Few blocks are scored where some chunks stand out; ties at the bound stay, as do questions with few matches."""
+    draw = np.random.default_rng(8)
+    rows = [(f"c{i:04d}", f"d{i}", " ".join(f"w{x}" for x in draw.zipf(1.6, 30) if x < 3_000), 0) for i in range(1_500)]
+    rows += [(f"x{i:03d}", "e", "w7 w9 rare " + "w1 " * (i % 2), 0) for i in range(60)]  # ties in many blocks
+    tables = build_bm25_tables(spark.createDataFrame(rows, CHUNK), chunks_per_block=8)
+    queries = ask(spark, "w7 w9 rare", "w1 w2", "w2999", "w1", "nothing", "w11 w12 w13 w14")
+    whole = BM25Retriever.over(tables, prune=False)
+    for k in (1, 10, 70):
+        assert ranked(BM25Retriever.over(tables, prune=True).search(queries, k)) == ranked(whole.search(queries, k))
+    for params in ({"k1": 0.4, "b": 1.0}, {"k1": 3.0, "b": 0.0}):
+        assert ranked(BM25Retriever.over(tables, prune=True, **params).search(queries, 5)) == ranked(
+            BM25Retriever.over(tables, prune=False, **params).search(queries, 5))
+    terms = weighted_terms(tables, queries, 1_000)
+    found = pruned_scores(tables, terms, 3, 1.5, 0.75)
+    assert 0.3 < found.share_skipped() < 1
+    bounds = {(r["qid"], r["block"]): r["bound"] for r in found.bounds.collect()}
+    block = F.pmod(F.xxhash64("chunk_id"), F.lit(tables.n_blocks)).cast("int")
+    for r in bm25_scores(tables, terms, 1.5, 0.75).withColumn("block", block).collect():
+        assert r["score"] <= bounds[r["qid"], r["block"]] + 1e-9
+
+
 def test_empty_index_and_missing_index(spark, questions):
     nothing = spark.createDataFrame([], CHUNK)
     for retriever in (BM25Retriever(), DenseRetriever()):
