@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as tx
-from rankloom.operators.retriever import Retriever
+from rankloom.operators.retriever import Retriever, fetch
 from rankloom.runtime import materialize
 
 log = logging.getLogger(__name__)
@@ -20,8 +20,7 @@ def feedback_terms(run: DataFrame, tokens: DataFrame, queries: DataFrame, fb_ter
     *run* holds the feedback chunks, *tokens* is (chunk_id, tokens).  Terms are ordered by
     frequency over the feedback chunks, then by first sight (chunk rank, then position).
     """
-    seen = run.select("qid", "rank", "chunk_id").join(
-        tokens.select("chunk_id", "tokens"), "chunk_id")
+    seen = fetch(tokens, run.select("qid", "rank", "chunk_id"), ["tokens"])
     counted = (
         seen.select("qid", "rank", F.posexplode("tokens").alias("pos", "term"))
         .groupBy("qid", "term")
@@ -75,13 +74,15 @@ class Rm3QueryExpander:
         return feedback_terms(run, self._tokens(), queries, self.fb_terms)
 
     def expand(self, queries: DataFrame) -> DataFrame:
-        """(qid, question) rows with expanded questions; falls back to the originals."""
-        try:
-            terms = self.terms(queries)
-        except Exception as error:  # noqa: BLE001 - expansion must never fail a search
-            log.warning("Feedback retrieval failed (%s); using the original questions.", error)
+        """(qid, question) rows with expanded questions.
+
+        Questions without feedback terms keep their text, and so do all when the feedback retriever was never
+        indexed.  What fails in Spark raises: a lost stage must not turn expansion off for a whole batch.
+        """
+        if not self.retriever._ready:
+            log.warning("The feedback retriever has no index; using the original questions.")
             return queries.select("qid", "question")
-        return expanded_questions(queries, terms)
+        return expanded_questions(queries, self.terms(queries))
 
 
 class ExpandingRetriever(Retriever):

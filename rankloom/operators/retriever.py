@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import ranking_score
-from rankloom.runtime import broadcast_if_small
+from rankloom.runtime import LISTED_KEYS, broadcast_if_small, estimated_bytes, new_table_path, rows_with, write_bucketed
 from rankloom.schemas import CHUNK_COLUMNS, RUN_COLUMNS, require_columns
 
 QUERY_COLUMNS = ("qid", "question")
+BUCKET_BYTES = 256 << 20
+MAX_BUCKETS = 100_000
 
 
 class Retriever(ABC):
@@ -67,10 +69,25 @@ def top_k(scored: DataFrame, k: int, retriever: str) -> DataFrame:
     )
 
 
-def attach_text(run: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Add the chunk text to a run, broadcasting the run unless it is too long for that.
+def fetch(table: DataFrame, run: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of *run* with *columns* of a chunk table.
 
-    Pass a materialised run, so that counting it does not rank again.
+    The chunk ids of a short run are a list in the scan's filter: on a table bucketed and sorted by chunk id
+    (:func:`write_chunks`) only their buckets are opened, and of these the row groups that may hold them.  A longer run is joined,
+    without a shuffle of a bucketed table.  Pass a materialised run, so that it is not ranked again.
     """
-    return (chunks.select("chunk_id", "text").join(broadcast_if_small(run), "chunk_id")
-            .select(*run.columns, "text"))
+    listed = rows_with(table, "chunk_id", run.select("chunk_id"), LISTED_KEYS)
+    side = broadcast_if_small(run)
+    return (table if listed is None else listed).select("chunk_id", *columns).join(side, "chunk_id").select(*run.columns, *columns)
+
+
+def attach_text(run: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Add the chunk text to a run."""
+    return fetch(chunks, run, ["text"])
+
+
+def write_chunks(chunks: DataFrame, n_buckets: int | None = None) -> DataFrame:
+    """*chunks* written as a table bucketed and sorted by chunk id, in buckets of about ``BUCKET_BYTES``."""
+    spark = chunks.sparkSession
+    n = n_buckets or max(spark.sparkContext.defaultParallelism, min(MAX_BUCKETS, estimated_bytes(chunks) // BUCKET_BYTES))
+    return write_bucketed(chunks.repartition(n, "chunk_id"), new_table_path(spark, "chunks"), "chunk_id", n, ["chunk_id"])

@@ -22,7 +22,7 @@ from rankloom.operators.encoders import Encoder, PairScorer, hashing_encoder, ov
 from rankloom.operators.expansion import ExpandingRetriever, Rm3QueryExpander
 from rankloom.operators.fusion import OVERFETCH, HybridRetriever
 from rankloom.operators.rerank import PairReranker
-from rankloom.operators.retriever import Retriever, attach_text
+from rankloom.operators.retriever import Retriever, attach_text, write_chunks
 from rankloom.runtime import materialize
 from rankloom.schemas import RUN_COLUMNS
 
@@ -71,7 +71,7 @@ class SharedIndexes:
     def chunks(self, chunker: Chunker) -> DataFrame:
         key = (type(chunker), tuple(sorted(vars(chunker).items())))
         if key not in self._chunks:
-            self._chunks[key] = materialize(chunk_corpus(self.corpus, chunker), "chunks")
+            self._chunks[key] = write_chunks(chunk_corpus(self.corpus, chunker))
         return self._chunks[key]
 
     def index(self, retriever: Retriever, chunker: Chunker) -> Retriever:

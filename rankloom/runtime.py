@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 # Rows a side may have before we stop broadcasting it.
 BROADCAST_ROWS = 1_000_000
-# Keys that a scan takes as a list.
-PUSHED_KEYS = 8_192
+# Keys up to which a list is compared with the statistics of row groups and pages (Spark pushes it as one nested
+# condition, which must not grow deep), and keys up to which it still names the buckets to open.
+PUSHED_KEYS = 500
+LISTED_KEYS = 8_192
 ROW_GROUP_BYTES = 4 << 20
 
 _local_scratch: dict[str, str] = {}
@@ -106,17 +108,18 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def rows_with(table: DataFrame, column: str, keys: DataFrame, limit: int = PUSHED_KEYS) -> DataFrame | None:
-    """The rows of *table* whose string *column* is among the *keys* (one column), by a pushed-down list.
+    """The rows of *table* whose string *column* is among the *keys* (one column), by a list in the scan's filter.
 
-    The list reaches the scan: it names the buckets to open and the row groups to read.  None when there are
-    more than *limit* keys; then a join is the better plan.  Pass written keys, as they are read here.
+    On a bucketed column the list names the buckets to open; up to ``PUSHED_KEYS`` keys it also names the row groups
+    to read.  None when there are more than *limit* keys; then a join is the better plan.  Pass written keys, as
+    they are read here.
     """
     found = [r[0] for r in keys.distinct().limit(limit + 1).collect()]  # bounded by the limit
     if len(found) > limit:
         return None
     spark, threshold = table.sparkSession, "spark.sql.parquet.pushdown.inFilterThreshold"
-    if int(spark.conf.get(threshold)) < limit:
-        spark.conf.set(threshold, str(limit))
+    if int(spark.conf.get(threshold)) < PUSHED_KEYS:
+        spark.conf.set(threshold, str(PUSHED_KEYS))
     # One expression as text: a list of literals would be one call into the JVM each.
     quoted = ", ".join("'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in found if k is not None)
     return table.where(f"{column} IN ({quoted})") if quoted else table.where("false")

@@ -14,9 +14,9 @@ from rankloom.operators.encoders import hashing_encoder, model_encoder, model_sc
 from rankloom.operators.expansion import ExpandingRetriever, Rm3QueryExpander
 from rankloom.operators.fusion import HybridRetriever, fuse_rrf, fuse_weighted
 from rankloom.operators.rerank import PairReranker
-from rankloom.operators.retriever import attach_text
+from rankloom.operators.retriever import attach_text, fetch, write_chunks
 from rankloom.plans.setups import default_retriever
-from rankloom.runtime import new_table_path, rows_with, write_bucketed
+from rankloom.runtime import materialize, new_table_path, rows_with, write_bucketed
 
 RUN = "qid string, rank int, chunk_id string, doc_id string, score double, retriever string"
 CHUNK = "chunk_id string, doc_id string, text string, index int"
@@ -239,9 +239,34 @@ def test_expansion(spark):
     assert search.count() == 3  # kiwi alone finds one chunk
 
 
-def test_expansion_failure_keeps_the_question(spark):
-    broken = Rm3QueryExpander(BM25Retriever())  # never indexed
-    assert broken.expand(ask(spark, "apple")).first()["question"] == "apple"
+def test_expansion_failures(spark):
+    """Without an index questions stay as they are; an error inside Spark is raised."""
+    never_indexed = Rm3QueryExpander(BM25Retriever())
+    assert never_indexed.expand(ask(spark, "apple")).first()["question"] == "apple"
+
+    class Failing(BM25Retriever):
+        def _search(self, queries, k):
+            return queries.select("qid", F.raise_error(F.lit("lost")).alias("rank"))
+
+    failing = Failing()
+    failing._ready = True
+    with pytest.raises(Exception, match="lost"):
+        Rm3QueryExpander(failing, tokens=spark.createDataFrame([], "chunk_id string, tokens array<string>")).expand(ask(spark, "a")).collect()
+
+
+def test_fetch_opens_only_the_wanted_buckets(spark):
+    rows = [(f"c{i:05d}", "d", f"text {i}", i) for i in range(5_000)]
+    table = write_chunks(spark.createDataFrame(rows, CHUNK), 16)
+    run = materialize(spark.createDataFrame([("q0", 1, "c00017"), ("q1", 1, "c04000"), ("q0", 2, "c04000"), ("q2", 1, "none")],
+                                            "qid string, rank int, chunk_id string"), "run")
+    found = fetch(table, run, ["text"])
+    assert sorted(map(tuple, found.collect())) == [("q0", 1, "c00017", "text 17"), ("q0", 2, "c04000", "text 4000"), ("q1", 1, "c04000", "text 4000")]
+    listed = rows_with(table, "chunk_id", run.select("chunk_id"))
+    plan = listed._jdf.queryExecution().executedPlan()
+    assert "In(chunk_id, [" in plan.toString() and "In(chunk_id, [" in found._jdf.queryExecution().executedPlan().toString()
+    buckets = plan.collectLeaves().head().optionalBucketSet()
+    assert buckets.isDefined() and 1 <= buckets.get().cardinality() <= 3
+    assert fetch(table, materialize(table.select("chunk_id", "index"), "run"), ["text"]).count() == 5_000
 
 
 def test_rerank(spark):
