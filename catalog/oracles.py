@@ -9,6 +9,8 @@ from __future__ import annotations
 import unicodedata
 
 from rankloom.functions.text import ABBREVIATIONS, STOPWORDS
+from rankloom.operators import latent
+from rankloom.operators.encoders import FIT_RATE, FIT_RIDGE, FIT_STEPS, HASH_DIMS, PRIOR_WEIGHTS
 from rankloom.operators.resampling import POISSON_STEPS
 
 SPACE = (r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -154,24 +156,64 @@ for _c in ("fixed", "sentwin"):
     cte(f"{_c}_vocab", (f"{_c}_postings", f"{_c}_stats"), f"""
     SELECT term, df, ln((n_chunks - df + 0.5) / (df + 0.5) + 1.0) AS idf
     FROM (SELECT term, count(*) AS df FROM {_c}_postings GROUP BY term), {_c}_stats""")
-    # hashed words: every code point's low five bits xor'ed onto 5381 mod 32
     cte(f"{_c}_hashed", (_c,), f"""
-    SELECT chunk_id, doc_id, bucket, count(*) AS n FROM (
-      SELECT chunk_id, doc_id, xor(5, list_reduce(list_transform(string_split(token, ''),
-             lambda ch: unicode(ch) & 31), lambda x, y: xor(x, y))) AS bucket
-      FROM (SELECT chunk_id, doc_id, unnest({overlap_tokens('text')}) AS token FROM {_c})) GROUP BY ALL""")
-    cte(f"{_c}_vectors", (f"{_c}_hashed",), f"""
-    SELECT chunk_id, doc_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)) AS v FROM {_c}_hashed""")
+    SELECT chunk_id, bucket, count(*) AS n FROM (
+      SELECT chunk_id, ('0x' || substr(md5(token), 1, 2))::INT % {HASH_DIMS} AS bucket
+      FROM (SELECT chunk_id, unnest({overlap_tokens('text')}) AS token FROM {_c})) GROUP BY ALL""")
 
 cte("question_terms", ("questions",), f"""
     SELECT qid, term, count(*) AS qtf
     FROM (SELECT qid, unnest({index_tokens('question')}) AS term FROM questions) GROUP BY ALL""")
-cte("question_vectors", ("questions",), f"""
-    SELECT qid, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY qid)) AS v FROM (
-      SELECT qid, bucket, count(*) AS n FROM (
-        SELECT qid, xor(5, list_reduce(list_transform(string_split(token, ''),
-               lambda ch: unicode(ch) & 31), lambda x, y: xor(x, y))) AS bucket
-        FROM (SELECT qid, unnest({overlap_tokens('question')}) AS token FROM questions)) GROUP BY ALL)""")
+V = [f"v{j}" for j in range(1, latent.DIMS + 1)]
+
+
+def columns(template: str) -> str:
+    """One expression per dimension; {v} is its column."""
+    return ", ".join(template.format(v=v) + f" AS {v}" for v in V)
+
+
+def orthonormalised(name: str, source: str) -> str:
+    """Gram-Schmidt over the columns of *source* (term, v1, ...), one dimension after another."""
+    for j, v in enumerate(V):
+        before = V[:j]
+        shares = ", ".join(f"sum({u} * {v}) AS r{i}" for i, u in enumerate(before)) or "count(*) AS n"
+        rest = "".join(f" - r{i} * {u}" for i, u in enumerate(before))
+        cte(f"{name}_{v}_shares", (source,), f"SELECT {shares} FROM {source}")
+        source = cte(f"{name}_{v}", (source, f"{name}_{v}_shares"), f"""
+        SELECT * REPLACE ({v} / sqrt(sum({v} * {v}) OVER ()) AS {v})
+        FROM (SELECT term, {', '.join(f'{v}{rest} AS {v}' if u == v else u for u in V)} FROM {source}, {name}_{v}_shares)""")
+    return source
+
+
+def weight_rows(name: str, counts: str, key: str, features: str) -> str:
+    """Normalised weights of (key, term, tf) over the features."""
+    return cte(name, (counts, features), f"""
+    SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w
+    FROM (SELECT {key}, term, (1 + ln(tf)) * idf AS w FROM {counts} JOIN {features} USING (term))""")
+
+
+for _c in ("fixed", "sentwin"):
+    cte(f"{_c}_features", (f"{_c}_vocab",), f"SELECT term, idf FROM {_c}_vocab ORDER BY df DESC, term LIMIT {latent.FEATURES}")
+    weight_rows(f"{_c}_weights", f"{_c}_postings", "chunk_id", f"{_c}_features")
+    _draws = ", ".join(
+        f"('0x' || substr(d{j // 4}, {8 * (j % 4) + 1}, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5::DOUBLE AS {v}" for j, v in enumerate(V))
+    _digests = ", ".join(f"md5('{latent.SEED}|latent|{b}|' || term) AS d{b}" for b in range(-(-latent.DIMS // 4)))
+    _basis = orthonormalised(f"{_c}_b0", cte(
+        f"{_c}_start", (f"{_c}_features",), f"SELECT term, {_draws} FROM (SELECT term, {_digests} FROM {_c}_features)"))
+    for _i in range(latent.ITERATIONS):
+        cte(f"{_c}_c{_i}", (f"{_c}_weights", _basis), f"""
+        SELECT chunk_id, {columns('sum(w * {v})')} FROM {_c}_weights JOIN {_basis} USING (term) GROUP BY chunk_id""")
+        _basis = orthonormalised(f"{_c}_b{_i + 1}", cte(f"{_c}_t{_i}", (f"{_c}_weights", f"{_c}_c{_i}"), f"""
+        SELECT term, {columns('sum(w * {v})')} FROM {_c}_weights JOIN {_c}_c{_i} USING (chunk_id) GROUP BY term"""))
+    weight_rows(f"{_c}_asked", "question_counts", "qid", f"{_c}_features")
+    _norm = "sqrt(" + " + ".join(f"{v} * {v}" for v in V) + ")"
+    for _name, _source, _key in ((f"{_c}_vectors", f"{_c}_weights", "chunk_id"), (f"{_c}_question_vectors", f"{_c}_asked", "qid")):
+        cte(_name, (_source, _basis), f"""
+        SELECT {_key}, {columns('({v} / n)::FLOAT::DOUBLE')} FROM (
+          SELECT *, CASE WHEN {_norm} = 0 THEN 1 ELSE {_norm} END AS n FROM (
+            SELECT {_key}, {columns('sum(w * {v})')} FROM {_source} JOIN {_basis} USING (term) GROUP BY {_key}))""")
+
+cte("question_counts", ("question_terms",), "SELECT qid, term, qtf AS tf FROM question_terms")
 
 
 # --- runs: qid, rank, chunk_id, doc_id, score, retriever ---
@@ -193,12 +235,12 @@ def bm25_run(chunks: str, k: int, k1: float = 1.5, b: float = 0.75, terms: str =
 
 
 def dense_run(chunks: str, k: int) -> str:
-    return ranked(f"dense_{chunks}_{k}", (f"{chunks}_vectors", "question_vectors", chunks), f"""
-        SELECT q.qid, c.chunk_id, c.doc_id, coalesce(s.score, 0.0) AS score
-        FROM (SELECT DISTINCT qid FROM questions) q CROSS JOIN {chunks} c LEFT JOIN (
-          SELECT qid, chunk_id, sum(a.v * b.v) AS score
-          FROM question_vectors a JOIN {chunks}_vectors b USING (bucket) GROUP BY qid, chunk_id) s
-        ON s.qid = q.qid AND s.chunk_id = c.chunk_id""", k, "'dense'")
+    product = " + ".join(f"a.{v} * b.{v}" for v in V)
+    return ranked(f"dense_{chunks}_{k}", (f"{chunks}_vectors", f"{chunks}_question_vectors", "questions", chunks), f"""
+        SELECT q.qid, c.chunk_id, c.doc_id, coalesce({product}, 0.0) AS score
+        FROM (SELECT DISTINCT qid FROM questions) q CROSS JOIN {chunks} c
+        LEFT JOIN {chunks}_question_vectors a ON a.qid = q.qid LEFT JOIN {chunks}_vectors b ON b.chunk_id = c.chunk_id""",
+                  k, "'dense'")
 
 
 def rrf_run(chunks: str, k: int) -> str:
@@ -219,13 +261,50 @@ def weighted_run(chunks: str, k: int, weights: tuple[float, float]) -> str:
                   k, "'hybrid_weighted'")
 
 
+def pair_features(run: str, chunks: str) -> str:
+    """A run with the features x0 to x3 of its pairs."""
+    def share(asked: str, held: str) -> str:
+        return f"coalesce(len(list_intersect({asked}, {held}))::DOUBLE / nullif(len(list_distinct({asked})), 0), 0)"
+
+    def neighbours(words: str) -> str:
+        return f"list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1])"
+
+    return cte(f"features_{run}", (run, chunks, "questions"), f"""
+    SELECT * EXCLUDE (q, p, qq, pp), 1.0::DOUBLE AS x0, {share('q', 'p')} AS x1, {share('qq', 'pp')} AS x2,
+           coalesce(len(q)::DOUBLE / nullif(len(q) + len(p), 0), 0) AS x3
+    FROM (SELECT *, {neighbours('q')} AS qq, {neighbours('p')} AS pp FROM (
+      SELECT r.*, {overlap_tokens('question')} AS q, {overlap_tokens('text')} AS p FROM {run} r
+      JOIN {chunks} c USING (chunk_id) JOIN questions USING (qid)))""")
+
+
 def pair_logits(run: str, chunks: str) -> str:
-    q, p = overlap_tokens("question"), overlap_tokens("text")
-    return cte(f"logits_{run}", (run, chunks, "questions"), f"""
-    SELECT r.*, CASE WHEN len(q) = 0 OR len(p) = 0 THEN 0.0 ELSE ln(j / (1 - j)) END AS logit
-    FROM (SELECT *, {clamped(jaccard('q', 'p'))} AS j FROM (
-      SELECT r.*, {q} AS q, {p} AS p FROM {run} r
-      JOIN {chunks} c USING (chunk_id) JOIN questions USING (qid))) r""")
+    features = pair_features(run, chunks)
+    odds = " + ".join(f"x{i} * ({w}::DOUBLE)" for i, w in enumerate(PRIOR_WEIGHTS))
+    return cte(f"logits_{run}", (features,), f"SELECT *, {odds} AS logit FROM {features}")
+
+
+def fitted_weights(run: str, chunks: str) -> str:
+    """One row w0 to w3: gradient ascent on the training questions' pairs of a run."""
+    features, odds = pair_features(run, chunks), " + ".join(f"x{i} * w{i}" for i in range(4))
+    pairs = cte("judged_pairs", (features, "qrels"), f"""
+    SELECT *, 0.5 / count(*) OVER (PARTITION BY y) AS mass FROM (
+      SELECT f.*, (r.qid IS NOT NULL)::INT AS y FROM {features} f
+      LEFT JOIN (SELECT DISTINCT qid, doc_id FROM qrels) r ON r.qid = f.qid AND r.doc_id = f.doc_id
+      WHERE left(md5(f.qid), 1) > '2')""")
+    step = cte("weights_0", (pairs,), "SELECT " + ", ".join(f"{w}::DOUBLE AS w{i}" for i, w in enumerate(PRIOR_WEIGHTS)))
+    for t in range(1, FIT_STEPS + 1):
+        moved = ", ".join(f"any_value(w{i}) + {FIT_RATE} * (sum(e * x{i}) - {FIT_RIDGE} * any_value(w{i})) AS w{i}" for i in range(4))
+        step = cte(f"weights_{t}", (pairs, step), f"""
+        SELECT {moved} FROM (SELECT *, mass * (y - 1 / (1 + exp(-({odds})))) AS e FROM {pairs}, {step})""")
+    return step
+
+
+def rerank_fitted_run(train: str, run: str, chunks: str, k: int = 5) -> str:
+    features, weights = pair_features(run, chunks), fitted_weights(train, chunks)
+    odds = " + ".join(f"x{i} * w{i}" for i in range(4))
+    return ranked(f"rerank_fitted_{run}_{k}", (features, weights), f"""
+        SELECT qid, chunk_id, doc_id, retriever AS first_stage, 1 / (1 + exp(-greatest(-88.0, least(88.0, {odds})))) AS score
+        FROM {features}, {weights}""", k, "'rerank(' || first_stage || ')'")
 
 
 def rerank_run(run: str, chunks: str, k: int = 5) -> str:
@@ -464,6 +543,7 @@ def oracle_sql() -> dict[str, str]:
     bm25_metrics, rrf_metrics, dense_metrics = long_metrics(BM25), long_metrics(RRF), long_metrics(DENSE)
     rerank = rerank_run(rrf_run("fixed", 30), "fixed")
     logits = pair_logits(RRF, "fixed")
+    weights = fitted_weights(RRF, "fixed")
     sentence_run = bm25_run("sentwin", 10)
     index = index_tokens("text")
     return {
@@ -500,9 +580,16 @@ def oracle_sql() -> dict[str, str]:
               FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id + 1)) AS s FROM embeddings))""",
         "dense_embeddings": _run_oracle("dense_embeddings"),
         "dense_embeddings_grid": _run_oracle("dense_embeddings"),
-        "hashed_counts": with_ctes(("fixed_hashed",), """
+        "latent_vectors": with_ctes(("fixed_vectors", "fixed"), f"""
+            SELECT chunk_id, substr(name, 2)::BIGINT - 1 AS pos, round(value, 6) AS value
+            FROM (UNPIVOT (SELECT chunk_id, {columns('coalesce({v}, 0)')} FROM fixed LEFT JOIN fixed_vectors USING (chunk_id)) ON {', '.join(V)} INTO NAME name VALUE value)"""),
+        "fitted_pair_weights": with_ctes((weights,), f"""
+            SELECT substr(name, 2)::BIGINT AS feature, round(value, 6) AS weight
+            FROM (UNPIVOT {weights} ON w0, w1, w2, w3 INTO NAME name VALUE value)"""),
+        "rerank_fitted": _run_oracle(rerank_fitted_run(RRF, rrf_run("fixed", 30), "fixed")),
+        "hashed_counts": with_ctes(("fixed_hashed",), f"""
             SELECT c.chunk_id, b.bucket::BIGINT AS bucket, coalesce(n, 0)::DOUBLE AS n
-            FROM fixed c CROSS JOIN (SELECT unnest(range(32)) AS bucket) b
+            FROM fixed c CROSS JOIN (SELECT unnest(range({HASH_DIMS})) AS bucket) b
             LEFT JOIN fixed_hashed h ON h.chunk_id = c.chunk_id AND h.bucket = b.bucket"""),
         "dense_search": _run_oracle(DENSE),
         "hybrid_rrf": _run_oracle(RRF),

@@ -19,7 +19,7 @@ from rankloom.operators import metrics as mt
 from rankloom.operators import resampling as rs
 from rankloom.operators.chunking import FixedSizeChunker
 from rankloom.operators.dense import DenseRetriever
-from rankloom.operators.encoders import hash_counts, overlap_scorer
+from rankloom.operators.encoders import coverage_scorer, fit_pair_weights, hash_counts, weighted_scorer
 from rankloom.operators.expansion import ExpandingRetriever, Rm3QueryExpander
 from rankloom.operators.rerank import PairReranker, score_pairs
 from rankloom.operators.retriever import attach_text
@@ -210,8 +210,8 @@ def dense_embeddings(fx: Fixtures) -> DataFrame:
 
 @registered
 def dense_embeddings_grid(fx: Fixtures) -> DataFrame:
-    """The plan for question sets beyond one tile."""
-    retriever, asked = _embedding_retriever(fx, question_tile=128, vector_tile=200)
+    """Question tiles one after another, for sets beyond one tile."""
+    retriever, asked = _embedding_retriever(fx, question_tile=128)
     return retriever.search_vectors(asked, 10)
 
 
@@ -220,6 +220,12 @@ def hashed_counts(fx: Fixtures) -> DataFrame:
     return fx.chunks().select("chunk_id", F.posexplode(hash_counts(F.col("text"))).alias("bucket", "n"))
 
 
+@registered
+def latent_vectors(fx: Fixtures) -> DataFrame:
+    """Every chunk's vector under the encoder fitted on all chunks."""
+    return fx.dense().vectors.select("chunk_id", F.posexplode("vec").alias("pos", "value"))
+
+
 @registered
 def dense_search(fx: Fixtures) -> DataFrame:
     return fx.search(fx.dense())
@@ -265,7 +271,7 @@ def _candidates(fx: Fixtures, k: int = 10) -> DataFrame:
 
 @registered
 def pair_scores(fx: Fixtures) -> DataFrame:
-    return score_pairs(_candidates(fx), fx.queries, overlap_scorer).select("qid", "chunk_id", "logit")
+    return score_pairs(_candidates(fx), fx.queries, coverage_scorer).select("qid", "chunk_id", "logit")
 
 
 @registered
@@ -273,6 +279,27 @@ def rerank_hybrid(fx: Fixtures) -> DataFrame:
     return PairReranker().rerank(fx.queries, _candidates(fx, 30), 5).drop("text")
 
 
+def _judged_pairs(fx: Fixtures) -> DataFrame:
+    """Hybrid candidates of the training questions, relevant when their document holds the passage."""
+    training = F.left(F.md5(F.col("qid").cast("binary")), F.lit(1)) > "2"  # about four fifths
+    relevant = fx.qrels.select("qid", "doc_id", F.lit(True).alias("relevant"))
+    return (_candidates(fx).where(training).join(fx.queries, "qid").join(relevant, ["qid", "doc_id"], "left")
+            .select("question", "text", F.coalesce("relevant", F.lit(False)).alias("relevant")))
+
+
+@registered
+def fitted_pair_weights(fx: Fixtures) -> DataFrame:
+    """Weights of the pair features by logistic regression on judged pairs."""
+    weights = fit_pair_weights(_judged_pairs(fx))
+    return fx.spark.createDataFrame(list(enumerate(weights)), "feature int, weight double")
+
+
+@registered
+def rerank_fitted(fx: Fixtures) -> DataFrame:
+    scorer = weighted_scorer(fit_pair_weights(_judged_pairs(fx)))
+    return PairReranker(scorer).rerank(fx.queries, _candidates(fx, 30), 5).drop("text")
+
+
 # --- answers --------------------------------------------------------------
 
 def _evidence(fx: Fixtures) -> DataFrame:

@@ -1,13 +1,16 @@
 """Exhaustive cosine search over unit vectors.
 
 The product of questions and vectors is inherent to exact search, so it is done as
-block matrix products inside Arrow tasks and never leaves them: each task keeps the
-best k per question and emits only those.
+block matrix products inside Arrow tasks and never leaves them: vectors are scanned where they lie
+and no vector is ever shuffled.
 
-* Questions that fit one checked tile travel to the vector tasks as a broadcast
-  matrix; vectors are scanned where they lie, without a shuffle.
-* Larger question sets use a grid: both sides are hashed into tiles of bounded size
-  and each (question tile, vector tile) cell is one Arrow task.
+* Questions travel to the vectors as a broadcast matrix of at most ``QUESTION_TILE`` rows.  A larger set is
+  cut into such tiles by the hash of the question id, and the tiles take turns; their results are written one by one.
+* Hits are merged at two levels.  Neighbouring splits of the vector table share a task, ``MERGE_TASKS`` at most per core, which keeps
+  a running best k per question; only these rows, groups times k per question, reach the last shuffle.
+
+Vectors are stored as 32-bit floats, as models make them; products are taken in 64 bits.  Ties are settled by chunk id
+inside the tasks, so copies never pile up.
 """
 
 from __future__ import annotations
@@ -20,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import SCORE_DIGITS, l2_normalize
-from rankloom.operators.encoders import Encoder, hashing_encoder
+from rankloom.operators.encoders import Encoder
+from rankloom.operators.latent import LatentEncoder
 from rankloom.operators.retriever import Retriever, top_k
 from rankloom.runtime import materialize
 
 QUESTION_TILE = 4096  # questions in one matrix
-VECTOR_TILE = 32_768  # vectors in one grid cell
+MERGE_TASKS = 4  # scanning tasks per core
 BLOCK = 4096  # vectors per matrix product
 
 _HITS = "qid string, chunk_id string, doc_id string, score double"
@@ -36,7 +40,7 @@ _HITS_ARROW = pa.schema([("qid", pa.string()), ("chunk_id", pa.string()),
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64, copy=False)
 
 
 class _BestHits:
@@ -85,43 +89,28 @@ def _scan_hits(vectors: DataFrame, qids: list[str], matrix: np.ndarray, k: int)
                          _matrix(batch.column(2)))
         yield best.batch()
 
-    return vectors.select("chunk_id", "doc_id", "vec").mapInArrow(scan, _HITS)
-
-
-def _grid_hits(vectors: DataFrame, questions: DataFrame, k: int,
-               question_tile: int, vector_tile: int) -> DataFrame:
-    q_tiles = -(-questions.count() // question_tile)
-    v_tiles = -(-vectors.count() // vector_tile)
-    every_q = F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1)))
-    every_v = F.explode(F.sequence(F.lit(0), F.lit(v_tiles - 1)))
-    left = questions.select(
-        F.pmod(F.xxhash64("qid"), F.lit(q_tiles)).cast("int").alias("qt"),
-        every_v.alias("vt"), "qid", F.col("vec").alias("question_vec"))
-    right = vectors.select(
-        every_q.alias("qt"),
-        F.pmod(F.xxhash64("chunk_id"), F.lit(v_tiles)).cast("int").alias("vt"),
-        "chunk_id", "doc_id", "vec")
-
-    def cell(q: pa.Table, v: pa.Table) -> pa.Table:
-        if not q.num_rows or not v.num_rows:
-            return _HITS_ARROW.empty_table()
-        best = _BestHits(q["qid"].to_pylist(), _matrix(q["question_vec"]), k)
-        best.add(v["chunk_id"].to_pylist(), v["doc_id"].to_pylist(), _matrix(v["vec"]))
-        return pa.Table.from_batches([best.batch()])
-
-    return (left.groupBy("qt", "vt").cogroup(right.groupBy("qt", "vt"))
-            .applyInArrow(cell, _HITS))
-
-
-def dense_hits(vectors: DataFrame, questions: DataFrame, k: int,
-               question_tile: int = QUESTION_TILE, vector_tile: int = VECTOR_TILE) -> DataFrame:
-    """Best hits of (qid, vec) against (chunk_id, doc_id, vec); a few times k rows per qid."""
-    tile = questions.select("qid", "vec").limit(question_tile + 1).toArrow()
-    if tile.num_rows == 0:
+    groups = MERGE_TASKS * vectors.sparkSession.sparkContext.defaultParallelism
+    return vectors.select("chunk_id", "doc_id", "vec").coalesce(groups).mapInArrow(scan, _HITS)
+
+
+def dense_hits(vectors: DataFrame, questions: DataFrame, k: int, question_tile: int = QUESTION_TILE) -> DataFrame:
+    """Best hits of (qid, vec) against (chunk_id, doc_id, vec); at most groups times k rows per qid."""
+    first = questions.select("qid", "vec").limit(question_tile + 1).toArrow()
+    if first.num_rows == 0:
         return questions.sparkSession.createDataFrame([], _HITS)
-    if tile.num_rows <= question_tile:
-        return _scan_hits(vectors, tile["qid"].to_pylist(), _matrix(tile["vec"]), k)
-    return _grid_hits(vectors, questions, k, question_tile, vector_tile)
+    if first.num_rows <= question_tile:
+        return _scan_hits(vectors, first["qid"].to_pylist(), _matrix(first["vec"]), k)
+    written = materialize(questions.select("qid", "vec"), "dense-questions")
+    tiles = -(-2 * written.count() // question_tile)  # half full on the mean
+    placed = F.pmod(F.xxhash64("qid"), F.lit(tiles))
+    hits = None
+    for t in range(tiles):
+        tile = written.where(placed == t).toArrow()
+        for start in range(0, tile.num_rows, question_tile):
+            part = tile.slice(start, question_tile)
+            found = materialize(_scan_hits(vectors, part["qid"].to_pylist(), _matrix(part["vec"]), k), "tile-hits")
+            hits = found if hits is None else hits.unionByName(found)
+    return hits
 
 
 class DenseRetriever(Retriever):
@@ -129,13 +118,12 @@ class DenseRetriever(Retriever):
 
     name = "dense"
 
-    def __init__(self, encoder: Encoder = hashing_encoder, question_tile: int = QUESTION_TILE,
-                 vector_tile: int = VECTOR_TILE) -> None:
+    def __init__(self, encoder: Encoder | LatentEncoder = LatentEncoder(), question_tile: int = QUESTION_TILE) -> None:
         super().__init__()
         self.encoder = encoder
         self.question_tile = question_tile
-        self.vector_tile = vector_tile
         self.vectors: DataFrame | None = None
+        self.fitted: Encoder | None = None  # the encoder as a function of Columns
 
     @classmethod
     def over(cls, vectors: DataFrame, **params) -> "DenseRetriever":
@@ -146,9 +134,11 @@ class DenseRetriever(Retriever):
         return retriever
 
     def encode(self, texts: DataFrame, text_column: str) -> DataFrame:
-        return texts.withColumn("vec", l2_normalize(self.encoder(F.col(text_column))))
+        unit = l2_normalize(self.fitted(F.col(text_column)))
+        return texts.withColumn("vec", unit.cast("array<float>"))
 
     def _build(self, chunks: DataFrame) -> None:
+        self.fitted = self.encoder.fit(chunks) if hasattr(self.encoder, "fit") else self.encoder
         encoded = self.encode(chunks, "text").select("chunk_id", "doc_id", "vec")
         vectors = materialize(encoded, "vectors")
         if vectors.isEmpty():
@@ -157,7 +147,7 @@ class DenseRetriever(Retriever):
 
     def search_vectors(self, questions: DataFrame, k: int = 10) -> DataFrame:
         """Search with ready (qid, vec) rows."""
-        hits = dense_hits(self.vectors, questions, k, self.question_tile, self.vector_tile)
+        hits = dense_hits(self.vectors, questions, k, self.question_tile)
         return top_k(hits, k, self.name)
 
     def _search(self, queries: DataFrame, k: int) -> DataFrame:

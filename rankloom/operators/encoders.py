@@ -1,7 +1,8 @@
 """Model hooks: encoders and pair scorers.
 
-A hook is a function of Columns returning a Column.  The built-in ones are native
-and deterministic, for use without a model; ``model_*`` wrap a Python model, loaded
+A hook is a function of Columns returning a Column.  The built-in ones need no model file: texts are encoded by
+latent vectors fitted on the corpus (:mod:`rankloom.operators.latent`), pairs are scored by word and word-pair coverage with
+fixed weights or, where judged pairs exist, by weights fitted on them.  ``model_*`` wrap a Python model, loaded
 once per task and fed Arrow batches.
 """
 
@@ -11,59 +12,90 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import scores as sc
 from rankloom.functions import text as tx
+from rankloom.runtime import materialize
 
 Encoder = Callable[[Column], Column]
 PairScorer = Callable[[Column, Column], Column]
 
-# --- fixed values ---------------------------------------------------------
-HASH_DIM = 32
-HASH_SEED = 5381
+HASH_DIMS = 64
+#: Keeps the odds of the entailment scorer finite.
 OVERLAP_CLAMP = 1e-6
-# --- end of fixed values --------------------------------------------------
+#: Weights of the features of a pair before any are fitted: constant, words, word pairs, length.
+PRIOR_WEIGHTS = (-3.0, 4.0, 3.0, 0.0)
+FIT_STEPS = 25
+FIT_RATE = 4.0
+FIT_RIDGE = 0.001
 
 
-def hash_bucket(token: Column) -> Column:
-    """Bucket of a token under the hash h = (33·h) xor code, modulo 32.
+def hash_counts(text: Column, dims: int = HASH_DIMS) -> Column:
+    """Word counts per hash bucket, as doubles: features that need no fitting.  A word's bucket is the first byte of its md5."""
+    def count_each(buckets: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
 
-    Modulo 32, 33·h equals h, so only the low five bits of the codes' xor matter.
-    """
-    codes = F.transform(F.split(token, ""), lambda ch: F.ascii(ch).bitwiseAND(HASH_DIM - 1))
-    start = F.lit(HASH_SEED % HASH_DIM)
-    return F.aggregate(codes, start, lambda acc, code: acc.bitwiseXOR(code))
+    buckets = F.transform(tx.overlap_tokens(text), lambda word: F.conv(F.left(F.md5(word.cast("binary")), F.lit(2)), 16, 10).cast("int") % dims)
+    return tx.bind(buckets, count_each)
 
 
-def hash_counts(text: Column) -> Column:
-    """Token counts per hash bucket, as 32 doubles."""
-    def count_each(buckets: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(HASH_DIM - 1)),
-            lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
+def clamped_share(share: Column) -> Column:
+    return F.greatest(F.lit(OVERLAP_CLAMP), F.least(F.lit(1.0 - OVERLAP_CLAMP), share))
 
-    return tx.bind(F.transform(tx.overlap_tokens(text), hash_bucket), count_each)
 
+def _neighbours(words: Column) -> Column:
+    """Every two words that follow each other."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
-def hashing_encoder(text: Column) -> Column:
-    """Bag of hashed words in 32 dimensions, unit length unless empty."""
-    return sc.l2_normalize(hash_counts(text))
 
+def pair_features(query: Column, passage: Column) -> Column:
+    """What speaks for a pair, as doubles: 1, and the shares of the query's distinct words and distinct word pairs that the
+    passage has (0 without any), and of the query's words among all words of both."""
+    def share(asked: Column, held: Column) -> Column:
+        return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, held)), F.size(F.array_distinct(asked))), F.lit(0.0))
 
-def clamped_share(share: Column) -> Column:
-    return F.greatest(F.lit(OVERLAP_CLAMP), F.least(F.lit(1.0 - OVERLAP_CLAMP), share))
+    def features(words: Column) -> Column:
+        q, p = words["q"], words["p"]
+        length = F.coalesce(F.try_divide(F.size(q), F.size(q) + F.size(p)), F.lit(0.0))
+        return F.array(F.lit(1.0), share(q, p), share(_neighbours(q), _neighbours(p)), length)
 
+    return tx.bind(F.struct(tx.overlap_tokens(query).alias("q"), tx.overlap_tokens(passage).alias("p")), features)
 
-def overlap_scorer(query: Column, passage: Column) -> Column:
-    """Log-odds of the Jaccard overlap of two texts; 0 when either has no words."""
-    def score(words: Column) -> Column:
-        empty = (F.size(words["q"]) == 0) | (F.size(words["p"]) == 0)
-        share = clamped_share(tx.jaccard(words["q"], words["p"]))
-        return F.when(empty, F.lit(0.0)).otherwise(tx.bind(share, sc.logit))
 
-    return tx.bind(F.struct(tx.overlap_tokens(query).alias("q"), tx.overlap_tokens(passage).alias("p")), score)
+def weighted_scorer(weights: Sequence[float]) -> PairScorer:
+    """Log-odds that a passage answers a query, from the features of the pair."""
+    def score(query: Column, passage: Column) -> Column:
+        terms = F.zip_with(pair_features(query, passage), F.array(*map(F.lit, weights)), lambda x, w: x * w)
+        return F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
+
+    return score
+
+
+coverage_scorer = weighted_scorer(PRIOR_WEIGHTS)
+
+
+def fit_pair_weights(pairs: DataFrame, steps: int = FIT_STEPS, rate: float = FIT_RATE, ridge: float = FIT_RIDGE) -> list[float]:
+    """Weights of a logistic regression on judged *pairs* (question, text, relevant), by gradient ascent from the prior ones.
+
+    A step is one pass over the written features: every task adds up its own rows' gradient, and four sums reach the driver.
+    Relevant and other pairs weigh the same in total.  Without both kinds the prior weights stay.
+    """
+    rows = materialize(pairs.select(pair_features(F.col("question"), F.col("text")).alias("x"),
+                                    F.col("relevant").cast("int").alias("y")), "pair-features")
+    n, hits = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    weights = list(PRIOR_WEIGHTS)
+    if not 0 < hits < n:
+        return weights
+    mass = F.when(F.col("y") == 1, 0.5 / hits).otherwise(0.5 / (n - hits))
+    for _ in range(steps):
+        odds = sum((F.col("x")[i] * w for i, w in enumerate(weights)), F.lit(0.0))
+        error = mass * (F.col("y") - 1 / (1 + F.exp(-odds)))
+        gradient = rows.agg(*(F.sum(error * F.col("x")[i]) for i in range(len(weights)))).first()
+        weights = [w + rate * (g - ridge * w) for w, g in zip(weights, gradient, strict=True)]
+    return weights
 
 
 def overlap_nli(premise: Column, hypothesis: Column) -> Column:

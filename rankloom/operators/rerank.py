@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import scores as sc
-from rankloom.operators.encoders import PairScorer, overlap_scorer
+from rankloom.operators.encoders import PairScorer, coverage_scorer
 from rankloom.schemas import RUN_COLUMNS
 
 
@@ -19,7 +19,7 @@ def score_pairs(candidates: DataFrame, queries: DataFrame, scorer: PairScorer) -
 class PairReranker:
     """Rescores candidates with sigmoid(logit) and keeps the best *top_k*."""
 
-    def __init__(self, scorer: PairScorer = overlap_scorer) -> None:
+    def __init__(self, scorer: PairScorer = coverage_scorer) -> None:
         self.scorer = scorer
 
     def rerank(self, queries: DataFrame, candidates: DataFrame, top_k: int = 5) -> DataFrame:

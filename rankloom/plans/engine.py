@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rankloom.config import EngineConfig, get_config
 from rankloom.operators.answers import get_answerer
 from rankloom.operators.chunking import FixedSizeChunker, chunk_corpus
-from rankloom.operators.encoders import Encoder, PairScorer, hashing_encoder, overlap_scorer
+from rankloom.operators.encoders import Encoder, PairScorer, coverage_scorer
+from rankloom.operators.latent import LatentEncoder
 from rankloom.operators.faithfulness import FaithfulnessScorer
 from rankloom.operators.fusion import OVERFETCH
 from rankloom.operators.rerank import PairReranker
@@ -24,7 +25,7 @@ class Engine:
     """Loads lazily; searches and answers whole batches of questions (or one string)."""
 
     def __init__(self, spark: SparkSession, config: EngineConfig | None = None, corpus: DataFrame | None = None,
-                 encoder: Encoder = hashing_encoder, scorer: PairScorer = overlap_scorer, answerer=None,
+                 encoder: Encoder | LatentEncoder = LatentEncoder(), scorer: PairScorer = coverage_scorer, answerer=None,
                  faithfulness: FaithfulnessScorer | None = None) -> None:
         self.spark = spark
         self.config = config or get_config()

@@ -18,7 +18,8 @@ from rankloom.operators.chunking import (
     chunk_corpus,
 )
 from rankloom.operators.dense import DenseRetriever
-from rankloom.operators.encoders import Encoder, PairScorer, hashing_encoder, overlap_scorer
+from rankloom.operators.encoders import Encoder, PairScorer, coverage_scorer
+from rankloom.operators.latent import LatentEncoder
 from rankloom.operators.expansion import ExpandingRetriever, Rm3QueryExpander
 from rankloom.operators.fusion import OVERFETCH, HybridRetriever
 from rankloom.operators.rerank import PairReranker
@@ -36,7 +37,7 @@ class RetrievalSetup:
     retriever_factory: Callable[[], Retriever]
     use_rerank: bool = False
     use_rm3: bool = False
-    scorer: PairScorer = overlap_scorer
+    scorer: PairScorer = coverage_scorer
 
     def build(self, corpus: DataFrame, shared: "SharedIndexes | None" = None) -> "BuiltSetup":
         """Chunk and index *corpus*.  *shared* reuses chunks and indexes other setups built."""
@@ -91,7 +92,7 @@ class SharedIndexes:
             self._indexes[key] = retriever.index(chunks)
             return retriever
         built = self._indexes[key]
-        for table in ("tables", "vectors"):
+        for table in ("tables", "vectors", "fitted"):
             if hasattr(built, table):
                 setattr(retriever, table, getattr(built, table))
         retriever._ready = True
@@ -125,7 +126,7 @@ def timed_run(setup: BuiltSetup, queries: DataFrame, k: int, rerank_top_k: int)
 
 
 def default_retriever(chunks: DataFrame, config: EngineConfig | None = None,
-                      encoder: Encoder = hashing_encoder) -> HybridRetriever:
+                      encoder: Encoder | LatentEncoder = LatentEncoder()) -> HybridRetriever:
     """BM25 and dense under reciprocal rank fusion, indexed over *chunks*."""
     if chunks.isEmpty():
         raise ValueError("Cannot build a retriever over zero chunks.")
@@ -150,12 +151,12 @@ _CHUNKERS: dict[str, Callable[[], Chunker]] = {
 
 
 def make_setup(name: str, chunker: str, retriever: str, use_rerank: bool = False, use_rm3: bool = False,
-               encoder: Encoder = hashing_encoder, scorer: PairScorer = overlap_scorer) -> RetrievalSetup:
+               encoder: Encoder | LatentEncoder = LatentEncoder(), scorer: PairScorer = coverage_scorer) -> RetrievalSetup:
     factories = _factories(encoder, get_config().rrf_k)
     return RetrievalSetup(name, _CHUNKERS[chunker](), factories[retriever], use_rerank, use_rm3, scorer)
 
 
-def default_setups(encoder: Encoder = hashing_encoder, scorer: PairScorer = overlap_scorer) -> list[RetrievalSetup]:
+def default_setups(encoder: Encoder | LatentEncoder = LatentEncoder(), scorer: PairScorer = coverage_scorer) -> list[RetrievalSetup]:
     """The six standard setups, in report order."""
     rows = [
         ("bm25_fixed", "fixed", "bm25", False, False),

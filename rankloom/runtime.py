@@ -104,7 +104,7 @@ def read_bucketed(spark: SparkSession, path: str, schema: str, bucket: str, n_bu
 
 def estimated_bytes(df: DataFrame) -> int:
     """What the optimizer takes *df* to hold; the size of its files for a plain scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def rows_with(table: DataFrame, column: str, keys: DataFrame, limit: int = PUSHED_KEYS) -> DataFrame | None:

@@ -47,7 +47,8 @@ def compare(spark, connection, folder: str, name: str) -> tuple[bool, str]:
 
 
 def main(folder: str, names: list[str]) -> int:
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+                                                       "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     connection = open_tables(folder)
     failed = []

@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -10,7 +11,8 @@ from rankloom.functions.text import STOPWORDS
 from rankloom.operators.bm25 import (
     BM25Retriever, bm25_scores, build_bm25_tables, load_bm25_tables, pruned_scores, weighted_terms)
 from rankloom.operators.dense import DenseRetriever
-from rankloom.operators.encoders import hashing_encoder, model_encoder, model_scorer
+from rankloom.operators import latent
+from rankloom.operators.encoders import fit_pair_weights, hash_counts, model_encoder, model_scorer
 from rankloom.operators.expansion import ExpandingRetriever, Rm3QueryExpander
 from rankloom.operators.fusion import HybridRetriever, fuse_rrf, fuse_weighted
 from rankloom.operators.rerank import PairReranker
@@ -162,14 +164,59 @@ def test_empty_index_and_missing_index(spark, questions):
         default_retriever(nothing)
 
 
-def test_hash_encoder(spark):
-    """Worked out by hand: a falls into bucket 4, b into 7, ab into 6."""
-    rows = spark.createDataFrame([("A b a ab",), ("ab a b a",), ("",)], "t string").select(hashing_encoder(F.col("t"))).collect()
-    assert {i: v for i, v in enumerate(rows[0][0]) if v} == pytest.approx({4: 2 / 6 ** 0.5, 7: 1 / 6 ** 0.5, 6: 1 / 6 ** 0.5})
-    assert rows[1][0] == rows[0][0] and rows[2][0] == [0.0] * 32
+def test_hash_counts(spark):
+    rows = spark.createDataFrame([("A b a ab",), ("",)], "t string").select(hash_counts(F.col("t"), 16)).collect()
+    buckets = Counter(int(md5(w.encode()).hexdigest()[:2], 16) % 16 for w in ("a", "b", "a", "ab"))
+    assert rows[0][0] == [float(buckets[i]) for i in range(16)] and rows[1][0] == [0.0] * 16
+
+
+def test_latent_basis_equals_dense_algebra(spark):
+    """The fitted basis by plain matrices, for any partitioning; it spans the leading singular vectors."""
+    draw = np.random.default_rng(2)
+    topics = [[f"t{t}w{i}" for i in range(12)] for t in range(4)]
+    texts = [[str(draw.choice(topics[i % 4])) for _ in range(15)] + [f"own{i}"] for i in range(120)] + [[], ["unseen"] * 3]
+    tokens = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, tokens array<string>")
+    models = [latent.fit_latent(tokens.repartition(n), 4, 60, 6) for n in (1, 5)]
+    assert np.allclose(models[0].basis, models[1].basis, atol=1e-9)
+    df = Counter(t for text in texts for t in set(text))
+    terms = sorted(df, key=lambda t: (-df[t], t))[:60]
+    assert list(models[0].index) == terms
+    idf = [math.log((len(texts) - df[t] + 0.5) / (df[t] + 0.5) + 1) for t in terms]
+    matrix = np.array([[(1 + math.log(text.count(t))) * w if t in text else 0 for t, w in zip(terms, idf)] for text in texts])
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    block = np.array([[int(md5(f"42|latent|{0}|{t}".encode()).hexdigest()[8 * j:8 * j + 8], 16) / 2 ** 32 - 0.5 for j in range(4)] for t in terms])
+    for step in range(7):
+        q, r = np.linalg.qr(block if step == 0 else matrix.T @ (matrix @ q))
+        q = q * np.sign(np.diag(r))
+    assert np.allclose(models[0].basis, q, atol=1e-8)
+    leading = np.linalg.svd(matrix)[2][:4]
+    assert np.linalg.norm(leading @ models[0].basis, 2) > 0.99 and abs(np.linalg.det(leading @ models[0].basis)) > 0.9
+    assert not models[0].encode([["unseen"], []])[0].any()
+    tiny = latent.fit_latent(tokens.limit(0), 4)
+    assert tiny.basis.shape == (0, 0)
+
+
+def test_latent_vectors_find_topics(spark):
+    """Chunks of a question's topic come first though they share no word with the question."""
+    near = [("sea", "wave"), ("wave", "tide"), ("tide", "sea"), ("oven", "bread"), ("bread", "dough"), ("dough", "oven")]
+    rows = [(f"{a}{i}", a, f"{a} {b}", 0) for i in range(4) for a, b in near]
+    retriever = DenseRetriever(latent.LatentEncoder(dims=2)).index(spark.createDataFrame(rows, CHUNK))
+    found = retriever.search(ask(spark, "sea", "oven"), 12).collect()
+    of = {q: {r["doc_id"] for r in found if r["qid"] == q} for q in ("q0", "q1")}
+    assert of == {"q0": {"sea", "wave", "tide"}, "q1": {"oven", "bread", "dough"}}
+    assert retriever.vectors.schema["vec"].dataType.simpleString() == "array<float>"
+
+
+def test_dense_moves_no_vectors(spark, questions, dense):
+    run = dense.search(questions, 3)
+    run.collect()
+    plan = run._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Coalesce" in plan  # the merged best, by qid
+    for line in plan.split("Exchange hashpartitioning(")[0].splitlines():
+        assert "vec#" not in line
 
 
-@pytest.mark.parametrize("params", [{}, {"question_tile": 5, "vector_tile": 40}])
+@pytest.mark.parametrize("params", [{}, {"question_tile": 5}])
 def test_dense_equals_brute_force_with_many_ties(spark, params):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(30, 8))
@@ -284,6 +331,23 @@ def test_rerank(spark):
     assert PairReranker().rerank(queries, candidates.limit(0)).count() == 0
 
 
-def test_overlap_rerank_score_is_the_jaccard(spark):
-    candidates = spark.createDataFrame([("q0", 1, "c", "d", 1.0, "bm25", "red fox jumps")], RUN + ", text string")
-    assert PairReranker().rerank(ask(spark, "Red fox"), candidates).first()["score"] == pytest.approx(2 / 3, abs=1e-9)
+def test_coverage_score(spark):
+    """Words 2 of 2, pairs 1 of 1; words 2 of 3, pairs 1 of 2; nothing asked."""
+    candidates = spark.createDataFrame([(f"q{i}", 1, "c", "d", 1.0, "bm25", "red fox jumps") for i in range(3)], RUN + ", text string")
+    found = {r["qid"]: r["score"] for r in PairReranker().rerank(ask(spark, "Red fox", "red fox sleeps", ""), candidates).collect()}
+    odds = {"q0": 4.0, "q1": -3 + 4 * 2 / 3 + 3 / 2, "q2": -3.0}
+    assert found == pytest.approx({q: 1 / (1 + math.exp(-x)) for q, x in odds.items()}, abs=1e-9)
+
+
+def test_fitted_weights(spark):
+    """Gradient ascent by plain numpy; where word pairs alone tell, their weight grows and orders the pairs."""
+    rows = [(f"w{i} v{i} u{i}", f"w{i} v{i} x u{i}" if i % 3 == 0 else f"v{i} w{i} x u{i}", i % 3 == 0) for i in range(60)]
+    pairs = spark.createDataFrame(rows, "question string, text string, relevant boolean").repartition(4)
+    weights = fit_pair_weights(pairs)
+    x = np.array([[1, 1, 0.5 if hit else 0, 3 / 7] for _, _, hit in rows])
+    y = np.array([hit for *_, hit in rows], dtype=float)
+    mass, w = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()), np.array([-3.0, 4.0, 3.0, 0.0])
+    for _ in range(25):
+        w = w + 4.0 * (x.T @ (mass * (y - 1 / (1 + np.exp(-x @ w)))) - 0.001 * w)
+    assert weights == pytest.approx(w.tolist(), abs=1e-9) and weights[2] > 3
+    assert fit_pair_weights(pairs.where("relevant")) == fit_pair_weights(pairs.limit(0)) == [-3.0, 4.0, 3.0, 0.0]
