@@ -100,50 +100,81 @@ def fit(sample: DataFrame, n_words: int = MODEL_WORDS, n_grams: int = MODEL_GRAM
             "grams": gram_index, "gram_scores": gram_scores}
 
 
-def backoff(word: str, model: dict) -> np.ndarray:
-    """Scores of an unknown word from its longest known n-grams; zeros when none is known."""
-    marked, grams = f"<{word}>", model["grams"]
+def known_grams(word: str, grams: dict[str, int]) -> list[int]:
+    """The known n-grams of a word, of the greatest length that has any."""
+    marked = f"<{word}>"
     for k in range(min(LONGEST, len(marked)), 0, -1):
         known = [i for s in range(len(marked) - k + 1) if (i := grams.get(marked[s:s + k])) is not None]
         if known:
-            return model["gram_scores"][known].mean(axis=0)
-    return np.zeros(len(model["languages"]), dtype=np.float32)
-
-
-def words_of(text: str | None) -> list[str]:
+            return known
+    return []
+
+
+class Backoff:
+    """Scores of unknown words, remembered up to ``MEMO`` words; a batch's new words are scored together."""
+
+    def __init__(self, model: dict) -> None:
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.model["languages"])))
+
+    def learn(self, counts: list[Counter[str]]) -> None:
+        """Score all unknown words of *counts*."""
+        known = self.model["words"].keys()
+        unknown = set().union(*counts) - known
+        if len(self.rows) + len(unknown) > MEMO:
+            self.clear()
+        fresh = [word for word in unknown if word not in self.rows]
+        grams = [known_grams(word, self.model["grams"]) for word in fresh]
+        sizes = np.array([len(g) for g in grams], dtype=np.int64)
+        found = np.zeros((len(fresh), self.scores.shape[1]))
+        at = np.flatnonzero(sizes)  # words of no known n-gram score nothing
+        if len(at):
+            flat = self.model["gram_scores"][np.fromiter((i for g in grams for i in g), dtype=np.int64)].astype(np.float64)
+            found[at] = np.add.reduceat(flat, (np.cumsum(sizes) - sizes)[at]) / sizes[at, None]
+        self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh)), strict=True))
+        self.scores = np.concatenate([self.scores, found])
+
+
+def word_counts(text: str | None) -> Counter[str]:
     """Runs of letters, lower-cased.  Number signs such as a half or a circled one are no letters."""
-    found = WORD.findall((text or "").lower())
-    return [part for word in found
-            for part in ([word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split())]
-
-
-def shares(text: str | None, model: dict, memo: dict[str, np.ndarray]) -> np.ndarray | None:
-    """The languages' shares of a text; None without a letter or a language."""
-    counts = Counter(words_of(text))
-    if not counts or not model["languages"]:
-        return None
-    known, n_known, total = [], [], np.zeros(len(model["languages"]))
-    index = model["words"]
-    for word, n in counts.items():
-        i = index.get(word)
-        if i is not None:
-            known.append(i)
-            n_known.append(n)
+    counts = Counter(WORD.findall((text or "").lower()))
+    if not all(map(str.isalpha, counts)):
+        for word in [w for w in counts if not w.isalpha()]:
+            n = counts.pop(word)
+            for part in "".join(c if c.isalpha() else " " for c in word).split():
+                counts[part] += n
+    return counts
+
+
+def batch_shares(texts: list[str | None], model: dict, backoff: Backoff) -> list[np.ndarray | None]:
+    """The languages' shares of each text; None without a letter or a language."""
+    counts = [word_counts(text) for text in texts]
+    if not model["languages"]:
+        return [None] * len(texts)
+    backoff.learn(counts)
+    place, rows, out = model["words"].get, backoff.rows, []
+    for count in counts:
+        if not count:
+            out.append(None)
             continue
-        scores = memo.get(word)
-        if scores is None:
-            if len(memo) >= MEMO:
-                memo.clear()
-            scores = memo[word] = backoff(word, model)
-        total += n * scores
-    if known:
-        total += np.array(n_known) @ model["word_scores"][known]
-    share = np.exp((total - total.max()) / TEMPERATURE)
-    return share / share.sum()
-
-
-def predict(text: str | None, model: dict, memo: dict[str, np.ndarray]) -> tuple[str, float]:
-    share = shares(text, model, memo)
+        at = [place(word, -1) for word in count]
+        n = np.fromiter(count.values(), dtype=np.float64, count=len(at))
+        known = np.array(at)
+        unknown = known < 0
+        total = n[~unknown] @ model["word_scores"][known[~unknown]]
+        if unknown.any():
+            total = total + n[unknown] @ backoff.scores[[rows[word] for word, i in zip(count, at, strict=True) if i < 0]]
+        share = np.exp((total - total.max()) / TEMPERATURE)
+        out.append(share / share.sum())
+    return out
+
+
+def named(share: np.ndarray | None, model: dict) -> tuple[str, float]:
+    """The best language and its share."""
     if share is None:
         return UNDECIDED, 0.0
     best = int(share.argmax())
@@ -164,9 +195,9 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, np.ndarray] = {}
+        backoff = Backoff(shared.value)
         for batch in batches:
-            found = [predict(x.as_py(), shared.value, memo) for x in batch.column(1)]
+            found = [named(share, shared.value) for share in batch_shares(batch.column(1).to_pylist(), shared.value, backoff)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 ["doc_id", "lang_pred", "score"])
@@ -183,9 +214,9 @@ def keep_identified(docs: DataFrame, model: dict, min_ratio: float = MIN_RATIO)
     at = docs.columns.index("text")
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, np.ndarray] = {}
+        backoff = Backoff(shared.value)
         for batch in batches:
-            found = [shares(x.as_py(), shared.value, memo) for x in batch.column(at)]
+            found = batch_shares(batch.column(at).to_pylist(), shared.value, backoff)
             yield batch.filter(pa.array([is_identified(share, min_ratio) for share in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

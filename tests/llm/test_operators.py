@@ -536,9 +536,9 @@ def test_letters_and_evidence(spark):
     for n in (2, 3, 11):
         model = wl.train(docs_of(spark, [r for r in rows if r[2] in "pqrstuvwxyz"[:n]]))
         assert len(model["languages"]) == n
-        assert wl.predict("½ ² ①② 123", model, {}) == ("und", 0.0) and wl.shares(" ", model, {}) is None
-        assert not wl.is_identified(wl.shares("日本", model, {})) and wl.is_identified(wl.shares("ptwop", model, {}))
-        assert wl.predict("½ptwop²", model, {})[0] == "p"
+        none, blank, strange, clear, mixed = wl.batch_shares(["½ ² ①② 123", " ", "日本", "ptwop", "½ptwop²"], model, wl.Backoff(model))
+        assert none is None and blank is None and wl.named(none, model) == ("und", 0.0)
+        assert not wl.is_identified(strange) and wl.is_identified(clear) and wl.named(mixed, model)[0] == "p"
     docs = docs_of(spark, [(1, "½ ² ①② 123", None, None), (2, "日本", None, None), (3, "qsixq", None, None), (4, None, None, None)])
     assert [r["doc_id"] for r in wl.keep_identified(docs, model).collect()] == [3]
 
