@@ -339,18 +339,6 @@ cte("expanded_terms", ("expanded",), f"""
 RM3 = bm25_run("fixed", 10, terms="expanded_terms", retriever="'rm3+bm25'")
 
 # --- answers ---
-cte("evidence", (FEEDBACK, "fixed"), f"SELECT r.*, c.text FROM {FEEDBACK} r JOIN fixed c USING (chunk_id)")
-cte("scored_sentences", ("evidence", "questions"), f"""
-    SELECT qid, rank, pos, sentence, {jaccard('q', 's')} AS overlap FROM (
-      SELECT qid, rank, pos, sentence, {overlap_tokens('question')} AS q, {overlap_tokens('sentence')} AS s
-      FROM (SELECT qid, rank, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS pos
-            FROM (SELECT qid, rank, {b_sentences('text')} AS parts FROM evidence)) JOIN questions USING (qid))""")
-cte("answers", ("scored_sentences",), """
-    SELECT qid, string_agg(sentence, ' ' ORDER BY place) AS text FROM (
-      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, rank, pos) AS place
-      FROM scored_sentences) WHERE place <= 2 GROUP BY qid""")
-
-
 def budgeted(source: str, entry: str, width: int, keep_rest: bool) -> str:
     """Entries with the characters used before them, and the first that does not fit."""
     return f"""
@@ -360,25 +348,39 @@ def budgeted(source: str, entry: str, width: int, keep_rest: bool) -> str:
           FROM (SELECT qid, rank, {entry} AS entry FROM {source}) WHERE {'true' if keep_rest else "entry <> ''"})"""
 
 
-cte("budget_premise", ("evidence",), budgeted("evidence", stripped("text"), 1500, False))
-cte("premise", ("budget_premise",), """
+def answer_ctes(run: str, prefix: str = "") -> None:
+    """evidence, scored_sentences, answers, premise and entailed over a run, named with the prefix."""
+    cte(f"{prefix}evidence", (run, "fixed"), f"SELECT r.*, c.text FROM {run} r JOIN fixed c USING (chunk_id)")
+    cte(f"{prefix}scored_sentences", (f"{prefix}evidence", "questions"), f"""
+    SELECT qid, rank, pos, sentence, {jaccard('q', 's')} AS overlap FROM (
+      SELECT qid, rank, pos, sentence, {overlap_tokens('question')} AS q, {overlap_tokens('sentence')} AS s
+      FROM (SELECT qid, rank, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS pos
+            FROM (SELECT qid, rank, {b_sentences('text')} AS parts FROM {prefix}evidence)) JOIN questions USING (qid))""")
+    cte(f"{prefix}answers", (f"{prefix}scored_sentences",), f"""
+    SELECT qid, string_agg(sentence, ' ' ORDER BY place) AS text FROM (
+      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, rank, pos) AS place
+      FROM {prefix}scored_sentences) WHERE place <= 2 GROUP BY qid""")
+    cte(f"{prefix}budget_premise", (f"{prefix}evidence",), budgeted(f"{prefix}evidence", stripped("text"), 1500, False))
+    cte(f"{prefix}premise", (f"{prefix}budget_premise",), f"""
     SELECT qid, string_agg(CASE WHEN rank = cut THEN left(entry, (1500 - used)::BIGINT) ELSE entry END, ' ' ORDER BY rank)
            AS premise
-    FROM budget_premise WHERE cut IS NULL OR rank < cut OR (rank = cut AND 1500 - used > 20) GROUP BY qid""")
-cte("budget_context", ("evidence",),
-    budgeted("evidence", f"'[' || rank || '] ' || {stripped('text')}", 4000, True))
-cte("context", ("budget_context",), """
-    SELECT qid, string_agg(entry, chr(10) ORDER BY rank) AS context
-    FROM budget_context WHERE cut IS NULL OR rank < cut GROUP BY qid""")
-cte("entailed", ("answers", "premise"), f"""
+    FROM {prefix}budget_premise WHERE cut IS NULL OR rank < cut OR (rank = cut AND 1500 - used > 20) GROUP BY qid""")
+    cte(f"{prefix}entailed", (f"{prefix}answers", f"{prefix}premise"), f"""
     SELECT qid, exp(o - m) / (exp(-o - m) + exp(o - m) + exp(0 - m)) AS p FROM (
       SELECT qid, o, greatest(o, -o, 0.0) AS m FROM (
         SELECT qid, ln(s / (1 - s)) AS o FROM (
           SELECT qid, {clamped("CASE WHEN len(h) = 0 THEN 0.5 ELSE len(list_intersect(h, p))::DOUBLE / len(h) END")} AS s
           FROM (SELECT qid, list_distinct({overlap_tokens('sentence')}) AS h, {overlap_tokens('premise')} AS p
                 FROM (SELECT qid, premise, unnest({b_sentences('text')}) AS sentence
-                      FROM answers JOIN premise USING (qid))))))""")
+                      FROM {prefix}answers JOIN {prefix}premise USING (qid))))))""")
+
 
+answer_ctes(FEEDBACK)
+cte("budget_context", ("evidence",),
+    budgeted("evidence", f"'[' || rank || '] ' || {stripped('text')}", 4000, True))
+cte("context", ("budget_context",), """
+    SELECT qid, string_agg(entry, chr(10) ORDER BY rank) AS context
+    FROM budget_context WHERE cut IS NULL OR rank < cut GROUP BY qid""")
 # --- evaluation ---
 cte("qrels", ("questions", "docs"),
     "SELECT qid, doc_id FROM questions JOIN docs ON contains(docs.text, questions.passage)")
@@ -494,6 +496,17 @@ def _ablation_runs() -> dict[str, str]:
     return runs
 
 
+def _ablation_table() -> str:
+    """Intervals of three metrics per cell: every cell's questions are drawn by their own ids."""
+    parts = {label: long_metrics(run) for label, run in _ablation_runs().items()}
+    union = " UNION ALL ".join(
+        f"SELECT '{label}|' || metric AS metric, qid, value FROM {long} WHERE metric IN ('ndcg@5', 'recall@5', 'mrr')"
+        for label, long in parts.items())
+    cte("ablation_values", tuple(parts.values()), union)
+    return f"""SELECT string_split(metric, '|')[1] AS label, string_split(metric, '|')[2] AS metric, mean, ci_lo, ci_hi
+               FROM ({_bootstrap_oracle('ablation_values')})"""
+
+
 # every vector searched among all vectors, as one row per (question, vector, dimension)
 _UNIT = ("SELECT vec_id::VARCHAR AS id, label, list_transform(embedding, lambda x: x::DOUBLE / "
          "sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings")
@@ -540,6 +553,7 @@ def _stem(t: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    answer_ctes(rerank_run(rrf_run("fixed", 15), "fixed"), "engine_")
     bm25_metrics, rrf_metrics, dense_metrics = long_metrics(BM25), long_metrics(RRF), long_metrics(DENSE)
     rerank = rerank_run(rrf_run("fixed", 30), "fixed")
     logits = pair_logits(RRF, "fixed")
@@ -635,6 +649,21 @@ def oracle_sql() -> dict[str, str]:
         "value_percentiles": """
             SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p0,
                    round(quantile_cont(value, 0.95), 6) AS p1 FROM events GROUP BY event_type""",
+        "evaluated_run": _bootstrap_oracle(bm25_metrics),
+        "run_comparison": _permutation_oracle(bm25_metrics, rrf_metrics),
+        "ablation_table": _ablation_table(),
+        "engine_answers": with_ctes(("questions", "engine_answers", "engine_evidence", "engine_entailed"), """
+            SELECT qid, coalesce(text, '') AS text, coalesce(n, 0)::BIGINT AS n_supporting,
+                   round(CASE WHEN text IS NULL THEN 0.0 ELSE coalesce(p, 0.0) END, 6) AS faithfulness
+            FROM questions LEFT JOIN engine_answers USING (qid)
+            LEFT JOIN (SELECT qid, count(*) AS n FROM engine_evidence GROUP BY qid) USING (qid)
+            LEFT JOIN (SELECT qid, avg(p) AS p FROM engine_entailed GROUP BY qid) USING (qid)"""),
+        "function_chunks": with_ctes(("docs",), f"""
+            SELECT doc_id || '::lines::' || (i - 1) AS chunk_id, doc_id, text, (i - 1)::BIGINT AS index, 'lines' AS chunker FROM (
+              SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS i FROM (
+                SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS l
+                FROM docs WHERE regexp_matches(text, '[^{SPACE}]')))"""),
+        "jsonl_round_trip": "SELECT doc_id::VARCHAR AS doc_id, source, md5(text) AS text_md5, true AS in_order FROM documents",
         "compared_runs": with_ctes((bm25_metrics, rrf_metrics), f"""
             SELECT metric, round(avg(a.value - b.value), 6) AS delta, count(*) AS n
             FROM {bm25_metrics} a JOIN {rrf_metrics} b USING (qid, metric) GROUP BY metric"""),

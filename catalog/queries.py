@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,16 +17,17 @@ from rankloom.operators import faithfulness as fa
 from rankloom.operators import fusion
 from rankloom.operators import metrics as mt
 from rankloom.operators import resampling as rs
-from rankloom.operators.chunking import FixedSizeChunker
+from rankloom.operators.chunking import FixedSizeChunker, FunctionChunker
 from rankloom.operators.dense import DenseRetriever
 from rankloom.operators.encoders import coverage_scorer, fit_pair_weights, hash_counts, weighted_scorer
 from rankloom.operators.expansion import ExpandingRetriever, Rm3QueryExpander
 from rankloom.operators.rerank import PairReranker, score_pairs
 from rankloom.operators.retriever import attach_text
-from rankloom.plans.evaluation import orphan_qids
+from rankloom.plans.engine import Engine
+from rankloom.plans.evaluation import compare_all, evaluate_run, orphan_qids
 from rankloom.plans.setups import ablation_grid, default_setups, make_setup
-from rankloom.runtime import materialize
-from rankloom.sources import dataset
+from rankloom.runtime import materialize, new_table_path
+from rankloom.sources import dataset, jsonl
 from rankloom.sources.reports import search_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,8 +444,62 @@ def permutation_test(fx: Fixtures) -> DataFrame:
         "metric", "n", *(F.round(c, 6).alias(c) for c in ("delta", "p_value")))
 
 
-def _setup_means(fx: Fixtures, setups) -> DataFrame:
-    """Mean metrics of several setups, one metrics job over the union of their runs.
+@registered
+def evaluated_run(fx: Fixtures) -> DataFrame:
+    """The whole evaluation of a run: means and intervals of every metric."""
+    run = materialize(fx.search(fx.bm25()), "run")
+    return evaluate_run(run, fx.questions, fx.qrels).summary.select("metric", "mean", "ci_lo", "ci_hi")
+
+
+@registered
+def run_comparison(fx: Fixtures) -> DataFrame:
+    """Two evaluated runs compared on every metric, with p-values."""
+    runs = [materialize(fx.search(r), "run") for r in (fx.bm25(), _hybrid(fx))]
+    a, b = (evaluate_run(run, fx.questions, fx.qrels).per_query for run in runs)
+    return compare_all(a, b).select("metric", "n", "delta", "p_value")
+
+
+@registered
+def ablation_table(fx: Fixtures) -> DataFrame:
+    """Every cell of the grid with intervals of three metrics."""
+    cells = [make_setup(c.label, c.chunker, c.retriever, c.rerank) for c in ablation_grid()]
+    per_query = _setup_metrics(fx, cells)
+    values = mt.long_metrics(per_query.drop("qid").withColumnRenamed("asked", "qid"), keep=["setup"]).where(
+        F.col("metric").isin("ndcg@5", "recall@5", "mrr"))
+    return rs.bootstrap_ci(values, ["setup", "metric"]).select(
+        F.col("setup").alias("label"), "metric", "mean", "ci_lo", "ci_hi")
+
+
+@registered
+def engine_answers(fx: Fixtures) -> DataFrame:
+    """Search and answer in one call: three times k fused candidates, reranked to k, answered, scored for faithfulness."""
+    engine = Engine(fx.spark)
+    engine.chunks, engine.retriever, engine.loaded = fx.chunks(), fusion.HybridRetriever([fx.bm25(), fx.dense()], "rrf", 60), True
+    engine.load()
+    found = engine.ask(fx.queries, 5, score_faithfulness=True)
+    return found.select("qid", "text", F.size("supporting_chunks").alias("n_supporting"), "faithfulness")
+
+
+@registered
+def function_chunks(fx: Fixtures) -> DataFrame:
+    """Chunks cut by a Python function: the lines of a text that are not blank."""
+    return FunctionChunker("lines", lambda text: [x for x in text.split("\n") if x.strip()]).chunk(fx.documents)
+
+
+@registered
+def jsonl_round_trip(fx: Fixtures) -> DataFrame:
+    """Documents written as JSON lines and scanned again with their places; within a file they keep their order."""
+    path = new_table_path(fx.spark, "round-trip")
+    ordered = fx.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    jsonl.write_jsonl(ordered, path)
+    rows = jsonl.load_corpus(fx.spark, path)
+    before = F.lag("doc_id").over(Window.partitionBy(F.regexp_replace("src_pos", ":[0-9]+$", "")).orderBy("src_pos"))
+    return rows.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"),
+                       F.coalesce(before < F.col("doc_id"), F.lit(True)).alias("in_order"))
+
+
+def _setup_metrics(fx: Fixtures, setups) -> DataFrame:
+    """Metrics per setup and question (asked), one metrics job over the union of the setups' runs.
 
     Question ids are prefixed by the setup while the runs are stacked.
     """
@@ -459,7 +514,12 @@ def _setup_means(fx: Fixtures, setups) -> DataFrame:
     qrels = asked.join(fx.qrels, "qid").select(key, "doc_id")
     runs = runs.withColumn("qid", key)
     per_query = mt.per_query_metrics(runs, asked.select(key), qrels)
-    return per_query.groupBy(F.split_part("qid", F.lit("|"), F.lit(1)).alias("setup")).agg(
+    return per_query.withColumn("setup", F.split_part("qid", F.lit("|"), F.lit(1))).withColumn(
+        "asked", F.split_part("qid", F.lit("|"), F.lit(2)))
+
+
+def _setup_means(fx: Fixtures, setups) -> DataFrame:
+    return _setup_metrics(fx, setups).groupBy("setup").agg(
         F.avg("`ndcg@5`").alias("ndcg5_mean"), F.avg("`recall@5`").alias("recall5_mean"),
         F.avg("mrr").alias("mrr_mean"), F.avg("`recall@10`").alias("recall10_mean"))
 

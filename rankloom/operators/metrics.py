@@ -90,10 +90,10 @@ def per_query_metrics(run: DataFrame, queries: DataFrame, qrels: DataFrame,
     )
 
 
-def long_metrics(per_query: DataFrame) -> DataFrame:
-    """qid, metric, value: the wide per-question table unpivoted."""
-    names = [c for c in per_query.columns if c != "qid"]
-    return per_query.unpivot("qid", [f"`{n}`" for n in names], "metric", "value")
+def long_metrics(per_query: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """qid, columns to *keep*, metric, value: the wide per-question table unpivoted."""
+    names = [c for c in per_query.columns if c != "qid" and c not in keep]
+    return per_query.unpivot(["qid", *keep], [f"`{n}`" for n in names], "metric", "value")
 
 
 def exact_percentiles(values: DataFrame, column: str, probs: Sequence[float], by: Sequence[str]) -> DataFrame:

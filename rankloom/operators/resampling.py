@@ -9,18 +9,22 @@ map-side, and one rule holds for groups of any size and any partitioning.
   weights are zero (one in e^n of n values) counts as the plain mean.
 * Permutation test: each bit gives a difference its sign in one permutation.
 
-Draw 0 holds the values as they are.  Missing values are left out; a null group is a group.
+A task digests each key once, whatever number of groups has a value of it, and adds up all draws of a group as one
+array; only these arrays, at most one per task and group, are shuffled.  Missing values are left out; a null group is a group.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.runtime import materialize, spread_small_input
+from rankloom.runtime import materialize
 
 # --- fixed values ---------------------------------------------------------
 BOOTSTRAP_RESAMPLES = 2000
@@ -35,24 +39,85 @@ WORD_BITS = 32
 POISSON_STEPS = [
     math.floor(2 ** WORD_BITS * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(12)]
 _ALL = "_all"
+#: Keys whose draws a task remembers, and groups whose sums it holds before handing them on.
+MEMO_KEYS = 1_024
+HELD_GROUPS = 256
 
 
-def _word_rows(data: DataFrame, label: str, blocks: int, seed: int) -> DataFrame:
-    """*data* (.., key, value) with block, place (0 to 3) and word: *blocks* digests a value."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(label), F.col("block").cast("string"), "key").cast("binary"))
-    words = F.array(*(F.conv(F.substring("digest", 8 * k + 1, 8), 16, 10).cast("long") for k in range(WORDS)))
-    return (data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-            .withColumn("digest", digest).select("*", F.posexplode(words).alias("place", "word")).drop("digest"))
+def _digests(label: str, key: str, blocks: int, seed: int) -> bytes:
+    return b"".join(md5(f"{seed}|{label}|{block}|{key}".encode()).digest() for block in range(blocks))
 
 
-def _values(df: DataFrame, by: Sequence[str], order: str, value: Column) -> tuple[DataFrame, list[str]]:
-    """(by, key, value) rows, written once because draws and the identity read them.
+def poisson_weights(key: str, draws: int, seed: int) -> np.ndarray:
+    """Weights of a value in each resample."""
+    words = np.frombuffer(_digests("bootstrap", key, -(-draws // WORDS), seed), dtype=">u4")[:draws]
+    return np.searchsorted(np.array(POISSON_STEPS), words.astype(np.int64), side="right").astype(np.int8)
 
-    Without groups everything belongs to one constant group.
-    """
+
+def sign_bits(key: str, draws: int, seed: int) -> np.ndarray:
+    """Signs of a difference in each permutation; of a word the lowest bit comes first."""
+    words = np.frombuffer(_digests("permutation", key, -(-draws // (WORDS * WORD_BITS)), seed), dtype=">u4").astype("<u4")
+    return (2 * np.unpackbits(words.view(np.uint8), bitorder="little")[:draws].astype(np.int8) - 1)
+
+
+def _values(df: DataFrame, by: Sequence[str], order: str, value: Column) -> tuple[DataFrame, list[str]]:
+    """(by, key, value) rows without missing values.  Without groups everything belongs to one constant group."""
     keys = [F.col(c) for c in by] or [F.lit(0).alias(_ALL)]
     data = df.select(*keys, F.col(order).cast("string").alias("key"), value.cast("double").alias("value"))
-    return spread_small_input(materialize(data.where("value IS NOT NULL"), "values")), list(by) or [_ALL]
+    return data.where("value IS NOT NULL"), list(by) or [_ALL]
+
+
+def _draw_sums(data: DataFrame, groups: list[str], parts, draws: int, seed: int) -> DataFrame:
+    """groups, n, total, sums and weights: per group the number and sum of its values, and arrays over the draws.
+
+    *parts* maps (key, draws, seed) to what a value counts in each draw.
+    """
+    kinds = ", ".join(f"`{g}` {data.schema[g].dataType.simpleString()}" for g in groups)
+    width = len(groups)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        memo: dict[str, np.ndarray] = {}
+        schema = None
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in held], schema.field(i).type) for i in range(width)]
+            rows = list(held.values())
+            columns += [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())]
+            columns += [pa.array([r[i] for r in rows], pa.list_(pa.float64())) for i in (2, 3)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, [*groups, "n", "total", "sums", "weights"])
+
+        for batch in batches:
+            schema = batch.schema
+            for *group, key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = memo.get(key)
+                if part is None:
+                    if len(memo) >= MEMO_KEYS:
+                        memo.clear()
+                    part = memo[key] = parts(key or "", draws, seed)
+                row = held.get(tuple(group))
+                if row is None:
+                    if len(held) >= HELD_GROUPS:
+                        yield out()
+                    row = held[tuple(group)] = [0, 0.0, np.zeros(draws), np.zeros(draws)]
+                row[0] += 1
+                row[1] += value
+                row[2] += part * value
+                row[3] += part
+        if held:
+            yield out()
+
+    return data.mapInArrow(add_up, f"{kinds}, n long, total double, sums array<double>, weights array<double>")
+
+
+def _drawn(found: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, n, mean, draws: an array of (sum, weight) over the draws, tasks added up."""
+    placed = found.select(*groups, F.posexplode(F.arrays_zip("sums", "weights")).alias("draw", "x"))
+    draws = placed.groupBy(*groups, "draw").agg(F.sum("x.sums").alias("sum"), F.sum("x.weights").alias("weight"))
+    plain = found.groupBy(*groups).agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
+    same = [F.col(f"a.`{g}`").eqNullSafe(F.col(f"b.`{g}`")) for g in groups]
+    return draws.alias("a").join(plain.alias("b"), same).select(*(f"a.`{g}`" for g in groups), "sum", "weight", "n", "mean")
 
 
 def bootstrap_ci(values: DataFrame, by: Sequence[str] = (), value: str = "value", order: str = "qid",
@@ -63,17 +128,10 @@ def bootstrap_ci(values: DataFrame, by: Sequence[str] = (), value: str = "value"
     *order* is a column that tells the values of a group apart.
     """
     data, groups = _values(values, by, order, F.col(value))
-    words = _word_rows(data, "bootstrap", math.ceil(n_resamples / WORDS), seed)
-    weight = sum(((F.col("word") >= step).cast("int") for step in POISSON_STEPS), F.lit(0))
-    drawn = words.select(*groups, (F.col("block") * WORDS + F.col("place") + 1).alias("draw"), weight.alias("weight"), "value")
-    drawn = drawn.where(F.col("draw") <= n_resamples).unionByName(
-        data.select(*groups, F.lit(0).alias("draw"), F.lit(1).alias("weight"), "value"))
-    means = drawn.groupBy(*groups, "draw").agg(
-        F.try_divide(F.sum(F.col("weight") * F.col("value")), F.sum("weight")).alias("drawn"))
-    plain = F.max(F.when(F.col("draw") == 0, F.col("drawn"))).over(Window.partitionBy(*groups))  # as many rows as draws
+    drawn = _drawn(materialize(_draw_sums(data, groups, poisson_weights, n_resamples, seed), "resamples"), groups)
+    sampled = F.coalesce(F.try_divide(F.col("sum"), F.col("weight")), "mean")
     tail = (1.0 - confidence) / 2.0
-    sampled = F.when(F.col("draw") > 0, F.coalesce("drawn", "mean"))
-    joined = means.withColumn("mean", plain).groupBy(*groups).agg(
+    joined = drawn.groupBy(*groups).agg(
         F.max("mean").alias("mean"), F.percentile(sampled, F.lit(tail)).alias("ci_lo"),
         F.percentile(sampled, F.lit(1.0 - tail)).alias("ci_hi")).select(*by, "mean", "ci_lo", "ci_hi")
     if by:
@@ -89,19 +147,12 @@ def paired_permutation(pairs: DataFrame, by: Sequence[str] = (), a: str = "a", b
     The p-value is never below 1 / n_permutations.  *order* tells the pairs of a group apart.
     """
     data, groups = _values(pairs, by, order, F.col(a).cast("double") - F.col(b).cast("double"))
-    words = _word_rows(data, "permutation", math.ceil(n_permutations / (WORDS * WORD_BITS)), seed)
-    bits = words.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(WORD_BITS - 1))))
-    sign = F.expr("2 * ((word >> bit) & 1) - 1")
-    number = (F.col("block") * WORDS + F.col("place")) * WORD_BITS + F.col("bit") + 1
-    drawn = bits.select(*groups, number.alias("draw"), (sign * F.col("value")).alias("value"))
-    drawn = drawn.where(F.col("draw") <= n_permutations).unionByName(data.select(*groups, F.lit(0).alias("draw"), "value"))
-    means = drawn.groupBy(*groups, "draw").agg(F.avg("value").alias("drawn"), F.count("*").alias("n"))
-    observed = F.max(F.when(F.col("draw") == 0, F.col("drawn"))).over(Window.partitionBy(*groups))  # as many rows as draws
+    drawn = _drawn(materialize(_draw_sums(data, groups, sign_bits, n_permutations, seed), "permutations"), groups)
     # sums in another order differ in the last bits, which must not undo a tie
     slack = 1e-12
-    extreme = F.when(F.col("draw") > 0, (F.abs("drawn") >= F.abs("delta") - slack).cast("double"))
-    return means.withColumn("delta", observed).groupBy(*groups).agg(
-        F.max("n").alias("n"), F.max("delta").alias("delta"),
+    extreme = (F.abs(F.col("sum") / F.col("n")) >= F.abs("mean") - slack).cast("double")
+    return drawn.groupBy(*groups).agg(
+        F.max("n").alias("n"), F.max("mean").alias("delta"),
         F.greatest(F.avg(extreme), F.lit(1.0 / n_permutations)).alias("p_value")).select(*by, "n", "delta", "p_value")
 
 

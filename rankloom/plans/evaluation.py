@@ -20,6 +20,7 @@ class RunEvaluation:
     summary: DataFrame  # metric, mean, ci_lo, ci_hi
     latency: dict[str, float]  # p50_ms, p95_ms, mean_ms
     n_queries: int
+    orphans: DataFrame  # qid: searched, but not in the question set
 
     def summary_dict(self) -> dict[str, dict[str, float]]:
         """A handful of rows, one per metric."""
@@ -48,16 +49,25 @@ def evaluate_run(run: DataFrame, questions: DataFrame, qrels: DataFrame,
     """
     submitted = submitted if submitted is not None else questions.select(
         "qid", F.lit(0.0).alias("latency_ms"))
-    orphans = orphan_qids(submitted.select("qid").unionByName(run.select("qid")), questions)
-    for row in orphans.limit(10).collect():  # a sample for the message only
-        warnings.warn(f"{row['qid']!r} is not in the question set; it is skipped.", stacklevel=2)
+    orphans = materialize(orphan_qids(submitted.select("qid").unionByName(run.select("qid")), questions), "orphans")
+    n_orphans, first = orphans.agg(F.count("*"), F.min("qid")).first()
+    if n_orphans:
+        warnings.warn(f"{n_orphans} searched questions, the first {first!r}, are not in the question set; they are skipped.",
+                      stacklevel=2)
     known = submitted.join(questions.select("qid").distinct(), "qid", "left_semi")
     per_query = materialize(mt.per_query_metrics(run, known, qrels, ks), "per-query")
     values, order = mt.long_metrics(per_query), "qid"
     if "src_pos" in questions.columns:
         values, order = values.join(questions.select("qid", "src_pos"), "qid"), "src_pos"
     summary = materialize(rs.bootstrap_ci(values, by=["metric"], order=order), "summary")
-    return RunEvaluation(per_query, summary, latency_summary(known), per_query.count())
+    return RunEvaluation(per_query, summary, latency_summary(known), per_query.count(), orphans)
+
+
+def compare_all(a: DataFrame, b: DataFrame) -> DataFrame:
+    """metric, n, delta = mean(a - b), p_value over the questions that two per-query tables share, all metrics in one job."""
+    shared = mt.long_metrics(a).withColumnRenamed("value", "a").join(
+        mt.long_metrics(b).withColumnRenamed("value", "b"), ["qid", "metric"])
+    return rs.paired_permutation(shared, ["metric"])
 
 
 def compare_runs(a: DataFrame, b: DataFrame, metric: str) -> dict[str, float]:

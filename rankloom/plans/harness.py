@@ -42,9 +42,8 @@ def evaluate_setup(setup: RetrievalSetup, shared: SharedIndexes, questions: Data
                    k: int, rerank_top_k: int) -> RunEvaluation:
     built = setup.build(shared.corpus, shared)  # index time is not part of the latency
     queries = questions.select("qid", "question")
-    run, ms_per_query = timed_run(built, queries, k, rerank_top_k)
-    submitted = questions.select("qid", F.lit(ms_per_query).alias("latency_ms"))
-    return evaluate_run(run, questions, qrels, submitted=submitted)
+    run, latencies = timed_run(built, queries, k, rerank_top_k)
+    return evaluate_run(run, questions, qrels, submitted=latencies)
 
 
 def _evaluate_all(setups: Sequence[RetrievalSetup], corpus: DataFrame, questions: DataFrame, k: int,

@@ -1,3 +1,4 @@
+from hashlib import md5
 import hashlib
 import math
 import warnings
@@ -112,9 +113,19 @@ def test_draws_do_not_depend_on_size_or_partitioning(spark):
     frame = values_of(spark, np.random.default_rng(5).random(600))
     whole = rs.bootstrap_ci(frame).first()
     assert tuple(rs.bootstrap_ci(frame.repartition(7)).first()) == pytest.approx(tuple(whole), abs=1e-12)
-    one, two = (rs._word_rows(f.select(F.col("qid").alias("key"), "value"), "bootstrap", 2, 42).where("key = 'q00003'")
-                .select("block", "place", "word").collect() for f in (frame, frame.limit(5)))
-    assert sorted(one) == sorted(two) and len(one) == 8
+    # A key's draws are its own: the same first draws however many are asked, each a Poisson weight or a sign from its word.
+    words = [int(md5(f"42|bootstrap|{b}|q00003".encode()).hexdigest()[8 * k:8 * k + 8], 16) for b in range(2) for k in range(4)]
+    assert rs.poisson_weights("q00003", 8, 42).tolist() == [sum(w >= step for step in rs.POISSON_STEPS) for w in words]
+    assert (rs.poisson_weights("q00003", 2000, 42)[:6] == rs.poisson_weights("q00003", 6, 42)).all()
+    word = int(md5(b"42|permutation|0|q00003").hexdigest()[8:16], 16)
+    assert rs.sign_bits("q00003", 70, 42)[32:64].tolist() == [2 * (word >> bit & 1) - 1 for bit in range(32)]
+
+
+def test_many_groups_are_handed_on(spark, monkeypatch):
+    rows = [(f"g{i % 300}", f"q{i}", float(i % 7)) for i in range(900)] + [(None, "q1", 3.0), (None, "q2", None)]
+    frame = spark.createDataFrame(rows, "g string, qid string, value double").repartition(2)
+    got = {r["g"]: r["mean"] for r in rs.bootstrap_ci(frame, ["g"], n_resamples=20).collect()}
+    assert len(got) == 301 and got[None] == 3.0 and got["g5"] == pytest.approx(np.mean([v for g, _, v in rows if g == "g5"]))
 
 
 def test_null_groups_and_missing_values(spark):

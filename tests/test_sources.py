@@ -30,6 +30,25 @@ def test_broken_or_incomplete_lines_raise(spark, tmp_path, line):
         jsonl.load_corpus(spark, tmp_path).collect()
 
 
+def test_broken_line_is_named_and_places_count_blank_lines(spark, tmp_path, monkeypatch):
+    path = tmp_path / "corpus.jsonl"
+    good = [json.dumps({"doc_id": f"d{i:03d}", "text": "x" * 300}) for i in range(200)]
+    write(path, "", *good[:100], " ", *good[100:])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = jsonl.load_corpus(spark, tmp_path).orderBy("src_pos").collect()
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 4  # the file was split
+        write(path, *good[:150], "{broken", *good[150:])
+        with pytest.raises(Exception, match=r"corpus\.jsonl:151: malformed"):
+            jsonl.load_corpus(spark, tmp_path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["doc_id"] for r in rows] == [f"d{i:03d}" for i in range(200)]
+    assert [int(r["src_pos"].rsplit(":", 1)[1]) for r in rows] == [i + 2 + (i >= 100) for i in range(200)]
+
+
 def test_missing_file(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="build"):
         jsonl.load_corpus(spark, tmp_path / "no" / "corpus.jsonl")
@@ -51,6 +70,15 @@ def test_resolve_path():
     assert jsonl.resolve_path(None, "f.jsonl") == f"{EngineConfig().data_dir}/f.jsonl"
 
 
+def test_the_file_system_decides(spark, tmp_path):
+    (tmp_path / "plain").write_text("{}")
+    (tmp_path / "folder.json").mkdir()
+    (tmp_path / "parts").mkdir()
+    (tmp_path / "parts" / "part-0").write_text("{}")
+    for name, want in (("plain", "plain"), ("folder.json", "folder.json/f.jsonl"), ("parts", "parts"), ("none", "none/f.jsonl")):
+        assert jsonl.resolve_path(tmp_path / name, "f.jsonl", spark) == f"{tmp_path}/{want}"
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     contexts = ["c0", "c1", "c0", "c2", "c1", "c0", "c3"]
