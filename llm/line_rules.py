@@ -8,7 +8,7 @@ Line rules (the first that applies names the failure):
 * ``symbols``      more symbol characters ``# * $ % & | < >`` than a tenth of its word characters
 * ``shouting``     three words or more, letters but no lower-case one, or ``!!`` after every second word
 * ``boilerplate``  licence, cookie, copyright, script and sign-in notices of up to twenty words
-* ``unpunctuated`` no closing mark at its end
+* ``unpunctuated`` no closing mark at its end, unless its last word is Thai or Lao, which have none
 
 Lines without a word are dropped without counting.  A document is rejected when its base
 measures fail, or when the failed lines hold more than ``max_lost`` of its word
@@ -30,7 +30,9 @@ SYMBOLS = r"[#*$%&|<>]"
 CLOSING = [".", "!", "?", "…", ":", ";", '"', "'", "”", "’", "»", ")", "]",
            # Full stops, question marks and closing quotes of other scripts.
            "。", "．", "｡", "！", "？", "：", "；", "」", "』", "）", "】", "》", "〉", "“", "‘", "«", "›", "‹", "।", "॥", "۔", "؟", "؛", "։",
-           "።", "፧", "။", "។", "᠃", "܀"]
+           "።", "፧", "။", "។", "᠃", "܀", "།"]
+#: Scripts that end sentences without a mark.
+UNMARKED = r"[\p{IsThai}\p{IsLao}]"
 NOTICES = (
     "released under the", "licensed under", "all rights reserved", "copyright ©", "copyright (c)", "privacy policy",
     "terms of use", "terms of service", "cookie policy", "cookie settings", "uses cookies", "enable javascript",
@@ -91,7 +93,7 @@ def line_failure(line: Column, words: Column, chars: Column, symbols: Column) ->
                               | (F.char_length(line) - F.char_length(F.replace(line, F.lit("!!"), F.lit(""))) > n)),
                   "shouting")
             .when((n <= NOTICE_WORDS) & bind(F.lower(line), _any_notice), "boilerplate")
-            .when(~F.right(F.element_at(words, -1), F.lit(1)).isin(CLOSING), "unpunctuated"))
+            .when(~F.right(F.element_at(words, -1), F.lit(1)).isin(CLOSING) & ~F.element_at(words, -1).rlike(UNMARKED), "unpunctuated"))
 
 
 def _any_notice(lowered: Column) -> Column:

@@ -9,12 +9,15 @@ ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 def url_sql() -> str:
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in q.HOST_RULES)
-    patterns = " OR ".join(
-        f"regexp_matches(host || path, '(?s)(?:[^A-Za-z0-9_]|^){p.strip('^')}(?:[^A-Za-z0-9_]|$)')"
-        for _, p in q.PATTERN_RULES)
-    names = " ".join(
-        f"WHEN regexp_matches(host || path, '(?s)(?:[^A-Za-z0-9_]|^){p.strip('^')}(?:[^A-Za-z0-9_]|$)') THEN '{p}'"
-        for _, p in sorted(q.PATTERN_RULES, key=lambda r: r[1], reverse=True))
+
+    def regex(pattern: str) -> str:
+        """Quoted text, but for * and ^."""
+        return "(?s)" + "".join({"*": ".*", "^": "(?:[^A-Za-z0-9_]|^|$)"}.get(c, c if c.isalnum() else "\\" + c) for c in pattern)
+
+    # An allowing pattern beats a blocking one, then the greater text decides.
+    ordered = sorted(sorted(q.PATTERN_RULES, key=lambda r: r[1], reverse=True), key=lambda r: r[0] != "allow")
+    names = " ".join(f"WHEN regexp_matches(host || path, '{regex(p)}') THEN '{p}'" for _, p in ordered)
+    decided = " ".join(f"WHEN regexp_matches(host || path, '{regex(p)}') THEN '{v}'" for v, p in ordered)
     return f"""
 WITH rules(verdict, rhost, rpath) AS (VALUES {rules}),
 parts AS (
@@ -28,7 +31,7 @@ fits AS (
   FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
   GROUP BY n)
 SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN {patterns} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(verdict, CASE {decided} ELSE 'allow' END) AS verdict,
        CASE WHEN verdict IS NULL THEN CASE {names} END END AS pattern
 FROM parts LEFT JOIN fits USING (n)"""
 
@@ -41,9 +44,9 @@ grams AS (
          lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS gram FROM words),
 twice AS (SELECT n, i FROM grams QUALIFY count(*) OVER (PARTITION BY n, gram) > 1),
 hit AS (SELECT n, count(DISTINCT i + d) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) AS t(d) GROUP BY n),
-lines AS (SELECT n, unnest(string_split(text, chr(10))) AS line FROM texts),
+lines AS (SELECT n, unnest(l) AS line, generate_subscripts(l, 1) AS place FROM (SELECT n, string_split(text, chr(10)) AS l FROM texts)),
 judged AS (
-  SELECT n, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w,
+  SELECT n, line, place, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w,
          length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
          length(regexp_replace(line, '[^#*$%%&|<>]+', '', 'g')) AS symbols,
          length(line) - length(replace(line, '|', '')) AS bars,
@@ -54,10 +57,12 @@ failed AS (
     WHEN len(w) >= 3 AND ((regexp_matches(line, '\p{Lu}') AND NOT regexp_matches(line, '\p{Ll}')) OR marks > len(w))
       THEN 'shouting'
     WHEN len(w) <= %(notice_words)d AND (%(notices)s) THEN 'boilerplate'
-    WHEN right(w[-1], 1) NOT IN (%(closing)s) THEN 'unpunctuated' END AS failure FROM judged),
+    WHEN right(w[-1], 1) NOT IN (%(closing)s) AND NOT regexp_matches(w[-1], '[\p{Thai}\p{Lao}]') THEN 'unpunctuated' END AS failure
+  FROM judged),
 sums AS (
   SELECT n, count(*) AS n_lines, count(failure) AS n_failed_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
          sum(chars) AS word_chars, sum(symbols) AS n_symbols,
+         string_agg(CASE WHEN failure IS NULL THEN line END, chr(10) ORDER BY place) AS clean,
          sum(CASE WHEN failure IS NULL THEN 0 WHEN failure = 'unpunctuated' THEN %(weight)s ELSE 1 END * chars) AS lost
   FROM failed GROUP BY n),
 measures AS (
@@ -65,10 +70,11 @@ measures AS (
          coalesce(n_symbols, 0)::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines,
          coalesce(n_failed_lines, 0)::BIGINT AS n_failed_lines, coalesce(lost, 0)::DOUBLE AS lost,
+         sha256(coalesce(clean, '')) AS clean_sha256,
          len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed
   FROM texts JOIN words USING (n) LEFT JOIN hit USING (n) LEFT JOIN sums USING (n))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND lost / word_chars <= %(max_lost)s AS kept, n_lines, n_failed_lines
+       NOT base_failed AND lost / word_chars <= %(max_lost)s AS kept, n_lines, n_failed_lines, clean_sha256
 FROM measures"""
 
 

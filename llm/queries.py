@@ -14,9 +14,11 @@ from llm import (
 HOST_RULES = (
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: Whole names, a family of names, a path, user information in the host (a rule without a token), and what is always allowed.
 PATTERN_RULES = (
     ("block", "^spam-farm^"), ("block", "^cheap-pills^"), ("block", "^casino-win^"), ("block", "^adult-x^"),
-    ("block", "^ads-track^"))
+    ("block", "^ads-track^"), ("block", "^free-bets^"), ("block", "^casino-*.example.com/"), ("block", "/out/*/redirect^"),
+    ("block", "@"), ("allow", "/robots.txt^"))
 
 CALL_SCHEMAS = {
     "answer": {"text": {"type": "string", "required": True, "min_length": 1, "max_length": 2000},
@@ -71,7 +73,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    return line_rules.clean_documents(table(spark, folder, "documents")).drop("clean_text", "lost_share")
+    digest = F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256")
+    return line_rules.clean_documents(table(spark, folder, "documents")).select("*", digest).drop("clean_text", "lost_share")
 
 
 def op11(spark: SparkSession, folder: str) -> DataFrame:

@@ -683,3 +683,23 @@ def test_queries_without_sql(spark, name):
         known = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
         tested = [r for r in rows if r["held_out"]]
         assert sum(r["lang_pred"] == known[r["doc_id"]] for r in tested) >= 0.97 * len(tested)
+
+
+# -- scripts without closing marks, rule shapes
+
+
+def test_lines_of_scripts_without_closing_marks(spark):
+    """Thai and Lao lines end without a mark and stay; other scripts' lines need one of theirs."""
+    lines = ["ภาษาไทยไม่มีเครื่องหมาย จบประโยค", "ພາສາລາວ ກໍ ບໍ່ມີ", "这是一句话。", "这是标题", "བོད་ཡིག །", "English without"]
+    row = line_rules.clean_documents(docs_of(spark, [(1, "\n".join(lines), None, None)])).first()
+    assert row["clean_text"].split("\n") == [lines[0], lines[1], lines[2], lines[4]] and row["n_failed_lines"] == 2
+
+
+def test_pattern_rules_of_the_query(spark):
+    """Every shape of the production patterns: names, a family, a path with a wildcard, no token at all, always allowed."""
+    urls = ["http://free-bets.example.com/x", "http://not-free-bets2.example.com/x", "http://casino-royal.example.com/a", "http://a.example.com/out/7/redirect?x",
+            "http://a.example.com/out/redirect", "http://user@a.example.com/", "http://spam-farm.example.com/robots.txt", "http://a.example.com/"]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    found = url_rules.filter_urls(pages, url_rules.rules_table(spark, (), queries.PATTERN_RULES))
+    assert [r["verdict"] for r in found.orderBy("page_id").collect()] == [
+        "block", "allow", "block", "block", "allow", "block", "allow", "allow"]
