@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import ranking_score
-from rankloom.runtime import LISTED_KEYS, broadcast_if_small, estimated_bytes, new_table_path, rows_with, write_bucketed
+from rankloom.runtime import LISTED_KEYS, broadcast_if_small, estimated_bytes, materialize, new_table_path, rows_with, write_bucketed
 from rankloom.schemas import CHUNK_COLUMNS, RUN_COLUMNS, require_columns
 
 QUERY_COLUMNS = ("qid", "question")
 BUCKET_BYTES = 256 << 20
 MAX_BUCKETS = 100_000
+TRUSTED_BYTES = 1 << 50
 
 
 class Retriever(ABC):
@@ -89,5 +90,9 @@ def attach_text(run: DataFrame, chunks: DataFrame) -> DataFrame:
 def write_chunks(chunks: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """*chunks* written as a table bucketed and sorted by chunk id, in buckets of about ``BUCKET_BYTES``."""
     spark = chunks.sparkSession
-    n = n_buckets or max(spark.sparkContext.defaultParallelism, min(MAX_BUCKETS, estimated_bytes(chunks) // BUCKET_BYTES))
+    size = 0 if n_buckets else estimated_bytes(chunks)
+    if size > TRUSTED_BYTES:  # rows that come from no file, or a join, have no size worth the name before they are written
+        chunks = materialize(chunks, "chunks")
+        size = estimated_bytes(chunks)
+    n = n_buckets or max(spark.sparkContext.defaultParallelism, min(MAX_BUCKETS, size // BUCKET_BYTES))
     return write_bucketed(chunks.repartition(n, "chunk_id"), new_table_path(spark, "chunks"), "chunk_id", n, ["chunk_id"])

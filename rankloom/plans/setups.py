@@ -32,6 +32,8 @@ from rankloom.schemas import RUN_COLUMNS
 log = logging.getLogger(__name__)
 
 LATENCY_BATCHES = 5
+#: Questions a timed batch holds at least, on the mean.
+BATCH_QUESTIONS = 20
 
 
 @dataclass(frozen=True)
@@ -120,16 +122,17 @@ def timed_run(setup: BuiltSetup, queries: DataFrame, k: int, rerank_top_k: int,
               batches: int = LATENCY_BATCHES) -> tuple[DataFrame, DataFrame]:
     """The finished run, and (qid, latency_ms) of every question.
 
-    Questions are dealt by hash to *batches* that are searched and timed one after another; a question carries an
-    equal share of its own batch's wall time, so percentiles are those of measured times.  The first batch is searched once before,
-    so that compiling plans does not count.
+    Questions are dealt by hash to *batches* of ``BATCH_QUESTIONS`` or more that are searched and timed one after another; a
+    question carries an equal share of its own batch's wall time, so percentiles are those of measured times.  The first of several
+    batches is searched once before, so that compiling plans does not count.
     """
+    batches = max(1, min(batches, queries.count() // BATCH_QUESTIONS))
     dealt = materialize(queries.select("qid", "question", F.pmod(F.xxhash64("qid"), F.lit(batches)).alias("batch")), "dealt")
     sizes = dict(dealt.groupBy("batch").count().collect())
     runs, latencies = [], []
     for place, batch in enumerate(sorted(sizes)):
         asked = materialize(dealt.where(F.col("batch") == batch).select("qid", "question"), "asked")
-        for _ in range(2 if place == 0 else 1):
+        for _ in range(2 if place == 0 and batches > 1 else 1):
             start = time.perf_counter()
             run = materialize(setup.search(asked, k, rerank_top_k), "run")
             elapsed_ms = (time.perf_counter() - start) * 1000.0

@@ -301,6 +301,12 @@ def test_expansion_failures(spark):
         Rm3QueryExpander(failing, tokens=spark.createDataFrame([], "chunk_id string, tokens array<string>")).expand(ask(spark, "a")).collect()
 
 
+def test_chunk_tables_of_rows_without_a_size(spark):
+    """Rows from Python have no size in the plan; the table still has a few buckets only."""
+    table = write_chunks(spark.createDataFrame([("c1", "d", "text", 0)], CHUNK).repartition(2))
+    assert len(table.inputFiles()) <= spark.sparkContext.defaultParallelism and table.count() == 1
+
+
 def test_fetch_opens_only_the_wanted_buckets(spark):
     rows = [(f"c{i:05d}", "d", f"text {i}", i) for i in range(5_000)]
     table = write_chunks(spark.createDataFrame(rows, CHUNK), 16)
