@@ -134,17 +134,30 @@ FROM counts, range(0, 100000) AS r(copy) WHERE copy < n"""
 
 
 TOOL_CALLS = """
-WITH rows_ AS (SELECT conv_id::VARCHAR AS conversation, turn, role, text FROM conversations),
+WITH RECURSIVE rows_ AS (SELECT conv_id::VARCHAR AS conversation, turn, role, text FROM conversations),
 calls AS (
   SELECT conversation, 'call-' || turn AS call_id, min(turn) AS turn, count(*) AS n_calls,
-         min_by(role, role = 'system') AS role, min(coalesce(text, '')) AS text
+         min(CASE role WHEN 'system' THEN 'configure' WHEN 'user' THEN 'answer' ELSE coalesce(role, '') END) AS tool, min(text) AS text
   FROM rows_ WHERE role IS DISTINCT FROM 'assistant' GROUP BY 1, 2),
+ways AS (SELECT conversation, turn, CASE WHEN length(coalesce(text, '')) % 2 = 0 THEN -2 ELSE 2 END AS way,
+                length(coalesce(text, '')) % 3 = 0 AS far FROM calls),
+edges AS (
+  SELECT w.conversation, w.turn, c.turn AS needs FROM ways w JOIN calls c
+  ON c.conversation = w.conversation AND (c.turn = w.turn + way OR far AND c.turn = w.turn + 2 * way)),
+sizes AS (SELECT conversation, count(*) AS n FROM calls GROUP BY 1),
+walks AS (
+  SELECT conversation, turn, turn AS at_, 0 AS steps FROM calls
+  UNION SELECT w.conversation, w.turn, e.needs, steps + 1
+  FROM walks w JOIN edges e ON e.conversation = w.conversation AND e.turn = at_ JOIN sizes s ON s.conversation = w.conversation
+  WHERE steps < n),
+depths AS (SELECT conversation, turn, max(steps) AS depth, max(steps) = any_value(n) AS cyclic
+           FROM walks JOIN sizes USING (conversation) GROUP BY 1, 2),
 results AS (
-  SELECT conversation, 'call-' || (turn - 1) AS call_id, min(turn) AS result_turn, count(*) AS n_results, min(text) AS content
+  SELECT conversation, 'call-' || (CASE turn WHEN 0 THEN 1 ELSE turn - 1 END) AS call_id, min(turn) AS result_turn,
+         count(*) AS n_results, min(text) AS content
   FROM rows_ WHERE role = 'assistant' GROUP BY 1, 2),
 linked AS (
-  SELECT *, CASE WHEN turn IS NULL THEN NULL WHEN role = 'system' THEN 'configure' ELSE 'answer' END AS tool
-  FROM calls FULL JOIN results USING (conversation, call_id)),
+  SELECT * FROM calls FULL JOIN results USING (conversation, call_id) LEFT JOIN depths USING (conversation, turn)),
 checked AS (
   SELECT *, CASE tool
     WHEN 'answer' THEN concat_ws('; ',
@@ -152,14 +165,15 @@ checked AS (
       CASE WHEN length(text) < 1 THEN 'length: min' END, CASE WHEN turn < 0 THEN 'turn: min' END)
     WHEN 'configure' THEN CASE WHEN turn > 0 THEN 'turn: max' ELSE '' END ELSE '' END AS errors
   FROM linked)
-SELECT conversation, call_id, turn, result_turn, tool, CASE WHEN tool IS NOT NULL THEN 0 END AS round,
-       CASE WHEN tool IS NULL THEN 'orphan_result' WHEN errors <> '' THEN 'invalid_arguments'
-            WHEN n_results IS NULL THEN 'no_result' ELSE 'ok' END AS status,
+SELECT conversation, call_id, turn, result_turn, tool, CASE WHEN NOT cyclic THEN depth::INTEGER END AS round,
+       CASE WHEN tool IS NULL THEN 'orphan_result' WHEN tool NOT IN ('answer', 'configure') THEN 'unknown_tool'
+            WHEN text IS NULL THEN 'bad_json' WHEN errors <> '' THEN 'invalid_arguments' WHEN cyclic THEN 'cyclic'
+            WHEN n_results IS NULL THEN 'no_result' WHEN result_turn <= turn THEN 'result_first' ELSE 'ok' END AS status,
        errors, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-       CASE WHEN tool IS NOT NULL THEN
+       CASE WHEN tool IS NOT NULL AND text IS NOT NULL THEN
          '{"arguments":{"length":' || length(text) || ',"text":' || to_json(text) || ',"turn":' || turn || '},"id":'
          || to_json(call_id) || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content) END
-         || ',"tool":"' || tool || '"}' END AS json
+         || ',"tool":' || to_json(tool) || '}' END AS json
 FROM checked"""
 
 

@@ -3,13 +3,14 @@
 *Linking.*  Calls and results are hash-joined by (conversation, call id).  An id used twice
 keeps its first call and first result (least turn, then least text); the others are counted.
 
-*Order.*  A call names the calls it depends on.  Where every dependency comes from an
-earlier turn, the turns are a topological order already, which one join verifies.  Only
-conversations with a dependency on the same or a later turn are peeled round by round:
-a round takes the calls whose dependencies have all been taken.  What is left in the end lies
-on a cycle or behind one.  Calls are ordered by (round, turn, call_id); round is 0 for
-conversations that need no peeling.  Dependencies on unknown ids, and on the call itself, are
-reported and ignored.
+*Order.*  A call names the calls it depends on, before or after it; its round is the length of the
+longest chain of calls below it, 0 without dependencies, in every conversation alike.  Rounds come
+from repeated steps over all calls at once: calls whose dependencies are all known are settled, and
+a dependency on a call that waits for one other call only is moved on to that other call, with the
+distance added.  So a chain of n calls takes about log2(n) steps, and no step makes the number of
+dependencies grow.  When nothing more can be settled, what is left lies on a cycle or behind one.
+Ordering by (round, turn, call_id) is a topological order.  Dependencies on unknown ids, and on the
+call itself, are ignored; the latter are reported.
 
 *Validation.*  Arguments are parsed natively to a variant and checked against the tool's
 schema: required fields, no unknown fields, types, least and greatest values and lengths,
@@ -66,39 +67,54 @@ def argument_errors(tool: Column, arguments: Column, parsed: Column, schemas: Sc
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def peel(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """conversation, call_id, round (null on or behind a cycle): Kahn's order, one written table a round."""
-    left = materialize(calls.select("conversation", "call_id"), "peel-calls")
-    edges = materialize(edges.select("conversation", "call_id", "needs"), "peel-edges")
-    done, number = None, 0
-    while True:
-        blocked = edges.select("conversation", "call_id").distinct()
-        free = materialize(left.join(blocked, ["conversation", "call_id"], "left_anti"), "peel-free")
-        if free.isEmpty():
-            break
-        ranked = free.withColumn("round", F.lit(number))
-        done = ranked if done is None else done.unionAll(ranked)
-        left = materialize(left.join(free, ["conversation", "call_id"], "left_anti"), "peel-left")
-        edges = materialize(edges.join(free.withColumnRenamed("call_id", "needs"), ["conversation", "needs"], "left_anti")
-                            .select("conversation", "call_id", "needs"), "peel-edges")
-        number += 1
-    rest = left.withColumn("round", F.lit(None).cast("int"))
-    return rest if done is None else done.unionAll(rest)
+NEEDS = "array<struct<target: string, distance: bigint>>"
+FARTHEST = 1 << 40  # distances on cycles would double without end
+
+
+def one_step(nodes: DataFrame) -> DataFrame:
+    """All nodes, after dependencies on settled ones were settled and others moved on to what these wait for."""
+    edges = nodes.select("conversation", "call_id", "base", F.explode("needs").alias("need"))
+    below = nodes.select("conversation", F.col("call_id").alias("target"), F.col("base").alias("below"),
+                         F.col("needs").alias("next"))
+    joined = edges.select("*", F.col("need.target").alias("target"), F.col("need.distance").alias("distance")).join(
+        below, ["conversation", "target"])
+    waits, only = F.size("next"), F.element_at("next", 1)
+    moved = joined.select(
+        "conversation", "call_id", "base",
+        F.when(waits <= 1, F.col("below") + F.col("distance")).alias("floor"),
+        F.when(waits == 1, only["target"]).when(waits > 1, F.col("target")).alias("target"),
+        F.when(waits == 1, F.least(only["distance"] + F.col("distance"), F.lit(FARTHEST)))
+        .otherwise(F.col("distance")).alias("distance"))
+    farthest = moved.groupBy("conversation", "call_id", "target").agg(
+        F.max("base").alias("base"), F.max("floor").alias("floor"), F.max("distance").alias("distance"))
+    stepped = farthest.groupBy("conversation", "call_id").agg(
+        F.greatest(F.max("base"), F.max("floor")).alias("base"),
+        F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", "distance"))).alias("needs"))
+    return nodes.where(F.size("needs") == 0).unionAll(stepped)
 
 
 def rounds(calls: DataFrame) -> DataFrame:
-    """conversation, call_id, round, cyclic of calls (conversation, call_id, turn, needs) that do not lie in turn order."""
-    edges = calls.select("conversation", "call_id", "turn", F.explode(F.array_distinct("needs")).alias("needs")).where(
-        "needs <> call_id")
-    known = calls.select("conversation", F.col("call_id").alias("needs"), F.col("turn").alias("need_turn"))
-    real = edges.join(known, ["conversation", "needs"])
-    ahead = materialize(real.where("need_turn >= turn OR need_turn IS NULL OR turn IS NULL")
-                        .select("conversation").distinct(), "disordered")
-    if ahead.isEmpty():
-        return calls.sparkSession.createDataFrame([], "conversation string, call_id string, round int, cyclic boolean")
-    picked = calls.join(ahead, "conversation", "left_semi")
-    return peel(picked, real.join(ahead, "conversation", "left_semi")).select(
-        "conversation", "call_id", "round", F.col("round").isNull().alias("cyclic"))
+    """conversation, call_id, round, cyclic (then round is null) of calls (conversation, call_id, needs), ids distinct.
+
+    Every step writes one table of all nodes: ids, distance so far and what is left to wait for.
+    """
+    known = calls.select("conversation", F.col("call_id").alias("target"))
+    edges = calls.select("conversation", "call_id", F.explode(F.array_distinct("needs")).alias("target")).where(
+        "target <> call_id").join(known, ["conversation", "target"])
+    needs = edges.groupBy("conversation", "call_id").agg(F.collect_list(F.struct(
+        "target", F.lit(1).cast("bigint").alias("distance"))).alias("needs"))
+    nodes = calls.where("conversation IS NOT NULL AND call_id IS NOT NULL").select("conversation", "call_id").join(
+        needs, ["conversation", "call_id"], "left").select(
+        "conversation", "call_id", F.lit(0).cast("bigint").alias("base"), F.coalesce("needs", F.array().cast(NEEDS)).alias("needs"))
+    before = 0
+    while True:
+        nodes = materialize(nodes, "call-order")
+        settled, waiting = nodes.agg(F.count_if(F.size("needs") == 0), F.count_if(F.size("needs") > 0)).first()
+        if settled == before or not waiting:
+            break
+        nodes, before = one_step(nodes), settled
+    cyclic = F.size("needs") > 0
+    return nodes.select("conversation", "call_id", F.when(~cyclic, F.col("base").cast("int")).alias("round"), cyclic.alias("cyclic"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -142,23 +158,29 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
 def calls_in(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results as the turns of plain conversations give them.
 
-    A turn of anyone but the assistant calls: ``configure`` for system turns, else
-    ``answer``; its arguments are its text, its length and its turn.  An assistant turn is the
-    result of the call in the turn before it.  Calls depend on the call two turns before, if any.
+    A turn of anyone but the assistant calls: ``configure`` for system turns, ``answer`` for
+    the user's, else a tool of the role's name; its arguments are its text, its length and its turn,
+    or null for a null text.  An assistant turn is the result of the call in the turn before it,
+    the first turn that of the call after it.  The parity of a call's length stands for the direction
+    of its dependencies: even lengths need the call two turns before, odd ones that two turns after;
+    lengths divisible by three also the call four turns away, in the same direction.
     """
     def name(turn: Column) -> Column:
         return F.concat_ws("-", F.lit("call"), turn.cast("string"))
 
     rows = conversations.select(F.col("conv_id").cast("string").alias("conversation"), "turn", "role", "text")
-    arguments = F.to_json(F.struct(
-        F.coalesce("text", F.lit("")).alias("text"), F.char_length(F.coalesce("text", F.lit(""))).alias("length"),
-        F.col("turn").alias("turn")))
+    length = F.char_length(F.coalesce("text", F.lit("")))
+    arguments = F.when(F.col("text").isNotNull(), F.to_json(F.struct("text", length.alias("length"), F.col("turn").alias("turn"))))
     assistant = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    way = F.when(length % 2 == 0, -2).otherwise(2)
+    needs = F.when(length % 3 == 0, F.array(name(F.col("turn") + way), name(F.col("turn") + 2 * way))).otherwise(
+        F.array(name(F.col("turn") + way)))
     calls = rows.where(~assistant).select(
         "conversation", name(F.col("turn")).alias("call_id"), "turn",
-        F.when(F.col("role") == "system", "configure").otherwise("answer").alias("tool"), arguments.alias("arguments"),
-        F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("needs"))
+        F.when(F.col("role") == "system", "configure").when(F.col("role") == "user", "answer").otherwise(
+            F.coalesce("role", F.lit(""))).alias("tool"),
+        arguments.alias("arguments"), F.when(F.col("turn").isNotNull(), needs).alias("needs"))
     results = rows.where(assistant).select(
-        "conversation", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+        "conversation", name(F.when(F.col("turn") == 0, 1).otherwise(F.col("turn") - 1)).alias("call_id"), "turn",
+        F.col("text").alias("content"))
     return calls, results
-

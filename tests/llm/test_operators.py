@@ -193,6 +193,44 @@ def test_forward_dependencies_are_peeled(spark):
     assert linked(spark, [], []).count() == 0
 
 
+def longest_chains(needs):
+    """Rounds by plain search: None on or behind a cycle, unknown ids and the call itself ignored."""
+    found, open_ = {}, {c: {n for n in ns if n in needs and n != c} for c, ns in needs.items()}
+    while any(not ns - found.keys() and c not in found for c, ns in open_.items()):
+        found |= {c: max((found[n] + 1 for n in ns), default=0) for c, ns in open_.items()
+                  if c not in found and not ns - found.keys()}
+    return {c: found.get(c) for c in needs}
+
+
+def test_rounds_of_drawn_graphs_and_long_chains(spark):
+    import random
+    draw = random.Random(5)
+    graphs = {f"g{g}": {str(i): [str(draw.randrange(-1, 12)) for _ in range(draw.choice((0, 1, 1, 1, 2, 3)))] for i in range(12)}
+              for g in range(60)}
+    graphs["chain"] = {str(i): [str(i + 1)] for i in range(700)}
+    graphs["ladder"] = {str(i): [str(i - 1), str(i - 2)] for i in range(20)}
+    graphs["ring"] = {str(i): [str((i + 1) % 37)] for i in range(37)} | {"tail": ["5"]}
+    graphs["hub"] = {"h": []} | {str(i): ["h"] for i in range(300)} | {"end": [str(i) for i in range(300)]}
+    calls = spark.createDataFrame([(g, c, n) for g, cs in graphs.items() for c, n in cs.items()] + [(None, "1", ["2"])],
+                                  "conversation string, call_id string, needs array<string>")
+    got = {(r["conversation"], r["call_id"]): r["round"] for r in tool_calls.rounds(calls).collect()}
+    assert got == {(g, c): r for g, cs in graphs.items() for c, r in longest_chains(cs).items()}
+
+
+def test_every_status_comes_from_turns(spark):
+    rows = spark.createDataFrame([
+        ("a", 0, "assistant", "early"), ("a", 1, "user", "four"), ("b", 0, "user", "one"), ("b", 1, "assistant", "r"),
+        ("b", 2, "user", "four"), ("c", 0, "user", None), ("c", 1, "tool", "x"), ("c", 2, None, ""), ("d", 0, "user", ""),
+        ("d", 5, "assistant", None), ("e", 0, "user", "four"), ("e", 1, "assistant", "r"), (None, None, None, None)],
+        "conv_id string, turn long, role string, text string")
+    got = {(r["conversation"], r["call_id"]): (r["status"], r["round"]) for r in tool_calls.link_tool_calls(
+        *tool_calls.calls_in(rows), queries.CALL_SCHEMAS).collect()}
+    assert got.pop((None, "call")) == ("unknown_tool", 0)
+    assert got == {("a", "call-1"): ("result_first", 0), ("b", "call-0"): ("cyclic", None), ("b", "call-2"): ("cyclic", None),
+                   ("c", "call-0"): ("bad_json", 0), ("c", "call-1"): ("unknown_tool", 0), ("c", "call-2"): ("unknown_tool", 1),
+                   ("d", "call-0"): ("invalid_arguments", 0), ("d", "call-4"): ("orphan_result", None), ("e", "call-0"): ("ok", 0)}
+
+
 # -- sharding
 
 
