@@ -10,7 +10,8 @@ import unicodedata
 
 from rankloom.functions.text import ABBREVIATIONS, STOPWORDS
 from rankloom.operators import latent
-from rankloom.operators.encoders import FIT_RATE, FIT_RIDGE, FIT_STEPS, HASH_DIMS, PRIOR_WEIGHTS
+from rankloom.operators.alignment import NEGATIONS, NUMBER, SHORT_NEGATION
+from rankloom.operators.encoders import FIT_RATE, FIT_RIDGE, FIT_STEPS, HASH_DIMS, OVERLAP_CLAMP, PRIOR_WEIGHTS
 from rankloom.operators.resampling import POISSON_STEPS
 
 SPACE = (r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -365,14 +366,36 @@ def answer_ctes(run: str, prefix: str = "") -> None:
     SELECT qid, string_agg(CASE WHEN rank = cut THEN left(entry, (1500 - used)::BIGINT) ELSE entry END, ' ' ORDER BY rank)
            AS premise
     FROM {prefix}budget_premise WHERE cut IS NULL OR rank < cut OR (rank = cut AND 1500 - used > 20) GROUP BY qid""")
-    cte(f"{prefix}entailed", (f"{prefix}answers", f"{prefix}premise"), f"""
-    SELECT qid, exp(o - m) / (exp(-o - m) + exp(o - m) + exp(0 - m)) AS p FROM (
-      SELECT qid, o, greatest(o, -o, 0.0) AS m FROM (
-        SELECT qid, ln(s / (1 - s)) AS o FROM (
-          SELECT qid, {clamped("CASE WHEN len(h) = 0 THEN 0.5 ELSE len(list_intersect(h, p))::DOUBLE / len(h) END")} AS s
-          FROM (SELECT qid, list_distinct({overlap_tokens('sentence')}) AS h, {overlap_tokens('premise')} AS p
-                FROM (SELECT qid, premise, unnest({b_sentences('text')}) AS sentence
-                      FROM {prefix}answers JOIN {prefix}premise USING (qid))))))""")
+    negated = (f"(len(list_filter(w, lambda x: x IN {NEGATIONS})) + len(regexp_extract_all(lower(sentence), "
+               f"'{SHORT_NEGATION.replace(chr(39), chr(39) * 2)}'))) % 2 = 1")
+    numbers = f"list_filter(w, lambda x: regexp_matches(x, '{NUMBER}'))"
+    for name, source, column in (("held", "premise", "premise"), ("asked", "answers", "text")):
+        cte(f"{prefix}{name}_sentences", (f"{prefix}{source}",), f"""
+    SELECT qid, i, w, {negated} AS negated, {numbers} AS numbers FROM (
+      SELECT qid, i, sentence, {overlap_tokens('sentence')} AS w FROM (
+        SELECT qid, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS i
+        FROM (SELECT qid, {b_sentences(column)} AS parts FROM {prefix}{source})))""")
+    cte(f"{prefix}weighed", (f"{prefix}asked_sentences", f"{prefix}held_sentences"), f"""
+    SELECT a.*, list_transform(w, lambda x: ln(1 + (coalesce(len(ws), 0) + 1)::DOUBLE
+             / (1 + len(list_filter(coalesce(ws, []), lambda s: list_contains(s, x)))))) AS weights
+    FROM {prefix}asked_sentences a LEFT JOIN (SELECT qid, list(w) AS ws FROM {prefix}held_sentences GROUP BY qid) USING (qid)""")
+    cte(f"{prefix}supported", (f"{prefix}weighed", f"{prefix}held_sentences"), f"""
+    SELECT qid, i, any_value(n) AS n, max_by(clash, (share, -place)) AS clash, max(share) AS share FROM (
+      SELECT a.qid, a.i, len(a.w) AS n, h.i AS place,
+        coalesce(a.negated <> h.negated OR (len(list_filter(a.numbers, lambda x: NOT list_contains(h.numbers, x))) > 0
+          AND len(list_filter(h.numbers, lambda x: NOT list_contains(a.numbers, x))) > 0), false) AS clash,
+        CASE WHEN len(a.w) = 0 OR len(h.w) = 0 THEN 0.0 ELSE
+          list_max(list_reduce(
+            list_concat([list_transform(h.w, lambda x: 0.0::DOUBLE)],
+              list_transform(range(1, len(a.w) + 1), lambda k: list_transform(h.w, lambda x: CASE WHEN x = a.w[k] THEN a.weights[k] ELSE -1.0::DOUBLE END))),
+            lambda best, m: list_transform(range(1, len(m) + 1), lambda j: CASE WHEN m[j] > 0
+              THEN greatest(best[j], m[j] + coalesce(list_max(best[1:j - 1]), 0.0)) ELSE best[j] END)))
+          / list_reduce(a.weights, lambda x, y: x + y) END AS share
+      FROM {prefix}weighed a LEFT JOIN {prefix}held_sentences h USING (qid)) GROUP BY qid, i""")
+    cte(f"{prefix}entailed", (f"{prefix}supported",), f"""
+    SELECT qid, CASE WHEN n = 0 THEN 1.0 / 3 ELSE exp(CASE WHEN clash THEN -f ELSE o END) / (exp(o) + exp(-f) + 1) END AS p
+    FROM (SELECT qid, n, clash, ln(s / (1 - s)) AS o, ln((1 - {OVERLAP_CLAMP}) / {OVERLAP_CLAMP}) AS f
+          FROM (SELECT qid, n, clash, {clamped('share')} AS s FROM {prefix}supported))""")
 
 
 answer_ctes(FEEDBACK)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import scores as sc
 from rankloom.functions import text as tx
-from rankloom.operators.encoders import PairScorer, overlap_nli
+from rankloom.operators.alignment import alignment_nli
+from rankloom.operators.encoders import PairScorer
 
 log = logging.getLogger(__name__)
 
@@ -77,8 +78,8 @@ def model_nli(load: Callable[[], Callable[[list[tuple[str, str]]], list[list[flo
         def one(pairs: list[tuple[str, str]]) -> list[list[float]] | None:
             try:
                 return logits(pairs)
-            except Exception as error:  # noqa: BLE001 - any model failure means score 0
-                log.warning("Entailment scoring failed (%s); the answer scores 0.", error)
+            except Exception as error:  # noqa: BLE001 - any model failure leaves the answer unscored
+                log.warning("Entailment scoring failed (%s); the answer stays unscored.", error)
                 return None
 
         for premises_, sentences in batches:
@@ -95,10 +96,13 @@ def model_nli(load: Callable[[], Callable[[list[tuple[str, str]]], list[list[flo
 
 
 class FaithfulnessScorer:
-    """Scores answers (qid, text) against evidence; in [0, 1], 0 when nothing can be scored."""
+    """Scores answers (qid, text) against evidence, in [0, 1].
+
+    0 when there is nothing to score (no sentence, no evidence), null when a model failed on the answer.
+    """
 
     def __init__(self, scorer: SentenceScorer | None = None) -> None:
-        self.scorer = scorer or per_sentence(overlap_nli)
+        self.scorer = scorer or alignment_nli
 
     def score(self, answers: DataFrame, evidence: DataFrame) -> DataFrame:
         """qid, faithfulness for every answer.  Scored inside the row, so only qid is joined."""
@@ -110,8 +114,14 @@ class FaithfulnessScorer:
         logits = parts.withColumn("logits", self.scorer(F.col("premise"), F.col("sentences")))
         probs = F.transform("logits", sc.entailment_probability)
         mean = F.try_divide(F.aggregate(probs, F.lit(0.0), lambda acc, p: acc + p), F.size("logits"))
-        usable = (F.size("sentences") > 0) & (F.col("premise") != "") & (F.size("logits") > 0)
-        return logits.select("qid", F.when(usable, mean).otherwise(F.lit(0.0)).alias("faithfulness"))
+        empty = (F.coalesce(F.size("sentences"), F.lit(0)) == 0) | (F.col("premise") == "")
+        return logits.select("qid", F.when(empty, F.lit(0.0)).when(F.col("logits").isNotNull(), F.coalesce(
+            mean, F.lit(0.0))).alias("faithfulness"))
+
+    @staticmethod
+    def failures(scored: DataFrame) -> DataFrame:
+        """n_answers, n_failed: how many answers a model failed on."""
+        return scored.agg(F.count("*").alias("n_answers"), F.count_if(F.col("faithfulness").isNull()).alias("n_failed"))
 
     def attach(self, answers: DataFrame, evidence: DataFrame) -> DataFrame:
         """Answers with their faithfulness filled in."""

@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.config import EngineConfig
 from rankloom.operators import answers as an
 from rankloom.operators import faithfulness as fa
+from rankloom.operators.alignment import aligned_weight, alignment_nli
 
 EVIDENCE = ("qid string, rank int, chunk_id string, doc_id string, score double, retriever string, text string")
 
@@ -63,14 +65,17 @@ def test_faithfulness_means_over_sentences(spark):
     assert scorer.score(answers_of(spark, "Yes.", "other"), evidence).first()["faithfulness"] == 0.0
 
 
-def test_failing_model_scores_zero(spark):
+def test_failing_model_leaves_no_score(spark):
     def load():
         def model(pairs):
             raise OSError("no weights")
         return model
 
-    got = fa.FaithfulnessScorer(fa.model_nli(load)).score(answers_of(spark, "A b."), evidence_of(spark, "c"))
-    assert got.first()["faithfulness"] == 0.0
+    scorer = fa.FaithfulnessScorer(fa.model_nli(load))
+    got = scorer.score(answers_of(spark, "A b."), evidence_of(spark, "c"))
+    assert got.first()["faithfulness"] is None
+    assert tuple(scorer.failures(got).first()) == (1, 1)
+    assert scorer.score(answers_of(spark, ""), evidence_of(spark, "c")).first()["faithfulness"] == 0.0
 
 
 def test_model_loads_once_a_task_and_one_failure_stays_alone(spark, tmp_path):
@@ -104,6 +109,50 @@ def test_overlap_entailment(spark):
     assert full > 0.99 and none < 0.01 and equal == pytest.approx(1 / 3)
 
 
+LABELS = ("contradiction", "entailment", "neutral")
+
+
+@pytest.mark.parametrize(("premise", "sentence", "label"), [
+    ("The old bridge was built in 1890. It spans the river.", "The bridge was built in 1890.", "entailment"),
+    ("The old bridge was built in 1890. It spans the river.", "The bridge was built in 1790.", "contradiction"),
+    ("The old bridge was built in 1890. It spans the river.", "The bridge was not built in 1890.", "contradiction"),
+    ("The old bridge wasn't built in 1890.", "The bridge was built in 1890.", "contradiction"),
+    ("It isn't true that nobody came.", "It is true that people came.", "entailment"),
+    ("The old bridge spans the river.", "Copper prices fell sharply yesterday.", "neutral"),
+    ("The dog chased the small cat away.", "Away cat small the dog.", "neutral"),
+    ("No ship came. The harbour stayed open.", "The harbour stayed open.", "entailment"),
+])
+def test_alignment_labels(spark, premise, sentence, label):
+    rows = spark.createDataFrame([(premise, [sentence])], "p string, s array<string>")
+    logits = rows.select(alignment_nli(F.col("p"), F.col("s"))).first()[0][0]
+    assert LABELS[logits.index(max(logits))] == label
+
+
+def test_alignment_is_the_heaviest_common_subsequence(spark):
+    import random
+    draw = random.Random(3)
+    rows = [([(draw.choice("abcd"), draw.choice([0.5, 1.0, 2.5])) for _ in range(draw.randrange(7))],
+             [draw.choice("abcde") for _ in range(draw.randrange(9))]) for _ in range(120)]
+
+    def heaviest(items, words):
+        if not items or not words:
+            return 0.0
+        skip = max(heaviest(items[1:], words), heaviest(items, words[1:]))
+        return max(skip, items[0][1] + heaviest(items[1:], words[1:])) if items[0][0] == words[0] else skip
+
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, h array<struct<word: string, weight: double>>, p array<string>")
+    got = frame.select("i", aligned_weight(F.col("h"), F.col("p")).alias("w")).collect()
+    assert {r["i"]: r["w"] for r in got} == {i: heaviest(*r) for i, r in enumerate(rows)}
+
+
+def test_alignment_edges(spark):
+    rows = spark.createDataFrame([("", ["a b."]), ("?!", ["a b."]), ("a b.", []), ("a b.", ["...", "a b."]), (None, ["a"]), ("a", None)],
+                                 "p string, s array<string>")
+    got = [r[0] for r in rows.select(alignment_nli(F.col("p"), F.col("s"))).collect()]
+    assert [g and len(g) for g in got] == [1, 1, [], 2, got[4] and 1, None]
+    assert got[0][0][1] < -10 and got[1][0][1] < -10 and got[3][0] == [0.0, 0.0, 0.0] and got[3][1][1] > 10
+
+
 def test_generation_switches(spark, query):
     evidence = evidence_of(spark, "Fact.")
     off = EngineConfig()
