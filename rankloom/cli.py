@@ -14,7 +14,7 @@ from rankloom.config import get_config
 from rankloom.functions.text import snippet
 from rankloom.plans.engine import Engine
 from rankloom.plans.harness import run_ablation, run_harness
-from rankloom.runtime import build_session
+from rankloom.runtime import build_session, scratch_scope
 from rankloom.sources import dataset
 from rankloom.sources.jsonl import (
     CORPUS_FILE,
@@ -104,7 +104,9 @@ def main(argv: list[str] | None = None) -> int:
         print(f"rankloom {__version__}")
         return 0
     try:
-        _run(args, build_session())
+        spark = build_session()
+        with scratch_scope(spark):
+            _run(args, spark)
     except (FileNotFoundError, ValueError, RuntimeError) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1

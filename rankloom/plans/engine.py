@@ -17,12 +17,15 @@ from rankloom.operators.fusion import OVERFETCH
 from rankloom.operators.rerank import PairReranker
 from rankloom.operators.retriever import attach_text
 from rankloom.plans.setups import default_retriever
-from rankloom.runtime import materialize
+from rankloom.runtime import current_scope, materialize, writing_to
 from rankloom.sources.jsonl import load_corpus
 
 
 class Engine:
-    """Loads lazily; searches and answers whole batches of questions (or one string)."""
+    """Loads lazily; searches and answers whole batches of questions (or one string).
+
+    Results read intermediate tables: fetch or write them inside a ``scratch_scope`` to have those dropped.
+    """
 
     def __init__(self, spark: SparkSession, config: EngineConfig | None = None, corpus: DataFrame | None = None,
                  encoder: Encoder | LatentEncoder = LatentEncoder(), scorer: PairScorer = coverage_scorer, answerer=None,
@@ -35,6 +38,7 @@ class Engine:
         self.answerer = answerer or get_answerer(self.config)
         self.faithfulness = faithfulness or FaithfulnessScorer()
         self.loaded = False
+        self.scope = current_scope()  # the index lives as long as what the engine was made in
         self.reranker: PairReranker | None = None
 
     def load(self, use_rerank: bool = True) -> "Engine":
@@ -42,8 +46,9 @@ class Engine:
         if not self.loaded:
             documents = self.corpus if self.corpus is not None else load_corpus(
                 self.spark, self.config.data_dir)
-            self.chunks = materialize(chunk_corpus(documents, FixedSizeChunker()), "chunks")
-            self.retriever = default_retriever(self.chunks, self.config, self.encoder)
+            with writing_to(self.scope):
+                self.chunks = materialize(chunk_corpus(documents, FixedSizeChunker()), "chunks")
+                self.retriever = default_retriever(self.chunks, self.config, self.encoder)
             self.loaded = True
         self.reranker = PairReranker(self.scorer) if use_rerank else None
         return self

@@ -21,7 +21,7 @@ from rankloom.plans.setups import (
     make_setup,
     timed_run,
 )
-from rankloom.runtime import materialize
+from rankloom.runtime import materialize, scratch_scope
 from rankloom.sources import reports
 from rankloom.sources.jsonl import qrels_of
 
@@ -65,20 +65,21 @@ def _evaluate_all(setups: Sequence[RetrievalSetup], corpus: DataFrame, questions
 
 def run_harness(corpus: DataFrame, questions: DataFrame, out_dir: str, names: Sequence[str] | None = None,
                 k: int = 10, setups: Sequence[RetrievalSetup] | None = None) -> dict[str, Any]:
-    """Evaluate setups, compare each with the first that finished, and write the reports.
+    """Evaluate setups, compare each with the first that finished, and write the reports; chunks, indexes and runs go.
 
     delta is reference minus other, so a negative delta favours the other setup.
     """
     config = get_config()
     chosen = select_setups(names, setups)
-    done = _evaluate_all(chosen, corpus, questions, k, config.rerank_top_k)
-    reference = next(iter(done))
-    comparisons = {
-        name: compare_runs(done[reference].per_query, ev.per_query, "ndcg@5")
-        for name, ev in done.items() if name != reference
-    }
-    results = {name: {"summary": ev.summary_dict(), "latency": ev.latency, "n_queries": ev.n_queries}
-               for name, ev in done.items()}
+    with scratch_scope(corpus.sparkSession):
+        done = _evaluate_all(chosen, corpus, questions, k, config.rerank_top_k)
+        reference = next(iter(done))
+        comparisons = {
+            name: compare_runs(done[reference].per_query, ev.per_query, "ndcg@5")
+            for name, ev in done.items() if name != reference
+        }
+        results = {name: {"summary": ev.summary_dict(), "latency": ev.latency, "n_queries": ev.n_queries}
+                   for name, ev in done.items()}
     metadata = {
         "timestamp": datetime.now(timezone.utc).isoformat(),
         "n_docs": corpus.count(),
@@ -113,8 +114,9 @@ def run_ablation(spark: SparkSession, corpus: DataFrame, questions: DataFrame, o
     """Evaluate the grid at k = 10, best nDCG@5 first; chunks and indexes are shared by its cells."""
     cells = list(grid or ablation_grid())
     setups = [make_setup(cell.label, cell.chunker, cell.retriever, cell.rerank) for cell in cells]
-    done = _evaluate_all(setups, corpus, questions, 10, get_config().rerank_top_k)
-    rows = [_ablation_row(cell, done[cell.label]) for cell in cells if cell.label in done]
+    with scratch_scope(spark):
+        done = _evaluate_all(setups, corpus, questions, 10, get_config().rerank_top_k)
+        rows = [_ablation_row(cell, done[cell.label]) for cell in cells if cell.label in done]
     ranked = spark.createDataFrame(rows, ABLATION_SCHEMA).orderBy(F.desc("ndcg5_mean"), "label")
     reports.write_csv(ranked, f"{out_dir}/ablation.csv")
     reports.write_text(f"{out_dir}/ABLATION.md",

@@ -12,6 +12,7 @@ from typing import Any
 
 from rankloom import __version__
 from rankloom.plans.engine import Engine
+from rankloom.runtime import scratch_scope
 
 Response = tuple[int, dict[str, Any]]
 EngineSource = Callable[[], Engine]
@@ -54,7 +55,9 @@ def search(body: dict[str, Any], engine: EngineSource) -> Response:
     def run() -> dict[str, Any]:
         query, k = _checked(body, SEARCH_K)
         start = time.perf_counter()
-        hits = engine().search(query, k).orderBy("rank").collect()  # at most k rows
+        loaded = engine()
+        with scratch_scope(loaded.spark):
+            hits = loaded.search(query, k).orderBy("rank").collect()  # at most k rows
         names = ("chunk_id", "doc_id", "text", "score", "retriever")
         return {"results": [{name: hit[name] for name in names} for hit in hits],
                 "latency_ms": (time.perf_counter() - start) * 1000.0}
@@ -65,7 +68,9 @@ def search(body: dict[str, Any], engine: EngineSource) -> Response:
 def ask(body: dict[str, Any], engine: EngineSource) -> Response:
     def run() -> dict[str, Any]:
         query, k = _checked(body, ASK_K)
-        answer = engine().ask(query, k, bool(body.get("faithfulness", False))).first()
+        loaded = engine()
+        with scratch_scope(loaded.spark):
+            answer = loaded.ask(query, k, bool(body.get("faithfulness", False))).first()
         fields = answer.asDict(recursive=True)
         fields.pop("qid")
         return fields

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +27,17 @@ ROW_GROUP_BYTES = 4 << 20
 _local_scratch: dict[str, str] = {}
 
 
+@dataclass
+class ScratchScope:
+    """A folder for the intermediate tables of one piece of work, and the catalog entries made with them."""
+
+    folder: str
+    tables: list[str] = field(default_factory=list)
+
+
+_scope: ContextVar[ScratchScope | None] = ContextVar("rankloom_scratch", default=None)
+
+
 def build_session(app_name: str = "rankloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are designed around."""
     builder = SparkSession.builder.appName(app_name)
@@ -61,7 +76,64 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_table_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    scope = _scope.get()
+    return f"{scope.folder if scope else scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Remove the files of a written table or of a folder of them, wherever they lie."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[ScratchScope]:
+    """Intermediate tables written inside go when the block ends, also by an error.
+
+    What the block makes is lazy and may read those tables: write or fetch it before the end.
+    """
+    scope = ScratchScope(new_table_path(spark, "scope"))
+    token = _scope.set(scope)
+    try:
+        yield scope
+    finally:
+        _scope.reset(token)
+        for table in scope.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove_table(spark, scope.folder)
+
+
+def current_scope() -> ScratchScope | None:
+    return _scope.get()
+
+
+@contextmanager
+def writing_to(scope: ScratchScope | None) -> Iterator[None]:
+    """Intermediate tables written inside belong to *scope*, None for the application's own folder."""
+    token = _scope.set(scope)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def write_alone(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> tuple[str, DataFrame]:
+    """Write what *build* returns, drop every table it wrote on the way, and return the path and the written rows."""
+    path = new_table_path(spark, label)
+    with scratch_scope(spark):
+        df = build()
+        schema = df.schema
+        df.write.parquet(path)
+    return path, spark.read.schema(schema).parquet(path)
+
+
+def _new_entry() -> str:
+    """A name for a table of the session's catalog, dropped with the scope it is made in."""
+    name = f"rankloom_{uuid.uuid4().hex}"
+    scope = _scope.get()
+    if scope:
+        scope.tables.append(name)
+    return name
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -87,7 +159,7 @@ def write_bucketed(df: DataFrame, path: str, bucket: str, n_buckets: int, sort:
     skips most of the file by its statistics.
     """
     spark = df.sparkSession
-    table = f"rankloom_{uuid.uuid4().hex}"
+    table = _new_entry()
     (df.write.format("parquet").option("path", path).option("parquet.block.size", str(row_group_bytes))
      .bucketBy(n_buckets, bucket).sortBy(*sort).saveAsTable(table))
     return spark.table(table)
@@ -95,7 +167,7 @@ def write_bucketed(df: DataFrame, path: str, bucket: str, n_buckets: int, sort:
 
 def read_bucketed(spark: SparkSession, path: str, schema: str, bucket: str, n_buckets: int, sort: list[str]) -> DataFrame:
     """Open a table written by :func:`write_bucketed`, maybe in an earlier session."""
-    table = f"rankloom_{uuid.uuid4().hex}"
+    table = _new_entry()
     spark.sql(
         f"CREATE TABLE {table} ({schema}) USING parquet "
         f"CLUSTERED BY ({bucket}) SORTED BY ({', '.join(sort)}) INTO {n_buckets} BUCKETS LOCATION '{path}'")

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -15,6 +16,37 @@ from rankloom.plans.setups import (
     default_setups,
     make_setup,
 )
+from rankloom.runtime import materialize, new_table_path, scratch_dir, scratch_scope, write_alone, write_bucketed
+
+
+def left_behind(spark):
+    """What lies in the application's scratch folder, and the tables of its catalog."""
+    folder = scratch_dir(spark).removeprefix("file:")
+    return sorted(os.listdir(folder)) if os.path.isdir(folder) else [], sorted(t.name for t in spark.catalog.listTables())
+
+
+def test_scope_drops_its_tables(spark):
+    before = left_behind(spark)
+    with scratch_scope(spark) as outer:
+        rows = materialize(spark.range(9).selectExpr("id", "id % 3 AS k"), "rows")
+        table = write_bucketed(rows, new_table_path(spark, "table"), "k", 2, ["id"])
+        with scratch_scope(spark) as inner:
+            assert inner.folder.startswith(outer.folder) and materialize(rows, "more").count() == 9
+            assert len(os.listdir(inner.folder.removeprefix("file:"))) == 1
+        assert not os.path.exists(inner.folder.removeprefix("file:"))
+        assert table.count() == 9 and left_behind(spark) != before
+    assert left_behind(spark) == before
+    with pytest.raises(ValueError), scratch_scope(spark):
+        materialize(rows.sparkSession.range(2), "rows")
+        raise ValueError
+    assert left_behind(spark) == before
+
+
+def test_write_alone_keeps_only_the_result(spark):
+    with scratch_scope(spark) as scope:
+        path, rows = write_alone(spark, "result", lambda: materialize(materialize(spark.range(5), "a"), "b").selectExpr("id * 2 AS x"))
+        assert sorted(r["x"] for r in rows.collect()) == [0, 2, 4, 6, 8]
+        assert [f"{scope.folder}/{name}" for name in os.listdir(scope.folder.removeprefix("file:"))] == [path]
 
 
 def test_registered_setups():
@@ -47,7 +79,9 @@ def test_harness_skips_failing_setups_and_writes_reports(spark, documents, quest
 
     setups = [RetrievalSetup("broken", FixedSizeChunker(), Broken), make_setup("bm25_fixed", "fixed", "bm25"),
               make_setup("dense_fixed", "fixed", "dense")]
+    before = left_behind(spark)
     out = harness.run_harness(documents, questions, str(tmp_path), setups=setups)
+    assert left_behind(spark) == before
     report = json.loads((tmp_path / "results.json").read_text())
     assert report["metadata"]["pipelines_completed"] == ["bm25_fixed", "dense_fixed"]
     assert report["pipelines"]["bm25_fixed"]["n_queries"] == 6
@@ -60,7 +94,9 @@ def test_harness_skips_failing_setups_and_writes_reports(spark, documents, quest
 
 def test_ablation(spark, documents, questions, tmp_path):
     grid = [AblationCell("bm25_fixed", "fixed", "bm25", False), AblationCell("bm25_sentwin+rerank", "sentwin", "bm25", True)]
+    before = left_behind(spark)
     ranked = harness.run_ablation(spark, documents, questions, str(tmp_path), grid).collect()
+    assert left_behind(spark) == before
     assert len(ranked) == 2 and ranked[0]["ndcg5_mean"] >= ranked[1]["ndcg5_mean"]
     assert spark.read.option("header", True).csv(f"{tmp_path}/ablation.csv").count() == 2
     assert "bm25_sentwin+rerank" in (tmp_path / "ABLATION.md").read_text()
@@ -82,13 +118,15 @@ def test_engine(spark, questions, engine):
     assert all(0.0 <= r["faithfulness"] <= 1.0 and r["latency_ms"] > 0 for r in answers.collect())
 
 
-def test_service(engine):
+def test_service(spark, engine):
     def source():
         return engine
 
     def missing():
         raise FileNotFoundError
 
+    engine.load()
+    before = left_behind(spark)
     assert service.root()[0] == 200
     assert service.health(source)[1] == {"status": "ok", "corpus_loaded": True}
     assert service.health(missing)[1]["corpus_loaded"] is False
@@ -96,6 +134,7 @@ def test_service(engine):
     assert status == 200 and len(body["results"]) == 2 and body["results"][0]["doc_id"] == "stars"
     status, body = service.ask({"query": "What makes dough rise?", "faithfulness": True}, source)
     assert status == 200 and "dough" in body["text"] and body["faithfulness"] is not None
+    assert left_behind(spark) == before
     for bad in ({}, {"query": ""}, {"query": "x", "k": 101}, {"query": "x", "k": True}):
         assert service.search(bad, source)[0] == 422
     assert service.ask({"query": "x", "k": 51}, source)[0] == 422
