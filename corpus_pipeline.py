@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from llm import hilbert_shards, near_dedup, poisson_mix, prefix_decontam, word_first_langid
-from rankloom.runtime import materialize
+from rankloom.runtime import remove_table, write_alone
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each stage's rows written and read again.
+
+    A stage's intermediate tables go when its rows are written, its rows when the next stage's are.  Null texts and
+    texts without letters go with the first stage; repeated rows are groups of copies; an empty table gives an empty
+    result; other columns stay as they are, those of clashing names too.
+    """
+    docs, behind = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path, docs = write_alone(spark, name, partial(stage, spark, docs, sf_dir))
+        if behind:
+            remove_table(spark, behind)
+        behind = path
     return docs
