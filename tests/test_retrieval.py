@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from dataclasses import replace
 from hashlib import md5
 
 import numpy as np
@@ -9,14 +10,14 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import STOPWORDS
 from rankloom.operators.bm25 import (
-    BM25Retriever, bm25_scores, build_bm25_tables, load_bm25_tables, pruned_scores, weighted_terms)
+    BM25Retriever, bm25_hits, bm25_scores, build_bm25_tables, load_bm25_tables, pruned_scores, weighted_terms)
 from rankloom.operators.dense import DenseRetriever
-from rankloom.operators import latent
+from rankloom.operators import bm25_scan, latent
 from rankloom.operators.encoders import fit_pair_weights, hash_counts, model_encoder, model_scorer
 from rankloom.operators.expansion import ExpandingRetriever, Rm3QueryExpander
 from rankloom.operators.fusion import HybridRetriever, fuse_rrf, fuse_weighted
 from rankloom.operators.rerank import PairReranker
-from rankloom.operators.retriever import attach_text, fetch, write_chunks
+from rankloom.operators.retriever import attach_text, fetch, top_k, write_chunks
 from rankloom.plans.setups import default_retriever
 from rankloom.runtime import materialize, new_table_path, rows_with, write_bucketed
 
@@ -153,6 +154,61 @@ def test_bm25_pruned_search_equals_exhaustive(spark):
         assert r["score"] <= bounds[r["qid"], r["block"]] + 1e-9
 
 
+def jobs_of(spark, name, work):
+    """What *work* returns, and how many jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("tests", "tests")
+
+
+@pytest.mark.parametrize("tiles", [1, 3])
+def test_bm25_search_makes_no_row_per_question_and_chunk(spark, tiles, monkeypatch):
+    """Tasks hand back their best k; repeated chunk ids, repeated and null question ids add up as in the plain sums."""
+    draw = np.random.default_rng(5)
+    rows = [(f"c{i:04d}", f"d{i}", " ".join(f"w{x}" for x in draw.integers(0, 40, 12)), 0) for i in range(600)]
+    rows += rows[:50] + [("c0007", "d7", "w1 w2", 1)] + [(f"e{i}", "e", "w1 w2 w3", 0) for i in range(30)]
+    tables = build_bm25_tables(spark.createDataFrame(rows, CHUNK), chunks_per_block=16)
+    asked = [(f"q{i}", " ".join(f"w{x}" for x in draw.integers(0, 40, 6))) for i in range(20)] + [(None, "w1 w2"), ("q3", "w5 w5 w6")]
+    terms = weighted_terms(tables, spark.createDataFrame(asked, "qid string, question string"), 1_000)
+    hits = bm25_hits(tables, replace(terms, tiles=tiles), 4, 1.5, 0.75)
+    plain = ranked(top_k(bm25_scores(tables, terms, 1.5, 0.75), 4, "bm25"))
+    assert ranked(top_k(hits, 4, "bm25")) == plain
+    assert hits.count() <= 4 * 21 * 16 and bm25_scores(tables, terms, 1.5, 0.75).count() > 4 * 21 * 16
+    monkeypatch.setattr(bm25_scan, "CELLS", 50)  # small blocks, ranked often
+    monkeypatch.setattr(bm25_scan, "HELD", 10)
+    assert ranked(top_k(bm25_hits(tables, terms, 4, 1.5, 0.75), 4, "bm25")) == plain
+
+
+def test_index_buckets_follow_the_chunks(spark):
+    """A bucket's postings are sorted by one task, so buckets must not grow with the corpus."""
+    rows = spark.range(100_000).select(F.col("id").cast("string").alias("chunk_id"), F.col("id").cast("string").alias("doc_id"),
+                                       F.lit("river bank").alias("text"), F.lit(0).alias("index"))
+    tables = build_bm25_tables(rows)
+    assert spark.read.parquet(f"{tables.path}/stats").first()["chunk_buckets"] == 5
+
+
+def test_power_step_runs_its_tasks_together(spark):
+    rows = [(f"c{i}", [f"t{i % 7}", "all"]) for i in range(160)]
+    tokens = materialize(spark.createDataFrame(rows, "chunk_id string, tokens array<string>").repartition(16), "tokens")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        model = latent.LatentModel({f"t{i}": i for i in range(7)}, np.ones(7), np.eye(7))
+        found, jobs = jobs_of(spark, "power-step", lambda: latent.power_step(tokens, model, 16))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert np.allclose(np.diag(found), [23] * 6 + [22]) and jobs < 8
+
+
+def test_small_question_tiles_share_a_pass(spark):
+    rows = [(f"v{i}", "d", np.eye(8)[i % 8].tolist()) for i in range(60)]
+    vectors = materialize(spark.createDataFrame(rows, "chunk_id string, doc_id string, vec array<double>"), "vectors")
+    asked = vectors.select(F.col("chunk_id").alias("qid"), "vec")
+    found, jobs = jobs_of(spark, "tiles", lambda: ranked(DenseRetriever.over(vectors, question_tile=4).search_vectors(asked, 3)))
+    assert jobs < 8 and found == ranked(DenseRetriever.over(vectors).search_vectors(asked, 3))
+
+
 def test_empty_index_and_missing_index(spark, questions):
     nothing = spark.createDataFrame([], CHUNK)
     for retriever in (BM25Retriever(), DenseRetriever()):
