@@ -413,3 +413,7 @@ def test_fitted_weights(spark):
         w = w + 4.0 * (x.T @ (mass * (y - 1 / (1 + np.exp(-x @ w)))) - 0.001 * w)
     assert weights == pytest.approx(w.tolist(), abs=1e-9) and weights[2] > 3
     assert fit_pair_weights(pairs.where("relevant")) == fit_pair_weights(pairs.limit(0)) == [-3.0, 4.0, 3.0, 0.0]
+    x, w = x[y == 0], np.array([-3.0, 4.0, 3.0, 0.0])  # one kind alone, on request
+    for _ in range(25):
+        w = w + 4.0 * (-(x.T @ (0.5 / len(x) / (1 + np.exp(-x @ w)))) - 0.001 * w)
+    assert fit_pair_weights(pairs.where("not relevant"), both_kinds=False) == pytest.approx(w.tolist(), abs=1e-9)
