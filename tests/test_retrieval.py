@@ -19,7 +19,7 @@ from rankloom.operators.fusion import HybridRetriever, fuse_rrf, fuse_weighted
 from rankloom.operators.rerank import PairReranker
 from rankloom.operators.retriever import attach_text, fetch, top_k, write_chunks
 from rankloom.plans.setups import default_retriever
-from rankloom.runtime import materialize, new_table_path, rows_with, write_bucketed
+from rankloom.runtime import materialize, new_table_path, rows_with, table_exists, write_bucketed
 
 RUN = "qid string, rank int, chunk_id string, doc_id string, score double, retriever string"
 CHUNK = "chunk_id string, doc_id string, text string, index int"
@@ -181,6 +181,26 @@ def test_bm25_search_makes_no_row_per_question_and_chunk(spark, tiles, monkeypat
     assert ranked(top_k(bm25_hits(tables, terms, 4, 1.5, 0.75), 4, "bm25")) == plain
 
 
+def test_bm25_many_terms_are_counted_in_the_token_arrays(spark):
+    """No postings are written for a batch that would read them all; few terms write and read them, and find the same."""
+    draw = np.random.default_rng(3)
+    rows = [(f"c{i:04d}", f"d{i % 90}", " ".join(f"w{x}" for x in draw.integers(0, 900, 40)), 0) for i in range(300)]
+    rows += rows[:20] + [("c0007", "d7", "w1 w2 w2", 1), ("c0007", "e", "w1", 0), (None, "d", "w3 w4", 0), ("none", "d", None, 0)]
+    tables = build_bm25_tables(spark.createDataFrame(rows, CHUNK), chunks_per_block=16)
+    asked = [(f"q{i}", " ".join(f"w{x}" for x in range(60 * i, 60 * i + 60))) for i in range(15)]
+    many = spark.createDataFrame(asked, "qid string, question string")
+    found = BM25Retriever.over(tables).search(many, 7)
+    pruned = ranked(BM25Retriever.over(tables, prune=True).search(many, 7))
+    assert weighted_terms(tables, many, 10_000).rows.select("term").distinct().count() > 500
+    found, written = ranked(found), [table_exists(spark, f"{tables.path}/{name}") for name in ("postings", "bounds")]
+    assert written == [False, True] and found == pruned
+    few = ranked(BM25Retriever.over(tables).search(spark.createDataFrame(asked[:3], "qid string, question string"), 7))
+    assert few == {f"q{i}": found[f"q{i}"] for i in range(3)} and table_exists(spark, f"{tables.path}/postings")
+    assert ranked(top_k(bm25_scores(tables, weighted_terms(tables, many, 10_000), 1.5, 0.75), 7, "")) == found
+    assert {(r["term"], r["df"]) for r in tables.vocab.collect()} == {
+        (r["term"], r["count"]) for r in tables.postings.groupBy("term").count().collect()}
+
+
 def test_index_buckets_follow_the_chunks(spark):
     """A bucket's postings are sorted by one task, so buckets must not grow with the corpus."""
     rows = spark.range(100_000).select(F.col("id").cast("string").alias("chunk_id"), F.col("id").cast("string").alias("doc_id"),
