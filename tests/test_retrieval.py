@@ -19,7 +19,7 @@ from rankloom.operators.fusion import HybridRetriever, fuse_rrf, fuse_weighted
 from rankloom.operators.rerank import PairReranker
 from rankloom.operators.retriever import attach_text, fetch, top_k, write_chunks
 from rankloom.plans.setups import default_retriever
-from rankloom.runtime import materialize, new_table_path, rows_with, table_exists, write_bucketed
+from rankloom.runtime import bucketed_scans, buckets_of, materialize, new_table_path, rows_with, table_exists, write_bucketed
 
 RUN = "qid string, rank int, chunk_id string, doc_id string, score double, retriever string"
 CHUNK = "chunk_id string, doc_id string, text string, index int"
@@ -437,3 +437,20 @@ def test_fitted_weights(spark):
     for _ in range(25):
         w = w + 4.0 * (-(x.T @ (0.5 / len(x) / (1 + np.exp(-x @ w)))) - 0.001 * w)
     assert fit_pair_weights(pairs.where("not relevant"), both_kinds=False) == pytest.approx(w.tolist(), abs=1e-9)
+
+
+def test_written_chunks_are_indexed_where_they_lie(spark):
+    """One shuffle of the texts, for the chunk table: the index reads its buckets and writes one file for each."""
+    rows = [(f"c{i:04d}", f"d{i % 9}", f"common word{i % 50} é{i}", 0) for i in range(2_000)]
+    table = write_chunks(spark.createDataFrame(rows, CHUNK), 7)
+    with bucketed_scans(spark):
+        texts = table.select("chunk_id", "text").repartition(buckets_of(table, "chunk_id"), "chunk_id")
+        assert "Exchange" not in texts._jdf.queryExecution().executedPlan().toString()
+    tables, plain = build_bm25_tables(table), build_bm25_tables(materialize(table, "plain"))
+    assert tables.chunk_buckets == len(tables.forward.inputFiles()) == 7
+    assert plain.chunk_buckets == spark.sparkContext.defaultParallelism
+    for name in ("forward", "vocab"):
+        one, other = (getattr(t, name) for t in (tables, plain))
+        assert one.exceptAll(other).count() == other.exceptAll(one).count() == 0, name
+    queries = ask(spark, "word3 é17", "common", "é1999 word49")
+    assert ranked(BM25Retriever.over(tables).search(queries, 5)) == ranked(BM25Retriever.over(plain).search(queries, 5))
