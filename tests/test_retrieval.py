@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import STOPWORDS
 from rankloom.operators.bm25 import (
-    BM25Retriever, bm25_hits, bm25_scores, build_bm25_tables, load_bm25_tables, pruned_scores, weighted_terms)
+    BM25Retriever, block_bounds, bm25_hits, bm25_scores, build_bm25_tables, load_bm25_tables, pruned_scores, weighted_terms, whole_chunks)
 from rankloom.operators.dense import DenseRetriever
 from rankloom.operators import bm25_scan, latent
 from rankloom.operators.encoders import fit_pair_weights, hash_counts, model_encoder, model_scorer
@@ -454,3 +454,22 @@ def test_written_chunks_are_indexed_where_they_lie(spark):
         assert one.exceptAll(other).count() == other.exceptAll(one).count() == 0, name
     queries = ask(spark, "word3 é17", "common", "é1999 word49")
     assert ranked(BM25Retriever.over(tables).search(queries, 5)) == ranked(BM25Retriever.over(plain).search(queries, 5))
+
+
+def test_block_bounds_shuffle_chunks(spark):
+    """A block's chunks meet in one task; no row per term and block is shuffled, and repeated ids count together."""
+    rows = [(f"c{i:04d}", "d", f"w{i % 7} w{i % 7} w{i % 11} common", 0) for i in range(400)] + [("c0003", "d", "common w3", 1)]
+    for repeated, some in ((False, rows[:400]), (True, rows)):
+        tables = build_bm25_tables(spark.createDataFrame(some, CHUNK), chunks_per_block=16)
+        assert tables.repeated == repeated
+        bounds = block_bounds(tables.forward, tables.n_blocks, 3, tables.repeated)
+        assert bounds._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(block") == 1
+        expected = tables.postings.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+        assert sorted(map(tuple, bounds.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_chunks_of_single_rows_are_not_grouped(spark):
+    rows = [(f"c{i}", "d", f"river w{i}", 0) for i in range(50)]
+    one, twice = (build_bm25_tables(spark.createDataFrame(r, CHUNK)) for r in (rows, rows + rows[:1]))
+    plans = [whole_chunks(t.forward, 1, t.repeated)._jdf.queryExecution().executedPlan().toString() for t in (one, twice)]
+    assert ["Aggregate" in plan for plan in plans] == [False, True]
