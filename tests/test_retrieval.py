@@ -3,6 +3,7 @@ import re
 from collections import Counter
 from dataclasses import replace
 from hashlib import md5
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -19,7 +20,7 @@ from rankloom.operators.fusion import HybridRetriever, fuse_rrf, fuse_weighted
 from rankloom.operators.rerank import PairReranker
 from rankloom.operators.retriever import attach_text, fetch, top_k, write_chunks
 from rankloom.plans.setups import default_retriever
-from rankloom.runtime import bucketed_scans, buckets_of, materialize, new_table_path, rows_with, table_exists, write_bucketed
+from rankloom.runtime import bucketed_scans, buckets_of, materialize, new_table_path, rows_with, scratch_scope, table_exists, write_bucketed
 
 RUN = "qid string, rank int, chunk_id string, doc_id string, score double, retriever string"
 CHUNK = "chunk_id string, doc_id string, text string, index int"
@@ -272,6 +273,36 @@ def test_latent_basis_equals_dense_algebra(spark):
     assert tiny.basis.shape == (0, 0)
 
 
+def test_latent_basis_counts_every_chunk(spark):
+    """Beyond two million chunks too: chunks of one term make A'A the diagonal of the terms' counts."""
+    n, cuts = 2_000_400, [0, 3, 5, 6]  # of every seven chunks three have t0, two t1, one t2 and one t3
+    place = F.pmod(F.col("id"), F.lit(7))
+    term = F.concat(F.lit("t"), sum((F.when(place >= cut, 1).otherwise(0) for cut in cuts[1:]), F.lit(0)).cast("string"))
+    tokens = materialize(spark.range(n).select(F.col("id").cast("string").alias("chunk_id"), F.array(term).alias("tokens")), "tokens")
+    model = latent.fit_latent(tokens, 2, 4, 2)
+    places = np.bincount(np.arange(n) % 7, minlength=7)
+    counts = dict(zip(("t0", "t1", "t2", "t3"), np.add.reduceat(places, cuts).tolist()))
+    assert list(model.index) == sorted(counts, key=lambda t: (-counts[t], t))
+    expected = latent.orthonormal(np.array([latent.drawn_row(t, 2, latent.SEED) for t in model.index]))
+    for _ in range(2):
+        expected = latent.orthonormal(np.array([counts[t] for t in model.index])[:, None] * expected)
+    assert np.allclose(model.basis, expected, atol=1e-9)
+
+
+def test_dense_vectors_from_written_tokens(spark, chunks):
+    """Tokens of a word index give the vectors that texts give, and what the fit wrote goes."""
+    forward, plain = build_bm25_tables(chunks).forward, DenseRetriever().index(chunks)
+    with scratch_scope(spark) as scope:
+        shared = DenseRetriever()
+        shared.tokens = forward
+        found = {r["chunk_id"]: r["vec"] for r in shared.index(chunks).vectors.collect()}
+        assert [f.name.split("-")[0] for f in Path(scope.folder).iterdir()] == ["vectors"]
+    assert found == {r["chunk_id"]: pytest.approx(r["vec"], abs=1e-6) for r in plain.vectors.collect()}
+    by_text = chunks.select("chunk_id", plain.fitted(F.col("text")).alias("vec")).collect()
+    norms = {r["chunk_id"]: np.linalg.norm(r["vec"]) for r in by_text}
+    assert all(np.allclose(np.array(r["vec"]) / (norms[r["chunk_id"]] or 1.0), found[r["chunk_id"]], atol=1e-6) for r in by_text)
+
+
 def test_latent_vectors_find_topics(spark):
     """Chunks of a question's topic come first though they share no word with the question."""
     near = [("sea", "wave"), ("wave", "tide"), ("tide", "sea"), ("oven", "bread"), ("bread", "dough"), ("dough", "oven")]
