@@ -18,8 +18,8 @@ from rankloom.operators.encoders import fit_pair_weights, hash_counts, model_enc
 from rankloom.operators.expansion import ExpandingRetriever, Rm3QueryExpander
 from rankloom.operators.fusion import HybridRetriever, fuse_rrf, fuse_weighted
 from rankloom.operators.rerank import PairReranker
-from rankloom.operators.retriever import attach_text, fetch, top_k, write_chunks
-from rankloom.plans.setups import default_retriever
+from rankloom.operators.retriever import DeepRun, attach_text, fetch, top_k, write_chunks
+from rankloom.plans.setups import SharedIndexes, ablation_grid, default_retriever, make_setup
 from rankloom.runtime import bucketed_scans, buckets_of, materialize, new_table_path, rows_with, scratch_scope, table_exists, write_bucketed
 
 RUN = "qid string, rank int, chunk_id string, doc_id string, score double, retriever string"
@@ -273,6 +273,56 @@ def test_latent_basis_equals_dense_algebra(spark):
     assert tiny.basis.shape == (0, 0)
 
 
+@pytest.mark.parametrize("share", [0.0, 1 / 128, 2.0])
+def test_scorer_equals_sums_by_cell(monkeypatch, share):
+    """Common terms as matrices or all terms by cell: the same scores; rows and questions that come twice add up."""
+    monkeypatch.setattr(bm25_scan, "COMMON_SHARE", share)
+    draw = np.random.default_rng(5)
+    term = np.sort(draw.integers(0, 40, 300))
+    starts, questions, weights = np.searchsorted(term, np.arange(41)), draw.integers(0, 25, 300), draw.random(300)
+    row, number, part = np.sort(draw.integers(0, 60, 900)), draw.integers(0, 40, 900) ** 2 // 40, draw.random(900)
+    scorer = bm25_scan._Scorer(bm25_scan._Group(0, 25, starts, questions, weights), 60, number)
+    assert len(scorer.common) == (40 if share == 0 else 0) or share == 1 / 128 and 0 < len(scorer.common) < 40
+    expected = np.zeros((60, 25))
+    for r, t, x in zip(row, number, part):
+        for e in range(starts[t], starts[t + 1]):
+            expected[r, questions[e]] += x * weights[e]
+    assert np.allclose(scorer.scores(60, row, number, part), expected, atol=1e-12)
+
+
+def test_setups_share_a_search(spark, documents, questions):
+    """Rows are those of searches of their own; the texts are tokenised and an index is searched once, for all that ask the same of it."""
+    cells = [make_setup(c.label, c.chunker, c.retriever, c.rerank) for c in ablation_grid(("fixed",))]
+    cells.append(make_setup("rm3", "fixed", "bm25", use_rm3=True))
+    asked = questions.select("qid", "question")
+    with scratch_scope(spark) as scope:
+        plain = SharedIndexes(documents)
+        shared = plain.for_setups(cells, asked)
+        for cell in cells:
+            own, found = (cell.build(documents, x).search(asked).collect() for x in (plain, shared))
+            assert sorted(own) == sorted(found), cell.name
+        made = Counter(f.name.split("-")[0] for f in Path(scope.folder).iterdir())
+    assert made["deep"] == 2 and made["latent"] == 0 and made["bm25"] == 1
+
+
+def test_deep_run_serves_its_own_questions_only(spark, chunks, questions):
+    retriever = BM25Retriever().index(chunks)
+    asked = materialize(questions.select("qid", "question"), "questions")
+    own = ranked(retriever.search(asked, 3))
+    other = ask(spark, "river", "acorns")
+    expected, deeper = ranked(retriever.search(other, 2)), ranked(retriever.search(asked, 9))
+    retriever.deep = DeepRun(asked, 4)
+    assert ranked(retriever.search(asked, 3)) == own and ranked(retriever.search(other, 2)) == expected
+    assert ranked(retriever.search(asked, 9)) == deeper and retriever.search(asked, 0).count() == 0
+
+
+def test_short_chunks_are_indexed_where_they_lie(spark):
+    """Buckets count by bytes as well: many short chunks are not shuffled again."""
+    rows = spark.range(70_000).select(F.col("id").cast("string").alias("chunk_id"), F.lit("d").alias("doc_id"),
+                                      F.lit("river bank").alias("text"), F.lit(0).alias("index"))
+    assert build_bm25_tables(write_chunks(rows, 1)).chunk_buckets == 1
+
+
 def test_latent_basis_counts_every_chunk(spark):
     """Beyond two million chunks too: chunks of one term make A'A the diagonal of the terms' counts."""
     n, cuts = 2_000_400, [0, 3, 5, 6]  # of every seven chunks three have t0, two t1, one t2 and one t3
